@@ -101,7 +101,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
     spark = docs.sparkSession
     fs, path = common.filesystem(folder)
     fs.create_dir(path, recursive=True)
-    ordered = common.documents(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = common.documents(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_write(folder, tokenizer, end_id, length), INDEX).write.parquet(f"{folder}/documents")
     index = spark.read.schema(INDEX).parquet(f"{folder}/documents")
     starts = common.running_starts(index.groupBy("part").agg(F.sum("n_tokens").alias("total")), "part", "total", "base")

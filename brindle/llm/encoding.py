@@ -23,6 +23,8 @@ MEMO_CHARS = 64
 
 #: A lone space between two characters that are not white space.
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: White space that is neither a space nor a newline.
+_OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class Encoder:
@@ -45,10 +47,17 @@ class Encoder:
             raise ValueError(f"the ids of {name} don't fit {dtype}")
         self.end = b"" if end is None else np.array([end], self.dtype).tobytes()
         self.memo: dict[str, bytes] = {}
+        self.stops = {}
+        self.stops = dict(zip(",.", self._encode([",", "."])))
 
     def cut(self, text: str) -> list[str]:
         """Pieces between which no token can lie; for byte-level ones the space is left out."""
-        return _LONE_SPACE.split(text) if self.leading_space else text.replace("\n", " ").split(" ")
+        if not self.leading_space:
+            return text.replace("\n", " ").split(" ")
+        pieces = text.split(" ")
+        if "" in pieces or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
+            return _LONE_SPACE.split(text)
+        return pieces
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece.  The pieces go through the tokenizer as a few texts, kept
@@ -84,9 +93,16 @@ class Encoder:
         unseen: set[str] = set()
         for c in cuts:
             unseen.update(c[1:] if self.leading_space else c)
-        unseen.difference_update(memo)
-        new = list(unseen)
+        unseen = {x for x in unseen if x not in memo}
+        # A comma or full stop behind a letter is a token of its own: its word may be known.
+        ended = [x for x in unseen if x[-1:] in self.stops and x[-2:-1].isalpha()]
+        unseen.difference_update(ended)
+        unseen.update([x[:-1] for x in ended])
+        new = [x for x in unseen if x not in memo]
         memo.update(zip(new, self._encode([" " + x for x in new] if self.leading_space else new)))
+        for x in ended:
+            memo[x] = memo[x[:-1]] + self.stops[x[-1]]
+        new += ended
         get = memo.__getitem__
         if self.leading_space:
             first = self._encode([c[0] for c in cuts])
@@ -95,7 +111,7 @@ class Encoder:
             out = [b"".join(map(get, c)) + self.end for c in cuts]
         for x in new:
             if len(x) > MEMO_CHARS:
-                del memo[x]
+                memo.pop(x, None)
         return out
 
     def batches(self, texts: list[str], chars: int = 1 << 20):
