@@ -64,3 +64,25 @@ def running_starts(totals: DataFrame, key: str, total: str, start: str) -> DataF
         out.append((k, acc))
         acc += n
     return totals.sparkSession.createDataFrame(out, f"{key} {totals.schema[key].dataType.simpleString()}, {start} long")
+
+
+def groups(batches, keys: list[str]):
+    """Tables of the rows with equal long ``keys``, from batches that are sorted by them."""
+    import numpy as np
+    import pyarrow as pa
+
+    held, held_key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
+        cuts = [0, *(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(columns[:, a].tolist())
+            if key != held_key and held:
+                yield held_key, pa.Table.from_batches(held)
+                held = []
+            held_key = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held_key, pa.Table.from_batches(held)

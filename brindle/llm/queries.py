@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_tokens, common, decontamination, packing, pii, token_counts, toxicity
+from . import arrow_tokens, common, decontamination, minhash, packing, pii, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -38,5 +42,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roster.join(token_counts.count_tokens(files), ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_decontamination, op4_pack, op6_arrow_tokens, op7_toxicity, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_minhash, op4_pack, op6_arrow_tokens, op7_toxicity, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
