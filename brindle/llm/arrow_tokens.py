@@ -47,7 +47,7 @@ class _Shard:
     def __init__(self, uri: str, length: int) -> None:
         self.schema, self.length, self.held, self.n = file_schema(length), length, [], 0
         fs, path = common.filesystem(uri)
-        self.sink = fs.open_output_stream(path)
+        self.sink = fs.open_output_stream(path, compression=None)
         self.writer = pa.ipc.new_file(self.sink, self.schema)
 
     def add(self, ids: bytes) -> None:

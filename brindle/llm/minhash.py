@@ -60,7 +60,7 @@ def _sketch(folder: str, places: int, bands: int):
             if out is None and batch.num_rows:
                 uri = f"{folder}/sets-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.u64"
                 fs, path = common.filesystem(uri)
-                out = fs.open_output_stream(path)
+                out = fs.open_output_stream(path, compression=None)
             texts = batch.column("text").to_pylist()
             start, held = 0, 0
             for i, t in enumerate(texts):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_tokens, common, decontamination, minhash, packing, pii, token_counts, toxicity
+from . import arrow_tokens, common, decontamination, embeddings, minhash, packing, pii, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_tokens.read_checksums(arrow_tokens.write_tokens(_table(spark, sf_dir, "documents"), common.fresh_dir(spark, "arrow-tokens")))
 
@@ -37,10 +41,26 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages"), common.fresh_dir(spark, "warc")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, roster = token_counts.write_flat(_table(spark, sf_dir, "documents"), common.fresh_dir(spark, "flat-tokens"))
     return roster.join(token_counts.count_tokens(files), ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_minhash, op4_pack, op6_arrow_tokens, op7_toxicity, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_minhash, op4_pack, op5_embedding_dedup, op6_arrow_tokens, op7_toxicity, op9_warc, op10_token_counts)}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), g AS (
+            SELECT payload_bytes, payload_digest, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY ALL
+        )
+        SELECT page_id, p.payload_bytes, p.payload_digest,
+               CASE WHEN original IS NULL OR original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN original <> page_id THEN original END AS refers_to
+        FROM p LEFT JOIN g USING (payload_bytes, payload_digest)
+    """,
+}

@@ -42,7 +42,7 @@ def _write(folder: str, tokenizer: str, end: int):
             if out is None and batch.num_rows:
                 uri = f"{folder}/flat-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.u16"
                 fs, path = common.filesystem(uri)
-                out = fs.open_output_stream(path)
+                out = fs.open_output_stream(path, compression=None)
             ids = batch.column("doc_id")
             for start, coded in coder.batches(batch.column("text").to_pylist()):
                 for x in coded:
