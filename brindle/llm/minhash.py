@@ -170,13 +170,12 @@ def _links(pairs: DataFrame, reps: DataFrame, similar: int, estimate: bool) -> D
     return common.materialise(rows.mapInArrow(_verify(similar), "a long, b long"), "links")
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
-    folder = common.fresh_dir(spark, "shingle-sets")
+def sketches(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The table of sketches and the folder of the sets' files."""
+    folder = common.fresh_dir(docs.sparkSession, "shingle-sets")
     fs, path = common.filesystem(folder)
     fs.create_dir(path, recursive=True)
-    common.documents(docs).mapInArrow(_sketch(folder, PLACES, BANDS), SKETCH).write.parquet(f"{folder}/sketches")
-    return spark.read.schema(SKETCH).parquet(f"{folder}/sketches")
+    return common.materialise(common.documents(docs).mapInArrow(_sketch(folder, PLACES, BANDS), SKETCH), "sketches"), folder
 
 
 def classes(sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -207,12 +206,14 @@ def classes(sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document."""
-    sketch = sketches(docs)
-    return _labelled(sketch).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return _labelled(docs).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def _labelled(sketch: DataFrame) -> DataFrame:
+def _labelled(docs: DataFrame) -> DataFrame:
+    sketch, folder = sketches(docs)
     reps, roots = classes(sketch)
+    # All links are verified and written: nothing reads the sets any more.
+    common.remove_dir(docs.sparkSession, folder)
     rooted = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component"))
     rows = sketch.select("doc_id", "n_shingles", "fp").join(rooted, "fp", "left")
     return rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))))
@@ -220,5 +221,5 @@ def _labelled(sketch: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one document, that of the least ``doc_id``, of each component."""
-    drop = _labelled(sketches(docs)).where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
+    drop = _labelled(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
     return docs.join(drop, F.col("doc_id").cast("long") == F.col("__drop"), "left_anti").select(*docs.columns)

@@ -240,5 +240,5 @@ def redact(docs: DataFrame) -> DataFrame:
     chosen = chosen_ids(found)
     if chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         return docs.mapInArrow(_mask(names, frozenset(r["ident"] for r in chosen.collect())), schema)
-    extra = discover(found, chosen).join(found.select("part", "row", "digest"), ["part", "row"]).groupBy("digest").agg(F.first("extra").alias("__extra"))
-    return docs.withColumn("digest", F.sha2(F.col("text"), 256)).join(extra, "digest", "left").select(*names, "__extra").mapInArrow(_mask(names, None), schema)
+    extra = discover(found, chosen).join(found.select("part", "row", "digest"), ["part", "row"]).groupBy("digest").agg(F.first("extra").alias("__extra")).withColumnRenamed("digest", "__digest")
+    return docs.withColumn("__digest", F.sha2(F.col("text"), 256)).join(extra, "__digest", "left").select(*names, "__extra").mapInArrow(_mask(names, None), schema)

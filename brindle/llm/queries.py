@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_tokens, common, decontamination, embeddings, minhash, packing, pii, token_counts, toxicity, warc
+from . import arrow_tokens, common, decontamination, embeddings, minhash, packing, pii, repeats, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages"), common.fresh_dir(spark, "warc")))
 
@@ -50,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roster.join(token_counts.count_tokens(files), ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_minhash, op4_pack, op5_embedding_dedup, op6_arrow_tokens, op7_toxicity, op9_warc, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_minhash, op4_pack, op5_embedding_dedup, op6_arrow_tokens, op7_toxicity, op8_repeats, op9_warc, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {
     "op9_warc": """
         WITH p AS (

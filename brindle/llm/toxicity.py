@@ -194,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(np.array([p for p, _ in rest], np.int64), np.array([w for _, w in rest]), float(bias + odds(shares) - odds(taken)))
 
 
-def _scorer(model: Model, names: list[str]):
+def _scorer(model: Model, names: list[str], output: str):
     def score(batches):
         features, table = Features(), model.table()
         for batch in batches:
@@ -205,16 +205,16 @@ def _scorer(model: Model, names: list[str]):
                 if held > 1 << 20 or i == len(texts) - 1:
                     out.append(model.scores(texts[start : i + 1], features, table))
                     start, held = i + 1, 0
-            yield pa.record_batch([*(batch.column(n) for n in names), pa.array(np.concatenate([np.zeros(0), *out]))], [*names, "score"])
+            yield pa.record_batch([*(batch.column(n) for n in names), pa.array(np.concatenate([np.zeros(0), *out]))], [*names, output])
 
     return score
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``score``."""
+def score(docs: DataFrame, model: Model, keep: list[str], output: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and the score in column ``output``."""
     columns = [F.col(c) for c in keep]
-    schema = docs.select(columns).schema.add("score", "double")
-    return docs.select(*columns, F.col("text").cast("string").alias("__text")).mapInArrow(_scorer(model, keep), schema)
+    schema = docs.select(columns).schema.add(output, "double")
+    return docs.select(*columns, F.col("text").cast("string").alias("__text")).mapInArrow(_scorer(model, keep, output), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -225,4 +225,4 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model does not reject, with their columns unchanged."""
-    return score(docs, train(docs, labels), docs.columns).where(F.col("score") < THRESHOLD).select(*docs.columns)
+    return score(docs, train(docs, labels), docs.columns, "__toxicity").where(F.col("__toxicity") < THRESHOLD).select(*docs.columns)
