@@ -9,7 +9,7 @@ import xxhash
 
 WORDS = 5
 #: Words that one task remembers before it starts anew.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
