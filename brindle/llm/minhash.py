@@ -9,10 +9,10 @@
    bucket's least member: a star, not all pairs.  What survives a loose estimate
    from the signatures is verified on the full sets, which tasks read from the
    files; sets are never shuffled.
-4. The verified links give components.  A bucket that still holds several has all
-   its pairs across components compared by signature, in blocks of bounded size
-   within a task; again only survivors leave the task and are verified.  After this
-   no pair that shares a band is left untested unless it is connected already.
+4. The verified links give components.  A bucket that still holds several has its
+   pairs across components compared by signature and verified in blocks of bounded
+   size; only a spanning forest of the links found leaves a task.  After this no pair
+   that shares a band is left untested unless it is connected already.
 
 With 32 bands of 4 places a pair at similarity 0.75 shares no band with probability
 5e-6, at 0.8 with 5e-8.  The estimate (128 places, standard deviation under 0.04)
@@ -44,7 +44,7 @@ SIMILAR = 75
 #: Estimates below this are not verified.
 LOOSE = 0.6
 #: Rows of a bucket in one block of the comparison across components.
-BLOCK = 512
+BLOCK = 256
 #: Sets that a verifying task keeps.
 HELD_SETS = 2_000
 SKETCH = "doc_id long, n_shingles long, fp binary, file string, at long, brief binary, bands array<bigint>"
@@ -136,35 +136,50 @@ def _likely(loose: float):
     return likely
 
 
-def _across(loose: float):
+def _across(loose: float, similar: int):
+    """Verified links between components in blocks of a bucket, as a spanning forest of each block.
+
+    A pair is compared in the first band that it shares, and not at all once the
+    block's links connect it.
+    """
+
     def across(batches):
-        for _, table in common.groups(batches, ["key", "i", "j"]):
-            rep, comp, own = table["rep"].to_numpy(), table["comp"].to_numpy(), table["block"].to_numpy()
+        sets = _Sets()
+        for (key, i, j), table in common.groups(batches, ["key", "i", "j"]):
+            rep, own, n, at = (table[c].to_numpy() for c in ("rep", "block", "n_shingles", "at"))
+            file = table["file"].to_pylist()
+            comp = np.unique(table["comp"].to_numpy(), return_inverse=True)[1]
             brief = np.frombuffer(b"".join(table["brief"].to_pylist()), np.uint8).reshape(len(rep), -1)
-            i, j = table["i"][0].as_py(), table["j"][0].as_py()
+            bands = table["bands"].combine_chunks().values.to_numpy().reshape(len(rep), -1)
+            band = int(np.flatnonzero(bands[0] == key)[0])
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
             a, b = [], []
             for x in left.tolist():
                 y = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) if i == j else True)]
-                if len(y):
-                    y = y[(brief[y] == brief[x]).mean(axis=1) >= loose]
-                    a.append(np.full(len(y), rep[x]))
-                    b.append(rep[y])
+                if not len(y):
+                    continue
+                y = y[(brief[y] == brief[x]).mean(axis=1) >= loose]
+                y = y[100 * np.minimum(n[y], n[x]) >= similar * np.maximum(n[y], n[x])]
+                if band:
+                    y = y[~(bands[y, :band] == bands[x, :band]).any(axis=1)]
+                for z in y.tolist():
+                    if comp[z] != comp[x]:
+                        both, union = jaccard_counts(sets.get(file[x], int(at[x]), int(n[x])), sets.get(file[z], int(at[z]), int(n[z])))
+                        if 100 * both >= similar * union:
+                            comp[comp == comp[z]] = comp[x]
+                            a.append(rep[x])
+                            b.append(rep[z])
             if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return across
 
 
-def _links(pairs: DataFrame, reps: DataFrame, similar: int, estimate: bool) -> DataFrame:
+def _links(pairs: DataFrame, reps: DataFrame, similar: int) -> DataFrame:
     """The pairs ``a, b`` that are links, verified on the full sets."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("file").alias(f"f{x}"), F.col("at").alias(f"a{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("brief").alias(f"s{x}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    if estimate:
-        rows = rows.mapInArrow(_likely(LOOSE), rows.drop("sa", "sb").schema)
-    else:
-        rows = rows.drop("sa", "sb")
+    rows = rows.mapInArrow(_likely(LOOSE), rows.drop("sa", "sb").schema)
     # Dealt out by pair: a class with very many partners is spread over all tasks.
     rows = rows.repartition(F.xxhash64("a", "b")).sortWithinPartitions("fa", "aa")
     return common.materialise(rows.mapInArrow(_verify(similar), "a long, b long"), "links")
@@ -186,19 +201,19 @@ def classes(sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = buckets.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = common.materialise(buckets.join(shared, "key"), "buckets")
     star = members.where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _links(star, reps, SIMILAR, estimate=True)
+    links = _links(star, reps, SIMILAR)
     roots = components(links)
     known = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", "rep", F.coalesce("root", "rep").alias("comp"))
     known = common.materialise(known, "bucket-components")
     open_keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rows = known.join(open_keys, "key", "left_semi").join(reps.select("rep", "brief"), "rep")
+    rows = known.join(open_keys, "key", "left_semi").join(reps.drop("fp"), "rep")
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")))
     # Block pair (i, j), i <= j, gets the rows of both blocks.
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("key", "rep", "comp", "brief", "block", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "comp", "brief", "block")
+    told = ["rep", "comp", "block", "n_shingles", "file", "at", "brief", "bands"]
+    rows = rows.select("key", *told, other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *told)
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    across = rows.mapInArrow(_across(LOOSE), "a long, b long").distinct()
-    more = _links(across, reps, SIMILAR, estimate=False)
+    more = common.materialise(rows.mapInArrow(_across(LOOSE, SIMILAR), "a long, b long"), "links-across")
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     return reps.select("fp", "rep"), roots
