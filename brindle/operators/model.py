@@ -52,8 +52,8 @@ def _candidates(stats: DataFrame, headroom: float) -> DataFrame:
     """``stats`` (n, lo, hi, gap, size) with arrays ``slopes`` and ``intercepts``; a null slope isn't tried."""
     span = F.col("hi") - F.col("lo")
     top = (F.col("size") - 1).cast("double")
-    first = top / (span * F.lit(1.0 + headroom))
-    rest = F.transform(F.sequence(F.lit(1), F.lit(CANDIDATES)), lambda j: F.when((F.col("gap") > EPSILON) & (j.cast("double") / F.col("gap") <= top / span), j.cast("double") / F.col("gap")))
+    first = F.try_divide(top, span * F.lit(1.0 + headroom))
+    rest = F.transform(F.sequence(F.lit(1), F.lit(CANDIDATES)), lambda j: F.when((F.col("gap") > EPSILON) & (F.try_divide(j.cast("double"), F.col("gap")) <= F.try_divide(top, span)), F.try_divide(j.cast("double"), F.col("gap"))))
     out = stats.withColumn("slopes", F.concat(F.array(first), rest))
     return out.withColumn("intercepts", F.transform("slopes", lambda s: F.lit(0.0) - s * F.col("lo")))
 
