@@ -13,8 +13,9 @@ gram that occurs once settles about ``LENGTH - GRAM`` strings at once.
 2. Those rows are dealt out by gram.  A gram brings one row for each block, however
    often it occurs.  Equal contexts make all but the first occurrence repeats;
    grams with unequal contexts are to be checked string by string.
-3. Only there the strings are read from the shards and hashed; equal ones but for
-   the first are repeats.
+3. Only there the contexts are read from the shards and dealt out by gram; of equal
+   strings all but the first are repeats.  A gram with more than ``HOT`` contexts is
+   dealt out string by string instead, after each task has compared its own.
 4. The repeats' intervals go back to their shards, are merged, and each document is
    cut.
 
@@ -46,8 +47,12 @@ LENGTH, GRAM = 100, 32
 BLOCK_BYTES, BLOCK_ANCHORS = 1 << 18, 2_000_000
 #: String hashes that a checking task compares at once.
 BLOCK_STRINGS = 2_000_000
+#: Contexts of one gram that a task may hold.
+HOT = 50_000
 DOC, SINGLE, MIXED, CHECK, REPEAT, SHARD = range(6)
-FOUND = "kind int, gram long, context long, doc_id long, part long, at long, x long, y long, file string"
+#: ``key``: what a row is dealt out by, the gram where there is one.
+FOUND = "kind int, key long, context long, doc_id long, part long, at long, x long, y long, file string"
+JUDGED = "kind int, gram long, doc_id long, part long, at long, x long, y long, file string"
 FIELDS = [c.split()[0] for c in FOUND.split(", ")]
 
 _RNG = np.random.Generator(np.random.PCG64(2024))
@@ -172,7 +177,7 @@ class ShardReader:
 
 def _rows(kind: int, n: int, part: int, **columns) -> pa.RecordBatch:
     types = dict(zip(FIELDS, (pa.int32(), *[pa.int64()] * 7, pa.string())))
-    given = {"kind": np.full(n, kind, np.int32), "part": np.full(n, part, np.int64)} | columns
+    given = {"kind": np.full(n, kind, np.int32), "part": np.full(n, part, np.int64), "key": np.full(n, part, np.int64)} | columns
     return pa.record_batch([given[c] if isinstance(given.get(c), pa.Array) else pa.array(given[c], types[c]) if c in given else pa.nulls(n, types[c]) for c in FIELDS], FIELDS)
 
 
@@ -203,11 +208,11 @@ def _compare(found: list[dict[str, np.ndarray]], part: int):
     many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     ids = lambda m: pa.array(a["doc_id"][m], pa.int64(), mask=~a["has_id"][m])
     one = ~many
-    yield _rows(SINGLE, int(one.sum()), part, gram=a["gram"][one], context=a["context"][one], doc_id=ids(one), at=a["at"][one], x=a["x"][one], y=a["y"][one])
+    yield _rows(SINGLE, int(one.sum()), part, key=a["gram"][one], context=a["context"][one], doc_id=ids(one), at=a["at"][one], x=a["x"][one], y=a["y"][one])
     if many.any():
         grams = np.unique(a["gram"][many])
-        yield _rows(MIXED, len(grams), part, gram=grams)
-        yield _rows(CHECK, int(many.sum()), part, doc_id=ids(many), at=a["at"][many], x=a["x"][many], y=a["y"][many])
+        yield _rows(MIXED, len(grams), part, key=grams)
+        yield _rows(CHECK, int(many.sum()), part, context=a["gram"][many], doc_id=ids(many), at=a["at"][many], x=a["x"][many], y=a["y"][many])
 
 
 def _scan(folder: str):
@@ -257,24 +262,37 @@ def _scan(folder: str):
     return scan
 
 
-def _by_gram(batches):
-    """Verdicts on rows sorted by gram, context (flags first), doc_id, part, at."""
+def _judge(batches):
+    """Verdicts on rows sorted by key, context (flags first), doc_id, part, at; other kinds pass."""
+    names = [c.split()[0] for c in JUDGED.split(", ")]
     rest: pa.Table | None = None
 
     def judge(t: pa.Table):
-        kind, gram = t["kind"].to_numpy(), t["gram"].to_numpy()
-        context = t["context"].fill_null(0).to_numpy()
+        kind = t["kind"].to_numpy()
+        own = (kind == SINGLE) | (kind == MIXED)
+        if not own.all():
+            r = t.filter(pa.array(~own))
+            yield pa.record_batch([r[c].combine_chunks() for c in ("kind", "context", "doc_id", "part", "at", "x", "y", "file")], names)
+            t, kind = t.filter(pa.array(own)), kind[own]
+        if not len(kind):
+            return
+        gram, context = t["key"].to_numpy(), t["context"].fill_null(0).to_numpy()
         mixed = kind == MIXED
         group = np.concatenate([[0], np.cumsum(gram[1:] != gram[:-1])])
         first_of = np.concatenate([[True], (gram[1:] != gram[:-1]) | (context[1:] != context[:-1]) | mixed[:-1]])
         contexts = np.bincount(group, first_of & ~mixed)
         flagged = np.bincount(group, mixed) > 0
         check = first_of & ~mixed & (flagged | (contexts > 1))[group]
+        if check.any():
+            r = t.filter(pa.array(check))
+            yield pa.record_batch([pa.array(np.full(r.num_rows, CHECK, np.int32)), *(r[c].combine_chunks() for c in ("key", "doc_id", "part", "at", "x", "y", "file"))], names)
         repeat = ~first_of & ~mixed
-        for verdict, rows in ((CHECK, check), (REPEAT, repeat)):
-            if rows.any():
-                r = t.filter(pa.array(rows))
-                yield pa.record_batch([pa.array(np.full(r.num_rows, verdict, np.int32)), *(r[c].combine_chunks() for c in ("doc_id", "part", "at", "x", "y"))], ["kind", "doc_id", "part", "at", "x", "y"])
+        if repeat.any():
+            again = t.filter(pa.array(repeat))
+            part, at, x, y = (again[c].to_numpy() for c in ("part", "at", "x", "y"))
+            n = len(at)
+            empty = pa.nulls(n, pa.int64())
+            yield pa.record_batch([pa.array(np.full(n, REPEAT, np.int32)), empty, empty, pa.array(part), pa.array(at - x), pa.array(at - y + LENGTH), empty, pa.nulls(n, pa.string())], names)
 
     for batch in batches:
         if not batch.num_rows:
@@ -282,48 +300,100 @@ def _by_gram(batches):
         t = pa.Table.from_batches([batch])
         if rest is not None:
             t = pa.concat_tables([rest, t])
-        gram = t["gram"].to_numpy()
-        cut = int(np.searchsorted(gram, gram[-1], side="left"))  # the last gram may go on
+        key = t["key"].to_numpy()
+        cut = int(np.searchsorted(key, key[-1], side="left"))  # the last key may go on
         rest = t.slice(cut)
         if cut:
             yield from judge(t.slice(0, cut))
-    if rest is not None:
+        if rest.num_rows > BLOCK_ANCHORS and key[-1] == rest["key"][0].as_py() and rest["kind"].to_numpy().max() not in (SINGLE, MIXED):
+            yield from judge(rest)  # rows that only pass need not wait
+            rest = None
+    if rest is not None and rest.num_rows:
         yield from judge(rest)
 
 
-def _strings(batches):
-    """Hashes of the strings to check: ``hash, doc_id, part, at`` of the first in each block; local repeats with ``x``."""
-    names = ["hash", "doc_id", "part", "at", "x"]
+def _first(h, d, ok, part, q):
+    """(order, first of each hash in it) of strings by hash, then doc_id, part, place."""
+    order = np.lexsort((q, part, d, ok, h))
+    s = h[order]
+    return order, np.concatenate([[True], s[1:] != s[:-1]])
 
-    def compare(parts, part):
-        h, d, ok, q = (np.concatenate(c) for c in zip(*parts))
-        order = np.lexsort((q, d, ok, h))
-        h, d, ok, q = h[order], d[order], ok[order], q[order]
-        first = np.concatenate([[True], h[1:] != h[:-1]])
-        n = int(first.sum())
-        yield pa.record_batch([pa.array(h[first]), pa.array(d[first], mask=~ok[first]), pa.array(np.full(n, part)), pa.array(q[first]), pa.nulls(n, pa.int64())], names)
-        s, e = merged(q[~first], q[~first] + LENGTH)
-        n = len(s)
-        yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, part)), pa.array(s), pa.array(e)], names)
 
+def _contexts(batches):
+    """What the strings to check of each anchor cover: ``gram, doc_id, part, at, n, data``."""
     for (part,), t in common.groups(batches, ["part"]):
         reader = ShardReader(t["file"][0].as_py())
         at, x, y = (t[c].to_numpy() for c in ("at", "x", "y"))
-        ids, ok = t["doc_id"].fill_null(0).to_numpy(), t["doc_id"].is_valid().to_numpy()
-        blocks, parts, count = reader.find(at), [], 0
-        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(at)]
-        for a, b in zip(cuts, cuts[1:]):
-            base = int(reader.rows[blocks[a], 0])
-            hasher = Hasher(np.frombuffer(reader.block(int(blocks[a])), np.uint8))
-            n = x[a:b] - y[a:b] + 1
-            q = np.repeat(at[a:b] - x[a:b] - base - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            parts.append((hasher.of(q, q + LENGTH).view(np.int64), np.repeat(ids[a:b], n), np.repeat(ok[a:b], n), q + base))
-            count += len(q)
-            if count >= BLOCK_STRINGS:
-                yield from compare(parts, part)
-                parts, count = [], 0
-        if parts:
-            yield from compare(parts, part)
+        blocks, data = reader.find(at), []
+        for k, a, b in zip(blocks.tolist(), (at - x).tolist(), (at - y + LENGTH).tolist()):
+            base = int(reader.rows[k, 0])
+            data.append(reader.block(k)[a - base : b - base])
+        yield pa.record_batch([t["gram"].combine_chunks(), t["doc_id"].combine_chunks(), t["part"].combine_chunks(), pa.array(at - x), pa.array(x - y + 1), pa.array(data, pa.binary())], ["gram", "doc_id", "part", "at", "n", "data"])
+
+
+def _hashes(t):
+    """(hash, doc_id, has one, part, place) of every string of rows of contexts."""
+    data, n = t["data"].to_pylist(), t["n"].to_numpy()
+    hasher = Hasher(np.frombuffer(b"".join(data), np.uint8))
+    starts = np.cumsum([0, *map(len, data)])[:-1]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    q = np.repeat(starts, n) + step
+    spread = lambda v: np.repeat(v, n)
+    # The gram and its place go in, so that only strings of one gram can be equal.
+    h = mix(hasher.of(q, q + LENGTH) ^ spread(t["gram"].to_numpy().view(np.uint64)))
+    return h.view(np.int64), spread(t["doc_id"].fill_null(0).to_numpy()), spread(t["doc_id"].is_valid().to_numpy()), spread(t["part"].to_numpy()), spread(t["at"].to_numpy()) + step
+
+
+def _intervals(part, q):
+    """Merged intervals of repeated strings as rows ``part, at, x``."""
+    order = np.lexsort((q, part))
+    part, q = part[order], q[order]
+    if not len(q):
+        return pa.record_batch([pa.array(part), pa.array(q), pa.array(q)], ["part", "at", "x"])
+    head = np.concatenate([[True], (part[1:] != part[:-1]) | (q[1:] > q[:-1] + LENGTH)])
+    last = np.append(np.flatnonzero(head)[1:], len(q)) - 1
+    return pa.record_batch([pa.array(part[head]), pa.array(q[head]), pa.array(q[last] + LENGTH)], ["part", "at", "x"])
+
+
+def _within(batches):
+    """Repeats among contexts that are sorted by gram: ``part, at, x``."""
+
+    def compare(t):
+        h, d, ok, part, q = _hashes(t)
+        order, first = _first(h, d, ok, part, q)
+        again = order[~first]
+        return _intervals(part[again], q[again])
+
+    rest, count = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        rest = t if rest is None else pa.concat_tables([rest, t])
+        count += int(batch.column("n").to_numpy().sum())
+        if count >= BLOCK_STRINGS:
+            gram = rest["gram"].to_numpy()
+            cut = int(np.searchsorted(gram, gram[-1], side="left"))  # the last gram may go on
+            if cut:
+                yield compare(rest.slice(0, cut))
+                rest = rest.slice(cut)
+                count = int(rest["n"].to_numpy().sum())
+    if rest is not None:
+        yield compare(rest)
+
+
+def _spread(batches):
+    """For hot grams: the first of equal strings in each batch (``hash`` set) and repeats (``x`` set)."""
+    names = ["hash", "doc_id", "part", "at", "x"]
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        for at in range(0, t.num_rows, HOT):
+            h, d, ok, part, q = _hashes(t.slice(at, HOT))
+            order, first = _first(h, d, ok, part, q)
+            one, again = order[first], order[~first]
+            yield pa.record_batch([pa.array(h[one]), pa.array(d[one], mask=~ok[one]), pa.array(part[one]), pa.array(q[one]), pa.nulls(len(one), pa.int64())], names)
+            r = _intervals(part[again], q[again])
+            yield pa.record_batch([pa.nulls(r.num_rows, pa.int64()), pa.nulls(r.num_rows, pa.int64()), r.column("part"), r.column("at"), r.column("x")], names)
 
 
 def _cut(batches):
@@ -359,20 +429,24 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     folder = common.fresh_dir(spark, "repeats")
     fs, path = common.filesystem(folder)
     fs.create_dir(path, recursive=True)
-    common.documents(docs).mapInArrow(_scan(folder), FOUND).write.partitionBy("kind").parquet(f"{folder}/found")
-    found = spark.read.schema(FOUND).parquet(f"{folder}/found")
-    of = lambda *kinds: found.where(F.col("kind").isin(*kinds))
+    found = common.documents(docs).mapInArrow(_scan(folder), FOUND).repartition("key")
+    order = ["key", F.col("context").asc_nulls_first(), "doc_id", "part", "at"]
+    found.sortWithinPartitions(*order).mapInArrow(_judge, JUDGED).write.partitionBy("kind").parquet(f"{folder}/judged")
+    judged = spark.read.schema(JUDGED).parquet(f"{folder}/judged")
+    of = lambda kind: judged.where(F.col("kind") == kind)
     shards = of(SHARD).select("part", "file")
-    by_gram = of(SINGLE, MIXED).select("kind", "gram", "context", "doc_id", "part", "at", "x", "y").repartition("gram")
-    order = ["gram", F.col("context").asc_nulls_first(), "doc_id", "part", "at"]
-    verdicts = common.materialise(by_gram.sortWithinPartitions(*order).mapInArrow(_by_gram, "kind int, doc_id long, part long, at long, x long, y long"), "gram-verdicts")
-    place = ["doc_id", "part", "at", "x", "y"]
-    check = of(CHECK).select(*place).unionByName(verdicts.where(F.col("kind") == CHECK).select(*place))
-    strings = common.materialise(check.join(shards, "part").repartition("part").sortWithinPartitions("part", "at").mapInArrow(_strings, "hash long, doc_id long, part long, at long, x long"), "strings")
-    least = strings.where("hash IS NOT NULL").groupBy("hash").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "part", "at")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    same = strings.where("hash IS NOT NULL").join(least.select("hash", "least"), "hash").where(~(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("part") == F.col("least.part")) & (F.col("at") == F.col("least.at"))))
-    repeats = of(REPEAT).select("part", "at", "x")
-    repeats = repeats.union(verdicts.where(F.col("kind") == REPEAT).select("part", (F.col("at") - F.col("x")).alias("at"), (F.col("at") - F.col("y") + LENGTH).alias("x")))
-    repeats = repeats.union(strings.where("x IS NOT NULL").select("part", "at", "x")).union(same.select("part", "at", (F.col("at") + LENGTH).alias("x")))
+    check = of(CHECK).select("gram", "doc_id", "part", "at", "x", "y").join(shards, "part").repartition("part").sortWithinPartitions("part", "at")
+    contexts = check.mapInArrow(_contexts, "gram long, doc_id long, part long, at long, n long, data binary")
+    hot = common.materialise(of(CHECK).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("gram"), "hot-grams")
+    any_hot = not hot.isEmpty()
+    some = contexts.join(hot, "gram", "left_anti") if any_hot else contexts
+    repeats = of(REPEAT).select("part", "at", "x").union(some.repartition("gram").sortWithinPartitions("gram").mapInArrow(_within, "part long, at long, x long"))
+    if any_hot:
+        strings = common.materialise(contexts.join(hot, "gram", "left_semi").mapInArrow(_spread, "hash long, doc_id long, part long, at long, x long"), "hot-strings")
+        firsts = strings.where("hash IS NOT NULL")
+        place = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "part", "at")
+        least = firsts.groupBy("hash").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").select("hash", "least")
+        later = firsts.join(least, "hash").where(place != F.col("least"))
+        repeats = repeats.union(strings.where("x IS NOT NULL").select("part", "at", "x")).union(later.select("part", "at", (F.col("at") + LENGTH).alias("x")))
     rows = of(DOC).select("kind", "doc_id", "part", "at", "x").unionByName(repeats.select(F.lit(REPEAT).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "part", "at", "x"))
     return rows.join(shards, "part").repartition("part").sortWithinPartitions("part").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
