@@ -6,7 +6,7 @@ candidates.  Base identifiers are the seeds.  The words left and right of a seed
 or candidate are its lexical patterns; patterns and identifiers (by hash, so that
 no personal data is copied) form a weighted graph.  Spark then scores the graph
 in rounds: a pattern is worth the mean score of what it surrounds, an identifier
-the mean of its patterns, and seeds stay at 1.  Candidates of patterns that end
+the mean of its patterns on its better side, and seeds stay at 1.  Candidates of patterns that end
 up trustworthy and well supported join the result as spans of kind ``id``.
 
 The graph is aggregated to distinct (pattern, identifier) edges before anything
@@ -150,7 +150,8 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, D
         patterns = weighed.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("score"), F.sum((F.col("score") >= ID_SCORE).cast("long")).alias("support"))
         # A pattern that too few identifiers support says nothing in favour.
         told = patterns.select("pattern", F.when(F.col("support") >= SUPPORT, F.col("score")).otherwise(0.0).alias("worth"))
-        spread = edges.where("NOT known").join(told, "pattern").groupBy("ident").agg((F.sum(F.col("n") * F.col("worth")) / F.sum("n")).alias("score"))
+        sides = edges.where("NOT known").join(told, "pattern").groupBy("ident", F.substring("pattern", 1, 1).alias("side")).agg((F.sum(F.col("n") * F.col("worth")) / F.sum("n")).alias("score"))
+        spread = sides.groupBy("ident").agg(F.max("score").alias("score"))
         idents = common.materialise(seeds.unionByName(spread.join(seeds, "ident", "left_anti")), "pii-scores")
     return patterns, idents
 
