@@ -44,9 +44,9 @@ from .shingles import mix
 
 LENGTH, GRAM = 100, 32
 #: Raw bytes in a compressed block of a shard; anchors in a block of the first comparison.
-BLOCK_BYTES, BLOCK_ANCHORS = 1 << 18, 2_000_000
+BLOCK_BYTES, BLOCK_ANCHORS = 1 << 18, 400_000
 #: String hashes that a checking task compares at once.
-BLOCK_STRINGS = 2_000_000
+BLOCK_STRINGS = 400_000
 #: Contexts of one gram that a task may hold.
 HOT = 50_000
 DOC, SINGLE, MIXED, CHECK, REPEAT, SHARD = range(6)
