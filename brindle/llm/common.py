@@ -54,6 +54,16 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+#: Caches that operators keep in a worker process from task to task.
+CACHES: list[dict] = []
+
+
+def fresh_worker() -> None:
+    """Drop what tasks of other operators have left in this worker process."""
+    for cache in CACHES:
+        cache.clear()
+
+
 def documents(df: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone, a null text as the empty one."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

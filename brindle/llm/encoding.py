@@ -16,6 +16,8 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from . import common
+
 #: Pieces that one encoder remembers before it starts anew (bounds its memory).
 MEMO_PIECES = 700_000
 #: Longer pieces are encoded but not remembered.
@@ -127,6 +129,7 @@ class Encoder:
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
+common.CACHES.append(_ENCODERS)
 
 
 def encoder(name: str, dtype: str, end: int | None) -> Encoder:

@@ -45,8 +45,8 @@ SIMILAR = 75
 LOOSE = 0.6
 #: Rows of a bucket in one block of the comparison across components.
 BLOCK = 256
-#: Sets that a verifying task keeps.
-HELD_SETS = 2_000
+#: Hashes of sets that a verifying task keeps.
+HELD_HASHES = 4_000_000
 SKETCH = "doc_id long, n_shingles long, fp binary, file string, at long, brief binary, bands array<bigint>"
 
 
@@ -55,6 +55,7 @@ def _sketch(folder: str, places: int, bands: int):
     rows = places // bands
 
     def sketch(batches):
+        common.fresh_worker()
         shingler, out, uri, at = Shingler(), None, "", 0
         for batch in batches:
             if out is None and batch.num_rows:
@@ -94,6 +95,7 @@ class _Sets:
     def __init__(self) -> None:
         self.files: dict[str, object] = {}
         self.held: dict[tuple[str, int], np.ndarray] = {}
+        self.size = 0
 
     def get(self, uri: str, at: int, n: int) -> np.ndarray:
         key = (uri, at)
@@ -103,8 +105,9 @@ class _Sets:
                     self.files.pop(next(iter(self.files))).close()
                 fs, path = common.filesystem(uri)
                 self.files[uri] = fs.open_input_file(path)
-            if len(self.held) >= HELD_SETS:
-                self.held.pop(next(iter(self.held)))
+            while self.held and self.size + n > HELD_HASHES:
+                self.size -= len(self.held.pop(next(iter(self.held))))
+            self.size += n
             self.held[key] = np.frombuffer(self.files[uri].read_at(8 * n, 8 * at), np.uint64)
         return self.held[key]
 

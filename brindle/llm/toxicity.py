@@ -22,11 +22,13 @@ any training rows every score is 0; columns besides ``doc_id``, ``text`` and
 
 from __future__ import annotations
 
+import tempfile
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ MAX_TOXIC, MAX_CLEAN = 6_000, 10_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 6.0, 1.0, 2
 THRESHOLD = 0.3
 #: Words that one task remembers before it starts anew.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -151,23 +153,28 @@ class Ftrl:
 
 
 def _train(batches):
-    features, sets, labels = Features(), [], []
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        labels += batch.column("toxic").to_pylist()
-        for i in range(0, len(texts), 64):
-            part = texts[i : i + 64]
-            doc, place = features.of(part)
-            key = np.unique(doc << BITS | place)
-            cut = np.searchsorted(key, np.arange(1, len(part)) << BITS)
-            sets += [x.astype(np.int32) for x in np.split(key & ((1 << BITS) - 1), cut)]
-    if sets:
+    """One pass hashes the features to a file of the task, so that memory holds only the model."""
+    common.fresh_worker()
+    features, ends, labels = Features(), [0], []
+    with tempfile.TemporaryFile() as spool:
+        for batch in batches:
+            labels += batch.column("toxic").to_pylist()
+            for i in range(0, batch.num_rows, 64):
+                part = batch.column("text").slice(i, 64).to_pylist()
+                doc, place = features.of(part)
+                key = np.unique(doc << BITS | place)
+                spool.write((key & ((1 << BITS) - 1)).astype(np.int32).tobytes())
+                ends += (ends[-1] + np.searchsorted(key, np.arange(1, len(part) + 1) << BITS)).tolist()
+        if not labels:
+            return
+        del features
         model = Ftrl()
         for _ in range(EPOCHS):
-            for x, y in zip(sets, labels):
-                model.learn(x, y)
-        places, weights, bias = model.weights()
-        yield pa.record_batch([pa.array([*places.tolist(), -1]), pa.array([*weights.tolist(), bias])], ["place", "weight"])
+            spool.seek(0)
+            for start, end, label in zip(ends, ends[1:], labels):
+                model.learn(np.frombuffer(spool.read(4 * (end - start)), np.int32), label)
+    places, weights, bias = model.weights()
+    yield pa.record_batch([pa.array([*places.tolist(), -1]), pa.array([*weights.tolist(), bias])], ["place", "weight"])
 
 
 def in_held_out(doc_id: Column) -> Column:
@@ -196,14 +203,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def _scorer(model: Model, names: list[str], output: str):
     def score(batches):
+        common.fresh_worker()
         features, table = Features(), model.table()
         for batch in batches:
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
-            out, start, held = [], 0, 0
-            for i, t in enumerate(texts):
-                held += len(t)
+            texts, out, start, held = batch.column("__text"), [], 0, 0
+            for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+                held += n
                 if held > 1 << 20 or i == len(texts) - 1:
-                    out.append(model.scores(texts[start : i + 1], features, table))
+                    out.append(model.scores([t or "" for t in texts.slice(start, i + 1 - start).to_pylist()], features, table))
                     start, held = i + 1, 0
             yield pa.record_batch([*(batch.column(n) for n in names), pa.array(np.concatenate([np.zeros(0), *out]))], [*names, output])
 
