@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Edits allowed for each character of an item, and the length under which none is.
-BUDGET, SHORT = 0.05, 40
+BUDGET, SHORT = 0.08, 40
 #: Characters of items in one scan.
 SHARD_CHARS = 8_000_000
 MATCHES = "doc_id long, item_id long, distance long, budget long"
