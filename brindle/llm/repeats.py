@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .induced import sort_suffixes
 from .shingles import mix
 
 LENGTH, GRAM = 100, 32
@@ -53,6 +54,7 @@ DOC, SINGLE, MIXED, CHECK, REPEAT, SHARD = range(6)
 #: ``key``: what a row is dealt out by, the gram where there is one.
 FOUND = "kind int, key long, context long, doc_id long, part long, at long, x long, y long, file string"
 JUDGED = "kind int, gram long, doc_id long, part long, at long, x long, y long, file string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 FIELDS = [c.split()[0] for c in FOUND.split(", ")]
 
 _RNG = np.random.Generator(np.random.PCG64(2024))
@@ -423,6 +425,58 @@ def _cut(batches):
         yield pa.record_batch([ids, pa.array(n), pa.array(removed), pa.array(spans), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _shard_repeats(batches):
+    """The result for all rows of one task, by external induced sorting."""
+    ids, texts = [], []
+    for batch in batches:
+        ids += batch.column("doc_id").to_pylist()
+        texts += [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+    if not ids:
+        return
+    sequence = np.concatenate([x for t in texts for x in (np.frombuffer(t, np.uint8).astype(np.int16) + 2, np.ones(1, np.int16))] + [np.zeros(1, np.int16)]).tolist()
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1  # the separators
+    left = np.zeros(len(sequence), np.int64)
+    for start, end in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist()):
+        left[start:end] = np.arange(end - start, 0, -1)
+    repeated, run = [], []
+
+    def close():
+        if len(run) > 1:
+            least = min(run)
+            repeated.extend(p for p in run if p != least)
+
+    for pos, lcp in sort_suffixes(sequence):
+        if lcp < LENGTH:
+            close()
+            run = []
+        if left[pos] >= LENGTH:
+            run.append(pos)
+    close()
+    q = np.array(sorted(repeated), np.int64)
+    start, end = merged(q, q + LENGTH)
+    out = []
+    for doc_id, text, stop in zip(ids, texts, ends.tolist()):
+        first = stop - len(text)
+        h, here, removed, spans = hashlib.sha256(), first, 0, 0
+        for k in range(int(np.searchsorted(end, first, side="right")), int(np.searchsorted(start, stop, side="left"))):
+            h.update(text[here - first : start[k] - first])
+            here, removed, spans = int(end[k]), removed + int(end[k] - start[k]), spans + 1
+        h.update(text[here - first :])
+        out.append((doc_id, len(text), removed, spans, h.hexdigest()))
+    columns = list(zip(*out))
+    yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.string()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def remove_repeats_in_shard(docs: DataFrame) -> DataFrame:
+    """The result of :func:`remove_repeats` by external induced suffix sorting.
+
+    One task sorts the whole input, so this is for a shard that one node's disk holds;
+    at some 5 microseconds of CPU a byte it is beyond what a corpus allows.
+    """
+    ordered = common.documents(docs).coalesce(1).sortWithinPartitions("doc_id")
+    return ordered.mapInArrow(_shard_repeats, RESULT)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
     spark = docs.sparkSession
@@ -449,4 +503,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         later = firsts.join(least, "hash").where(place != F.col("least"))
         repeats = repeats.union(strings.where("x IS NOT NULL").select("part", "at", "x")).union(later.select("part", "at", (F.col("at") + LENGTH).alias("x")))
     rows = of(DOC).select("kind", "doc_id", "part", "at", "x").unionByName(repeats.select(F.lit(REPEAT).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "part", "at", "x"))
-    return rows.join(shards, "part").repartition("part").sortWithinPartitions("part").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.join(shards, "part").repartition("part").sortWithinPartitions("part").mapInArrow(_cut, RESULT)
