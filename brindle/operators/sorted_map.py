@@ -122,7 +122,11 @@ class SortedMap:
     guard = pin
 
     def vacuum(self, keep: int = 1) -> None:
-        """Delete the versions but the last ``keep``, and the runs that only they use."""
+        """Delete the versions but the last ``keep``, the runs that only they use, and scratch tables.
+
+        Results of :meth:`apply` and pinned views that are still to be read need theirs.
+        """
+        self.log.files.delete(f"{self.path}/scratch")
         versions = self.log.versions()
         old, kept = versions[:-keep], versions[-keep:]
         used = {r["path"] for v in kept for r in self.log.read(v)["runs"]}

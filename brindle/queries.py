@@ -7,16 +7,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import EngineConfig
 from .functions import keys as K
 from .functions.bounds import KeyRange, closed, excluded, included
 from .operators import loading, lookups, model, replay
+from .operators.lsm import LsmTable
+from .operators.sorted_map import SortedMap
+from .operators.sorted_set import SortedSet
 from .plans.order import order_violations
-from .sources import json_pairs, tsv
+from .sources import json_pairs, sstable, tsv
+from .streaming.ingest import ingest_stream, tsv_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -439,6 +446,73 @@ def set_json(spark, sf):
     return json_pairs.keys_to_json(_t(spark, sf, "nation").select(F.col("n_regionkey").alias("k")))
 
 
+# Stored maps, sets and tables
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share; a local one where none is named."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("stored_map_apply", f"WITH {_LOG.replace('FROM events', 'FROM events WHERE event_id % 2 = 0').replace("'click' THEN 'get_or_insert'", "'click' THEN 'get'")}, start AS (SELECT event_id, user_id AS k, value AS v FROM events WHERE event_id % 2 = 1), base AS (SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY event_id DESC) AS r FROM start) WHERE r = 1), touched AS (SELECT k, after FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM seen) WHERE r = 1 AND after IS NOT NULL) SELECT coalesce(b.k, t.k) AS k, CASE WHEN t.k IS NULL THEN b.v ELSE t.after.v END AS v FROM base b FULL JOIN touched t ON b.k = t.k WHERE t.k IS NULL OR t.after.live")
+def stored_map_apply(spark, sf):
+    """A map of every other event, the operations of the rest applied to it, its contents read back.
+
+    Inserts, deletions and reads only, for which the start of a key doesn't matter to its end.
+    """
+    m = SortedMap.from_rows(spark, _scratch(spark, "map"), _events(spark, sf).where("pos % 2 = 1"))
+    log = _log(spark, sf).where("seq % 2 = 0").withColumn("op", F.when(F.col("op") == replay.GET_OR_INSERT, replay.GET).otherwise(F.col("op")))
+    m.apply(log)
+    return m.iter()
+
+
+@query("stored_set", "SELECT DISTINCT user_id AS k FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) ORDER BY k")
+def stored_set(spark, sf):
+    s = SortedSet.from_rows(spark, _scratch(spark, "set"), _t(spark, sf, "events").select(F.col("user_id").alias("k")))
+    s.map.remove_many(_t(spark, sf, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("k")))
+    return s.range()
+
+
+_TABLE_LATEST = "SELECT user_id::VARCHAR AS k, event_type AS v FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1"
+
+
+def _byte_rows(spark, sf) -> DataFrame:
+    return _t(spark, sf, "events").select(F.col("event_id").alias("pos"), F.encode(F.col("user_id").cast("string"), "UTF-8").alias("k"), F.encode(F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")), "UTF-8").alias("v"))
+
+
+@query("stored_table_ingest", f"SELECT k, v FROM ({_TABLE_LATEST}) WHERE v <> 'error'")
+def stored_table_ingest(spark, sf):
+    """Five batches of events, an empty value deleting; compaction merges four of the runs on the way."""
+    table, rows = LsmTable(spark, _scratch(spark, "table"), EngineConfig()), _byte_rows(spark, sf)
+    last = rows.agg(F.max("pos")).first()[0] + 1
+    for i in range(5):
+        table.ingest(rows.where((F.col("pos") >= last * i // 5) & (F.col("pos") < last * (i + 1) // 5)))
+    return table.to_df().select(F.decode("k", "UTF-8").alias("k"), F.decode("v", "UTF-8").alias("v"))
+
+
+@query("stored_table_stream", "SELECT user_id::VARCHAR AS k, (event_type || chr(9) || event_id) AS v FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def stored_table_stream(spark, sf):
+    """Events written as tab-separated text, streamed into a table, and read back."""
+    folder = _scratch(spark, "tsv")
+    lines = _t(spark, sf, "events").select("event_id", F.concat_ws("\t", "user_id", "event_type", "event_id").alias("value"))
+    lines.coalesce(1).sortWithinPartitions("event_id").select("value").write.text(f"{folder}/in")
+    ingest_stream(tsv_stream(spark, f"{folder}/in"), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return LsmTable(spark, f"{folder}/table").to_df().select(F.decode("k", "UTF-8").alias("k"), F.decode("v", "UTF-8").alias("v"))
+
+
+@query("sst_round_trip", "SELECT c_name AS k, c_mktsegment AS v FROM customer WHERE c_name >= 'Customer#000000010' AND c_name < 'Customer#00000005'")
+def sst_round_trip(spark, sf):
+    """Customers written as sorted string tables, a key range read back."""
+    spark.dataSource.register(sstable.SstDataSource)
+    path = _scratch(spark, "sst")
+    rows = _t(spark, sf, "customer").select(F.encode("c_name", "UTF-8").alias("k"), F.encode("c_mktsegment", "UTF-8").alias("v"))
+    rows.repartitionByRange("k").sortWithinPartitions("k").write.format("sst").option("path", path).mode("append").save()
+    back = spark.read.format("sst").option("path", path).load()
+    inside = back.where((F.col("k") >= F.encode(F.lit("Customer#000000010"), "UTF-8")) & (F.col("k") < F.encode(F.lit("Customer#00000005"), "UTF-8")))
+    return inside.select(F.decode("k", "UTF-8").alias("k"), F.decode("v", "UTF-8").alias("v"))
+
+
 # Workloads
 
 

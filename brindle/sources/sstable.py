@@ -4,8 +4,9 @@ Layout: data blocks of entries ``klen u32, key, vlen u32, value``; an index of
 ``klen u32, first key, offset u64, length u64`` for each block; a footer of 20 bytes,
 ``index offset u64, entry count u64, magic u32``.  Integers are little-endian.
 
-The source plans one task for some consecutive blocks of a file and skips the
-blocks that comparisons on ``k`` rule out.
+The source plans one task for some consecutive blocks of a file.  With option
+``pushFilters`` (and ``spark.sql.python.filterPushdown.enabled``) it skips the blocks that
+comparisons on ``k`` rule out.
 """
 
 from __future__ import annotations
@@ -122,15 +123,6 @@ class _Reader(DataSourceReader):
     def __init__(self, path: str) -> None:
         self.path, self.low, self.high = path, None, None
 
-    def pushFilters(self, filters):
-        for f in filters:
-            key = bytes(f.value) if getattr(f, "attribute", None) == ("k",) and isinstance(getattr(f, "value", None), (bytes, bytearray)) else None
-            if key is not None and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                self.low = key if self.low is None else max(self.low, key)
-            if key is not None and isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
-                self.high = key if self.high is None else min(self.high, key)
-            yield f  # blocks are skipped; rows are still filtered by Spark
-
     def partitions(self):
         fs, path = open_fs(self.path)
         info = fs.get_file_info(path)
@@ -164,6 +156,19 @@ class _Reader(DataSourceReader):
                     yield from decode_block(f.read_at(size, offset))
 
 
+class _FilteringReader(_Reader):
+    """For sessions in which Python sources receive filters."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            key = bytes(f.value) if getattr(f, "attribute", None) == ("k",) and isinstance(getattr(f, "value", None), (bytes, bytearray)) else None
+            if key is not None and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                self.low = key if self.low is None else max(self.low, key)
+            if key is not None and isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                self.high = key if self.high is None else min(self.high, key)
+            yield f  # blocks are skipped; rows are still filtered by Spark
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     path: str
@@ -211,7 +216,7 @@ class SstDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return _Reader(self.options["path"])
+        return (_FilteringReader if self.options.get("pushfilters", "false").lower() == "true" else _Reader)(self.options["path"])
 
     def writer(self, schema, overwrite):
         return _Writer(self.options["path"], int(self.options.get("blockbytes", BLOCK_BYTES)))

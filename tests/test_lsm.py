@@ -156,6 +156,7 @@ def test_sst_source(spark, tmp_path):
     df.repartitionByRange(3, "k").sortWithinPartitions("k").write.format("sst").option("path", path).option("blockBytes", 64).mode("append").save()
     back = spark.read.format("sst").option("path", path).load()
     assert back.count() == 1000
+    back = spark.read.format("sst").option("path", path).option("pushFilters", "true").load()
     some = back.where("k >= encode('000100', 'UTF-8') AND k < encode('000110', 'UTF-8')")
     assert sorted(bytes(r["v"]) for r in some.collect()) == [str(i).encode() for i in range(100, 110)]
 
@@ -172,6 +173,21 @@ def test_wal_round_trip(records, cut):
         assert short == records[: len(short)]
 
 
+def test_blocks_outside_a_range_are_not_planned(tmp_path):
+    from pyspark.sql.datasource import GreaterThanOrEqual, LessThan
+
+    rows = [(b"%06d" % i, b"x") for i in range(1000)]
+    with open(tmp_path / "a.sst", "wb") as f:
+        w = sstable.TableWriter(f, 64)
+        for k, v in rows:
+            w.add(k, v)
+        w.finish()
+    r = sstable._FilteringReader(str(tmp_path))
+    list(r.pushFilters([GreaterThanOrEqual(("k",), b"000100"), LessThan(("k",), b"000110")]))
+    read = [row for p in r.partitions() for row in r.read(p)]
+    assert {b"%06d" % i for i in range(100, 110)} <= {k for k, _ in read} and len(read) < 30
+
+
 def test_wal_source_and_corruption(spark, tmp_path):
     with pytest.raises(CorruptionError):
         list(wal.decode(b"\x07rest"))

@@ -98,6 +98,18 @@ def test_second_writer_fails(spark, tmp_path):
         m.log.publish(0, {})
 
 
+def test_a_dead_writers_claim_expires(spark, tmp_path, monkeypatch):
+    from brindle.plans import manifest
+
+    m = SortedMap.new(spark, str(tmp_path / "m"), "k long, v string")
+    m.log.files.write(f"{m.log.folder}/{1:012d}.claim", b"")
+    with pytest.raises(ConcurrentWriteError):
+        m.clear()
+    monkeypatch.setattr(manifest, "STALE_SECONDS", -1)
+    m.clear()
+    assert m.version == 1
+
+
 def test_json(spark, tmp_path):
     m = SortedMap.from_json(spark, str(tmp_path / "a"), '[[1,"a\\"b"],[2,"c"]]', "k long, v string")
     assert m.iter_sorted() == [(1, 'a"b'), (2, "c")] and m.to_json() == '[[1,"a\\"b"],[2,"c"]]'
