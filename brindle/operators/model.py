@@ -22,9 +22,14 @@ EPSILON = 2.0**-52
 
 
 def slot(x: Column, slope: Column, intercept: Column, size: Column) -> Column:
-    """Rounded half away from zero and clamped to the array."""
-    raw = F.round(slope * x + intercept)
-    return F.greatest(F.least(raw, (size - 1).cast("double")), F.lit(0.0)).cast("long")
+    """Rounded half away from zero and clamped to the array.
+
+    The bounds are whole, so clamping may come first; what is left is not negative and is
+    rounded by its exact fraction, which is far cheaper than the decimal ``round``.
+    """
+    at = F.greatest(F.least(slope * x + intercept, (size - 1).cast("double")), F.lit(0.0))
+    whole = F.floor(at)
+    return whole + (at - whole >= 0.5).cast("long")
 
 
 def split_slot(ordinal: Column, midpoint: Column, size: Column) -> Column:
@@ -58,22 +63,20 @@ def _candidates(stats: DataFrame, headroom: float) -> DataFrame:
     return out.withColumn("intercepts", F.transform("slopes", lambda s: F.lit(0.0) - s * F.col("lo")))
 
 
-def _conflicts(head: Column, x: Column, prev: Column) -> list[Column]:
-    out = []
-    for c in range(CANDIDATES + 1):
-        s, i = F.col("slopes")[c], F.col("intercepts")[c]
-        same = slot(x, s, i, F.col("size")) == slot(prev, s, i, F.col("size"))
-        out.append(F.sum((~head & same).cast("long")).alias(f"c{c}"))
-    return out
+def _judged(rows: DataFrame, keys: list[str], head: str) -> DataFrame:
+    """``keys`` and ``best``, the candidate with the fewest conflicts, the earliest of equals.
 
-
-def _best(df: DataFrame) -> DataFrame:
-    """The candidate with the fewest conflicts, the earliest of equals."""
-    scored = F.array(*[F.when(F.col("slopes")[c].isNotNull(), F.struct(F.col(f"c{c}").alias("conflicts"), F.lit(c).alias("candidate"), F.col("slopes")[c].alias("slope"), F.col("intercepts")[c].alias("intercept"))) for c in range(CANDIDATES + 1)])
-    return df.withColumn("_b", F.array_min(F.filter(scored, lambda s: s.isNotNull())))
+    ``rows`` carry ``x``, ``prev_x``, ``size`` and the candidates.  Each row is spread over the
+    candidates within the scan and summed before the shuffle.
+    """
+    tried = F.filter(F.transform(F.sequence(F.lit(0), F.lit(CANDIDATES)), lambda j: F.struct(j.alias("candidate"), F.get("slopes", j).alias("slope"), F.get("intercepts", j).alias("intercept"))), lambda c: c["slope"].isNotNull())
+    spread = rows.select(*keys, "x", "prev_x", "size", F.col(head).alias("_head"), F.explode(tried).alias("c")).select(*keys, "x", "prev_x", "size", "_head", "c.*")
+    same = slot(F.col("x"), F.col("slope"), F.col("intercept"), F.col("size")) == slot(F.col("prev_x"), F.col("slope"), F.col("intercept"), F.col("size"))
+    counts = spread.groupBy(*keys, "candidate", "slope", "intercept").agg(F.sum((~F.col("_head") & same).cast("long")).alias("conflicts"))
+    return counts.groupBy(*keys).agg(F.min(F.struct("conflicts", "candidate", "slope", "intercept")).alias("_b"))
 
 
-def fit(df: DataFrame, x: str, expansion: float = 2.0, headroom: float = 0.0, buckets: int = 200) -> DataFrame:
+def fit(df: DataFrame, x: str, expansion: float = 2.0, headroom: float = 0.0, buckets: int | None = None) -> DataFrame:
     """One row ``n, slope, intercept, size, conflicts, candidate`` for the inputs in column ``x``; none if empty.
 
     One key gives the constant model of size 1; equal inputs all go to the middle.
@@ -87,9 +90,7 @@ def fit(df: DataFrame, x: str, expansion: float = 2.0, headroom: float = 0.0, bu
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.max(F.col("x") - F.col("prev_x")).alias("gap")).where("n > 0")
     stats = _candidates(stats.withColumn("size", F.when(F.col("n") == 1, F.lit(1).cast("long")).otherwise(array_size(F.col("n"), expansion, headroom))), headroom)
     judged = rows.crossJoin(F.broadcast(stats))  # stats is one row
-    fixed = ["n", "lo", "hi", "size", "slopes", "intercepts"]
-    counts = judged.groupBy(*fixed).agg(*_conflicts(F.col("is_first"), F.col("x"), F.col("prev_x")))
-    best = _best(counts)
+    best = stats.join(_judged(judged, ["n"], "is_first"), "n", "left")
     single, equal = F.col("n") == 1, (F.col("hi") - F.col("lo")) < EPSILON
     return best.select(
         "n",
@@ -133,7 +134,7 @@ def max_depth(df: DataFrame, x: str, table, expansion: float = 2.0, headroom: fl
         deepest = max(deepest, level + 1, level + degenerate_depth(found["most"]) if found["most"] else 0)
         open_nodes = _candidates(stats.where(~equal & (F.col("n") > 1)).withColumn("size", array_size(F.col("n"), expansion, headroom)), headroom)
         joined = rows.join(open_nodes, "node")
-        best = _best(joined.groupBy("node", "size", "slopes", "intercepts").agg(*_conflicts(F.col("head"), F.col("x"), F.col("prev_x")))).where("_b.conflicts > 0")
+        best = open_nodes.join(_judged(joined, ["node"], "head").where("_b.conflicts > 0"), "node")
         placed = rows.join(best.select("node", "size", F.col("_b.slope").alias("slope"), F.col("_b.intercept").alias("intercept")), "node")
         at = lambda c: slot(F.col(c), F.col("slope"), F.col("intercept"), F.col("size"))
         placed = placed.withColumn("s", at("x")).withColumn("head", F.col("head") | (F.col("s") != at("prev_x")))

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_previous(df: DataFrame, order: list[str], columns: list[str], buckets: int = 200) -> DataFrame:
+def with_previous(df: DataFrame, order: list[str], columns: list[str], buckets: int | None = None) -> DataFrame:
     """``df`` with ``prev_<c>`` for each of ``columns`` and ``is_first``.
 
-    ``order[0]`` must be numeric and is cut into ``buckets`` of about equal size at its
-    approximate quantiles, so the one shuffle and the window are by bucket.  The first
-    row of a bucket takes its neighbour from a table with one row a bucket.
+    ``order[0]`` must be numeric and is cut into ``buckets`` (by default as many as
+    shuffle partitions) of about equal size at its approximate quantiles, so the one
+    shuffle and the window are by bucket.  The first row of a bucket takes its neighbour
+    from a table with one row a bucket.
     """
-    fractions = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = df.agg(F.percentile_approx(F.col(order[0]).cast("double"), fractions, 10_000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order[0]).cast("double"))) if cuts else F.lit(0)
-    placed = df.withColumn("_bucket", at)
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = F.col(order[0]).cast("double")
+    fractions = F.array(*[F.lit(i / buckets) for i in range(1, buckets)]) if buckets > 1 else F.array(F.lit(0.5))
+    cuts = df.agg(F.percentile_approx(x, fractions, 10_000).alias("c")).first()["c"] or []
+    splits = [float("-inf"), *sorted({c for c in cuts if math.isfinite(c)}), float("inf")]
+    placed = df.withColumn("_x", x)
+    if len(splits) < 3:
+        placed = placed.withColumn("_bucket", F.lit(0.0)).drop("_x")
+    else:
+        placed = Bucketizer(splits=splits, inputCol="_x", outputCol="_bucket", handleInvalid="keep").transform(placed).drop("_x")
     w = Window.partitionBy("_bucket").orderBy(*order)
     held = F.struct(*columns)
     inner = placed.withColumn("_prev", F.lag(held).over(w)).withColumn("_rank", F.row_number().over(w))
