@@ -37,6 +37,8 @@ from . import common
 from .graph import components, forest
 
 COSINE = 0.93
+#: Vectors compared with all centroids at once.
+SLICE = 1024
 #: Vectors that the index is fitted on, vectors a list should hold, lists probed at most.
 SAMPLE, LIST_SIZE, PROBES = 20_000, 512, 16
 SUBSPACES, CODES, ROUNDS = 8, 256, 8
@@ -71,17 +73,22 @@ class Quantiser:
         return np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ self.centres.T + (self.centres**2).sum(axis=1), 0)
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
-        return np.argmin(self._square(x), axis=1)
+        return np.concatenate([np.argmin(self._square(x[i : i + SLICE]), axis=1) for i in range(0, len(x), SLICE)])
 
     def probes(self, x: np.ndarray, chord: float, most: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of the lists besides its own that each row must search."""
-        square = self._square(x)
-        own = np.argmin(square, axis=1)
-        between = np.sqrt(((self.centres[:, None] - self.centres[None]) ** 2).sum(axis=2))
-        margin = (square - square[np.arange(len(x)), own][:, None]) / np.maximum(2 * between[own], 1e-12)
-        may = (margin <= chord + 1e-9) & (np.arange(len(self.centres)) != own[:, None])
-        rank = np.argsort(np.argsort(np.where(may, square, np.inf), axis=1), axis=1)
-        return np.nonzero(may & (rank < most - 1))
+        rows, lists = [], []
+        for start in range(0, len(x), SLICE):
+            square = self._square(x[start : start + SLICE])
+            own = np.argmin(square, axis=1)
+            between = np.sqrt(self._square(self.centres[own]))
+            margin = (square - square[np.arange(len(own)), own][:, None]) / np.maximum(2 * between, 1e-12)
+            may = (margin <= chord + 1e-6) & (np.arange(len(self.centres)) != own[:, None])
+            rank = np.argsort(np.argsort(np.where(may, square, np.inf), axis=1), axis=1)
+            row, probe = np.nonzero(may & (rank < most - 1))
+            rows.append(row + start)
+            lists.append(probe)
+        return np.concatenate(rows), np.concatenate(lists)
 
     def encode(self, x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes, lengths of the quantisation errors) of vectors of one list."""
