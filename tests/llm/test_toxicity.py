@@ -3,12 +3,13 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from brindle.llm import toxicity as t
 
 
 def test_fold(spark):
-    df = spark.range(500).select("id", t.in_held_out(__import__("pyspark").sql.functions.col("id")).alias("h"))
+    df = spark.range(500).select("id", t.in_held_out(F.col("id")).alias("h"))
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in df.collect())
 
 
