@@ -16,7 +16,7 @@ class Config:
     ``expansion_factor`` and ``range_headroom`` shape placement models;
     ``rebuild_depth_threshold`` is the number of runs, and
     ``tombstone_ratio_threshold`` the share of deleted rows, at which a map that has
-    ``auto_rebuild`` rewrites itself.
+    ``auto_rebuild`` rewrites itself.  The defaults are fixed values.
     """
 
     expansion_factor: float = 2.0

@@ -36,11 +36,10 @@ def bytes_to_exact_ordinal(b: Column) -> Column:
 
 
 def bytes_to_ordinal_number(b: Column) -> Column:
-    """The ordinal itself, as decimal text: the 16 bytes minus 2**127 as a signed number."""
-    hi, lo = _unsigned(F.substring(F.hex(bytes_to_exact_ordinal(b)), 1, 16)), _unsigned(F.substring(F.hex(bytes_to_exact_ordinal(b)), 17, 16))
-    # hi and lo each fit 20 digits; the sum is split at 10**19 so that no step passes 38 digits.
-    signed = hi - F.lit(str(1 << 63)).cast("decimal(20,0)")
-    return F.struct(signed.alias("high"), lo.alias("low"))
+    """The ordinal, the 16 bytes minus 2**127, as ``high * 2**64 + low``; decimals hold each part, not the whole."""
+    h = F.hex(bytes_to_exact_ordinal(b))
+    high = _unsigned(F.substring(h, 1, 16)) - F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return F.struct(high.alias("high"), _unsigned(F.substring(h, 17, 16)).alias("low"))
 
 
 def int_to_model_input(k: Column) -> Column:

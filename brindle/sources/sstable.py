@@ -108,6 +108,12 @@ class TableReader:
         i = bisect.bisect_right(self.first_keys, key) - 1
         return next((v for k, v in decode_block(self.block(i)) if k == key), None) if i >= 0 else None
 
+    def entry_count(self) -> int:
+        return self.count
+
+    def read_all(self) -> list[tuple[bytes, bytes]]:
+        return list(self.scan())
+
     def scan(self) -> Iterator[tuple[bytes, bytes]]:
         for i in range(len(self.places)):
             yield from decode_block(self.block(i))
