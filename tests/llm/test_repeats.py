@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,17 +51,58 @@ def result(df):
 
 @pytest.mark.parametrize("small", [None, "blocks", "hot", "both"])
 def test_against_brute_force(spark, monkeypatch, small):
-    """Workers see the shrunken limits because the functions carry them along."""
     if small in ("blocks", "both"):
         monkeypatch.setattr(repeats, "BLOCK_BYTES", 700)
         monkeypatch.setattr(repeats, "BLOCK_ANCHORS", 40)
-        monkeypatch.setattr(repeats, "BLOCK_STRINGS", 100)
     if small in ("hot", "both"):
         monkeypatch.setattr(repeats, "HOT", 3)
     rows = made()
     assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute(rows)
 
 
+class _Task:
+    get = classmethod(lambda cls: cls())
+
+    def partitionId(self):
+        return 3
+
+
+def pieces(table, size):
+    return iter(table.combine_chunks().to_batches(max_chunksize=size))
+
+
+def lines(batches):
+    return sorted((str(r) for b in batches for r in b.to_pylist()))
+
+
+@pytest.mark.parametrize("size, limit", [(1, 1), (2, 5), (7, 60), (50, 1000)])
+def test_groups_that_span_batches(tmp_path, monkeypatch, size, limit):
+    """Verdicts don't depend on how the sorted rows are cut into batches."""
+    monkeypatch.setattr(repeats, "TaskContext", _Task)
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 900)
+    monkeypatch.setattr(repeats, "BLOCK_ANCHORS", 60)
+    docs = pa.table({"doc_id": pa.array([i for i, _ in made()], pa.int64()), "text": pa.array([t or "" for _, t in made()])})
+    found = pa.Table.from_batches([b for b in repeats._scan(f"file://{tmp_path}")(pieces(docs, 17)) if b.num_rows])
+    order = pa.compute.sort_indices(found, [("key", "ascending"), ("context", "ascending"), ("doc_id", "ascending"), ("part", "ascending"), ("at", "ascending")], null_placement="at_start")
+    found = found.take(order)
+    monkeypatch.setattr(repeats, "BLOCK_ANCHORS", 10**9)
+    whole = lines(repeats._judge(pieces(found, 10**6)))
+    monkeypatch.setattr(repeats, "BLOCK_ANCHORS", limit)
+    assert lines(repeats._judge(pieces(found, size))) == whole
+    judged = pa.Table.from_batches(list(repeats._judge(pieces(found, 10**6))))
+    check = judged.filter(pa.compute.equal(judged["kind"], repeats.CHECK)).drop_columns(["file"])
+    shard = next(tmp_path.glob("*.bin"))
+    check = check.append_column("file", pa.array([f"file://{shard}"] * check.num_rows)).sort_by([("part", "ascending"), ("at", "ascending")])
+    contexts = pa.Table.from_batches(list(repeats._contexts(pieces(check, size)))).sort_by("gram")
+
+    def covered(batches):
+        return {(r["part"], p) for b in batches for r in b.to_pylist() for p in range(r["at"], r["x"])}
+
+    whole = covered(repeats._within(pieces(contexts, 10**6)))
+    monkeypatch.setattr(repeats, "BLOCK_STRINGS", limit)
+    assert covered(repeats._within(pieces(contexts, size))) == whole and whole
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(1, 3), max_size=60), st.sampled_from([4, 1000]))
 def test_induced_sorting(body, held):
