@@ -83,7 +83,7 @@ def _write(folder: str, tokenizer: str, end: int, length: int):
                 uri = f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex}.arrow"
                 shard = _Shard(uri, length)
             ids = batch.column("doc_id")
-            for start, coded in coder.batches(batch.column("text").to_pylist()):
+            for start, coded in coder.batches(batch.column("text")):
                 n = np.array([len(x) for x in coded], np.int64) // 2
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())

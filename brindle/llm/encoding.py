@@ -14,12 +14,14 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from . import common
 
 #: Pieces that one encoder remembers before it starts anew (bounds its memory).
-MEMO_PIECES = 700_000
+MEMO_PIECES = 900_000
 #: Longer pieces are encoded but not remembered.
 MEMO_CHARS = 64
 
@@ -116,16 +118,14 @@ class Encoder:
                 memo.pop(x, None)
         return out
 
-    def batches(self, texts: list[str], chars: int = 1 << 20):
-        """(index of the first text, its bytes and the next ones'), some ``chars`` at a time."""
+    def batches(self, texts: pa.Array, size: int = 1 << 20):
+        """(index of the first text, its bytes and the next ones'), some ``size`` bytes at a time."""
         start, held = 0, 0
-        for i, t in enumerate(texts):
-            held += len(t)
-            if held >= chars:
-                yield start, self.encode(texts[start : i + 1])
+        for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+            held += n
+            if held >= size or i == len(texts) - 1:
+                yield start, self.encode(texts.slice(start, i + 1 - start).to_pylist())
                 start, held = i + 1, 0
-        if start < len(texts):
-            yield start, self.encode(texts[start:])
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

@@ -35,7 +35,7 @@ def _runs(tokenizer: str, end: int):
     def encode(batches):
         part, at, coder = TaskContext.get().partitionId(), 0, encoder(tokenizer, "<u2", end)
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            ids, texts = batch.column("doc_id"), batch.column("text")
             for start, coded in coder.batches(texts):
                 n = np.array([len(x) for x in coded], np.int64) // 2
                 starts = at + np.cumsum(n) - n

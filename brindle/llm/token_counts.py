@@ -44,7 +44,7 @@ def _write(folder: str, tokenizer: str, end: int):
                 fs, path = common.filesystem(uri)
                 out = fs.open_output_stream(path, compression=None)
             ids = batch.column("doc_id")
-            for start, coded in coder.batches(batch.column("text").to_pylist()):
+            for start, coded in coder.batches(batch.column("text")):
                 for x in coded:
                     out.write(x)
                     n_ids += len(x) // 2
