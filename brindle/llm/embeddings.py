@@ -3,18 +3,24 @@
 A bounded sample (``SAMPLE`` vectors, the first in order of a hash) fits coarse
 centroids and, on the residuals, ``SUBSPACES`` codebooks.  Every distinct vector is
 then indexed: it goes to the list of its label and nearest centroid with its code
-and the length of its quantisation error.  As a query it probes each list that can
-hold a neighbour: a vector within the chord ``d`` of the threshold lies in another
-cell only if the query is within ``d`` of the plane between the two centroids.
-The ``PROBES`` nearest such lists are searched; below that number the search is
-exact, and the README gives the measured recall beyond it.
-
-In a list, table-lookup distances are compared with the chord plus each vector's
-own quantisation error, which by the triangle inequality drops no neighbour; what
-remains is ranked by exact cosine in double precision, and only pairs at or above
-the threshold count.  Lists are cut into blocks of bounded size, and a task returns
-one row a vector (its number of links) and a spanning forest of the block's links,
-never all pairs.
+and the length of its quantisation error.  Lists are packed into blocks of bounded
+size, which are written once to files in the shared folder; a task reads the two
+blocks of each of its pairs from there, so that vectors aren't copied to every list
+that they search.
+
+Every pair of vectors of a label meets in one pair of blocks and is counted on both
+sides.  A vector is held against each list that can hold a neighbour: one within the
+chord ``d`` of the threshold lies in another cell only if the vector is within ``d``
+of the plane between the two centroids, and only if the vector's distance from that
+centroid is within ``d`` of those in the list.  In a list, table-lookup distances are
+compared with the chord plus each vector's own quantisation error, which by the
+triangle inequality drops no neighbour.  A vector with more than ``PROBES`` lists
+that the planes leave takes the products with whole blocks instead, as lists spare
+it little.  What remains either way is ranked by exact cosine in double precision,
+and only pairs at or above the threshold count: no neighbour is left out.
+
+A task returns one row a vector and pair of blocks (its number of links) and a
+spanning forest of the links, never all pairs.
 
 Equal vectors of one label are one class, searched once and counted with its size.
 
@@ -26,11 +32,13 @@ component; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import io
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -39,12 +47,13 @@ from .graph import components, forest
 COSINE = 0.93
 #: Vectors compared with all centroids at once.
 SLICE = 1024
-#: Vectors that the index is fitted on, vectors a list should hold, lists probed at most.
+#: Vectors that the index is fitted on, vectors a list should hold, lists from whose number on a vector is compared with whole blocks.
 SAMPLE, LIST_SIZE, PROBES = 20_000, 512, 16
 SUBSPACES, CODES, ROUNDS = 8, 256, 8
-#: Vectors in one block of a list.
-BLOCK = 1024
-LISTED = "label int, dim int, list int, home boolean, rep long, weight long, vector array<double>"
+#: Vectors in one block, up to the last list's rest; pairs of vectors looked at at once; links held before they are thinned.
+BLOCK, AT_ONCE, HELD = 1024, 100_000, 1 << 20
+LISTED = "label int, dim int, list int, wide boolean, rep long, weight long, vector array<double>"
+STORED = "label int, dim int, block long, file string, at long, size long"
 COUNTS = "rep long, links long, root long"
 
 
@@ -75,20 +84,17 @@ class Quantiser:
     def nearest(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([np.argmin(self._square(x[i : i + SLICE]), axis=1) for i in range(0, len(x), SLICE)])
 
-    def probes(self, x: np.ndarray, chord: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of the lists besides its own that each row must search."""
-        rows, lists = [], []
+    def wide(self, x: np.ndarray, chord: float, most: int) -> np.ndarray:
+        """Whether each row has more than ``most`` lists, its own included, that the planes leave."""
+        out = []
         for start in range(0, len(x), SLICE):
             square = self._square(x[start : start + SLICE])
             own = np.argmin(square, axis=1)
             between = np.sqrt(self._square(self.centres[own]))
             margin = (square - square[np.arange(len(own)), own][:, None]) / np.maximum(2 * between, 1e-12)
             may = (margin <= chord + 1e-6) & (np.arange(len(self.centres)) != own[:, None])
-            rank = np.argsort(np.argsort(np.where(may, square, np.inf), axis=1), axis=1)
-            row, probe = np.nonzero(may & (rank < most - 1))
-            rows.append(row + start)
-            lists.append(probe)
-        return np.concatenate(rows), np.concatenate(lists)
+            out.append(may.sum(axis=1) >= most)
+        return np.concatenate(out)
 
     def encode(self, x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes, lengths of the quantisation errors) of vectors of one list."""
@@ -121,48 +127,134 @@ def _list(quantisers: dict[int, Quantiser], chord: float, most: int):
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
                 quantiser, x = quantisers[dim], _unit(_vectors(part.column("vector"), dim))
-                row, probe = quantiser.probes(x, chord, most)
-                rows = np.concatenate([np.arange(len(x)), row])
-                lists = np.concatenate([quantiser.nearest(x), probe])
-                home = np.arange(len(rows)) < len(x)
-                out = part.take(pa.array(rows))
-                yield pa.record_batch([out.column("label"), out.column("dim"), pa.array(lists, pa.int32()), pa.array(home), out.column("rep"), out.column("weight"), out.column("vector")], names)
+                lists, wide = quantiser.nearest(x), quantiser.wide(x, chord, most)
+                yield pa.record_batch([part.column("label"), part.column("dim"), pa.array(lists, pa.int32()), pa.array(wide), part.column("rep"), part.column("weight"), part.column("vector")], names)
 
     return assign
 
 
-def _search(quantisers: dict[int, Quantiser], cosine: float, chord: float):
+def _store(folder: str, quantisers: dict[int, Quantiser]):
+    """Writes each block, in order of its lists, to the task's file and tells where it lies."""
+    names = [c.split()[0] for c in STORED.split(", ")]
+
+    def store(batches):
+        fs, path = common.filesystem(folder)
+        name, at, told = uuid.uuid4().hex, 0, []
+        with fs.open_output_stream(f"{path}/{name}") as out:
+            for (label, dim, block), t in common.groups(batches, ["label", "dim", "block"]):
+                t, quantiser = t.sort_by([("list", "ascending"), ("rep", "ascending")]), quantisers[dim]
+                x, lists = _unit(_vectors(t["vector"].combine_chunks(), dim)), t["list"].to_numpy()
+                codes, error = np.zeros((len(x), len(quantiser.books)), np.uint8), np.zeros(len(x))
+                for c in np.unique(lists).tolist():
+                    codes[lists == c], error[lists == c] = quantiser.encode(x[lists == c], quantiser.centres[c])
+                away = np.sqrt(((x - quantiser.centres[lists]) ** 2).sum(axis=1))
+                blob = io.BytesIO()
+                np.savez(blob, x=x, rep=t["rep"].to_numpy(), weight=t["weight"].to_numpy(), lists=lists, wide=t["wide"].to_numpy(), codes=codes, error=error, away=away)
+                size = out.write(blob.getvalue())
+                told.append((label, dim, block, name, at, size))
+                at += size
+        if told:
+            yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*told), (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names)
+
+    return store
+
+
+def _between(quantiser: Quantiser, a: dict, b: dict, same: bool, cosine: float, chord: float):
+    """(row of a, row of b) of the links of two blocks, or, each once, of one with itself; in parts."""
+    x, y = a["x"], b["x"]
+
+    def ranked(p, q):
+        ok = ((x[p] * y[q]).sum(axis=1) >= cosine) & (a["rep"][p] != b["rep"][q])
+        return p[ok], q[ok]
+
+    wide, narrow = np.flatnonzero(a["wide"]), np.flatnonzero(~a["wide"])
+    step = max(1, AT_ONCE // len(y))
+    for start in range(0, len(wide), step):
+        ask = wide[start : start + step]
+        near = x[ask] @ y.T >= cosine - 1e-9
+        if same:
+            near &= ask[:, None] < np.arange(len(y))
+        p, q = np.nonzero(near)
+        yield ranked(ask[p], q)
+    lists, first = np.unique(b["lists"], return_index=True)
+    for c, low, high in zip(lists.tolist(), first.tolist(), [*first[1:].tolist(), len(y)]):
+        centre, own, away = quantiser.centres[c], a["lists"][narrow], b["away"][low:high]
+        square = ((x[narrow] - centre) ** 2).sum(axis=1)
+        between = np.sqrt(((quantiser.centres[own] - centre) ** 2).sum(axis=1))
+        may = (own == c) | ((square - a["away"][narrow] ** 2) / np.maximum(2 * between, 1e-12) <= chord + 1e-6)
+        may &= (np.sqrt(square) <= away.max() + chord + 1e-6) & (np.sqrt(square) >= away.min() - chord - 1e-6)
+        asking = narrow[may & (narrow < high - 1)] if same else narrow[may]
+        step = max(1, AT_ONCE // (high - low))
+        for start in range(0, len(asking), step):
+            ask = asking[start : start + step]
+            square = np.zeros((len(ask), high - low))
+            for m, table in enumerate(quantiser.tables(x[ask], centre)):
+                square += table[:, b["codes"][low:high, m]]
+            near = np.sqrt(square) <= chord + b["error"][low:high] + 1e-9
+            if same:
+                near &= ask[:, None] < np.arange(low, high)
+            p, q = np.nonzero(near)
+            yield ranked(ask[p], q + low)
+
+
+def _search(folder: str, quantisers: dict[int, Quantiser], cosine: float, chord: float):
     def search(batches):
-        for _, t in common.groups(batches, ["label", "dim", "list", "i", "q"]):
-            dim, i, q = (t[c][0].as_py() for c in ("dim", "i", "q"))
-            quantiser, centre = quantisers[dim], quantisers[dim].centres[t["list"][0].as_py()]
-            raw = _vectors(t["vector"].combine_chunks(), dim)
-            x, rep, weight = _unit(raw), t["rep"].to_numpy(), t["weight"].to_numpy()
-            stored = np.flatnonzero(t["as_index"].to_numpy())
-            asking = np.flatnonzero(~t["as_index"].to_numpy())
-            if not len(stored) or not len(asking):
-                continue
-            codes, error = quantiser.encode(x[stored], centre)
-            links, left, right = np.zeros(len(asking), np.int64), [], []
-            for start in range(0, len(asking), 128):
-                ask = asking[start : start + 128]
-                square = np.zeros((len(ask), len(stored)))
-                for m, table in enumerate(quantiser.tables(x[ask], centre)):
-                    square += table[:, codes[:, m]]
-                a, b = np.nonzero(np.sqrt(square) <= chord + error + 1e-9)
-                u, v = x[ask[a]], x[stored[b]]
-                ok = ((u * v).sum(axis=1) >= cosine) & (rep[ask[a]] != rep[stored[b]])
-                a, b = a[ok], b[ok]
-                links[start : start + len(ask)] = np.bincount(a, weight[stored[b]], len(ask)).astype(np.int64)
-                left.append(rep[ask[a]])
-                right.append(rep[stored[b]])
-            node, root = forest(np.concatenate(left), np.concatenate(right))
-            some = links > 0
-            yield pa.record_batch([pa.array(np.concatenate([rep[asking[some]], node])), pa.array(np.concatenate([links[some], np.zeros(len(node), np.int64)])), pa.array(np.concatenate([np.full(some.sum(), -1), root]), mask=np.arange(some.sum() + len(node)) < some.sum())], ["rep", "links", "root"])
+        fs, path = common.filesystem(folder)
+
+        def block(file, at, size):
+            with fs.open_input_file(f"{path}/{file}") as f:
+                f.seek(at)
+                return dict(np.load(io.BytesIO(f.read(size))))
+
+        held, a = None, {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                one, two = (r["fa"], r["aa"], r["sa"]), (r["fb"], r["ab"], r["sb"])
+                held, a = (held, a) if held == one else (one, block(*one))
+                b = a if one == two else block(*two)
+                links_a, links_b, none = np.zeros(len(a["rep"]), np.int64), np.zeros(len(b["rep"]), np.int64), np.zeros(0, np.int64)
+                left, right, n = [none], [none], 0
+                for p, q in _between(quantisers[r["dim"]], a, b, one == two, cosine, chord):
+                    np.add.at(links_a, p, b["weight"][q])
+                    np.add.at(links_b, q, a["weight"][p])
+                    left.append(a["rep"][p])
+                    right.append(b["rep"][q])
+                    n += len(p)
+                    if n > HELD:
+                        node, root = forest(np.concatenate(left), np.concatenate(right))
+                        left, right, n = [node], [root], 0
+                node, root = forest(np.concatenate(left), np.concatenate(right))
+                rep, links = np.concatenate([a["rep"], b["rep"]]), np.concatenate([links_a, links_b])
+                some = links > 0
+                yield pa.record_batch([pa.array(np.concatenate([rep[some], node])), pa.array(np.concatenate([links[some], np.zeros(len(node), np.int64)])), pa.array(np.concatenate([np.full(some.sum(), -1), root]), mask=np.arange(some.sum() + len(node)) < some.sum())], ["rep", "links", "root"])
 
     return search
 
 
+def _met(listed: DataFrame, quantisers: dict[int, Quantiser], cosine: float, chord: float) -> DataFrame:
+    """The links of all pairs of blocks, as ``COUNTS``."""
+    spark = listed.sparkSession
+    folder = common.fresh_dir(spark, "vector-blocks")
+    fs, path = common.filesystem(folder)
+    fs.create_dir(path, recursive=True)
+    # A label has at most as many lists as there are centroids, which bounds the window.
+    before = Window.partitionBy("label", "dim").orderBy("list").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = listed.groupBy("label", "dim", "list").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.withColumn("first", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / BLOCK)).withColumn("pieces", F.ceil(F.col("n") / BLOCK))
+    rows = listed.join(sizes, ["label", "dim", "list"]).withColumn("block", (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("pieces"))).cast("long")).drop("n", "first", "pieces")
+    keys = ["label", "dim", "block"]
+    stored = common.materialise(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_store(folder, quantisers), STORED), "vector-stored")
+    side = lambda x: stored.select("label", "dim", F.col("block").alias(f"block_{x}"), F.col("file").alias(f"f{x}"), F.col("at").alias(f"a{x}"), F.col("size").alias(f"s{x}"))
+    pairs = side("a").join(side("b"), ["label", "dim"]).where("block_a <= block_b").select("dim", "fa", "aa", "sa", "fb", "ab", "sb")
+    n = stored.groupBy("label", "dim").count().agg(F.sum(F.col("count") * (F.col("count") + 1) / 2)).first()[0] or 0
+    # The rows are few bytes and much work each, so the number of tasks is given.
+    tasks = min(10_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n) // 64))
+    dealt = pairs.repartition(tasks, "fa", "aa", "fb", "ab").sortWithinPartitions("fa", "aa")
+    found = common.materialise(dealt.mapInArrow(_search(folder, quantisers, cosine, chord), COUNTS), "vector-links")
+    common.remove_dir(spark, folder)
+    return found
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, probes: int = PROBES) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row."""
     spark = vectors.sparkSession
@@ -179,16 +271,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, probes: int = PR
     chord = math.sqrt(2 - 2 * cosine)
     if quantisers:
         listed = common.materialise(reps.mapInArrow(_list(quantisers, chord, probes), LISTED), "vector-lists")
-        sizes = listed.groupBy("label", "dim", "list").agg(F.ceil(F.sum(F.col("home").cast("long")) / BLOCK).alias("n_i"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_q")).where("n_i > 0")
-        blocked = listed.join(sizes, ["label", "dim", "list"])
-        # Every row asks all blocks of its lists; at home it is also stored in one block and meets all asking blocks.
-        block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
-        all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        asking = blocked.select("label", "dim", "list", "rep", "weight", "vector", F.lit(False).alias("as_index"), all_of("n_i").alias("i"), block("n_q").alias("q"))
-        stored = blocked.where("home").select("label", "dim", "list", "rep", "weight", "vector", F.lit(True).alias("as_index"), block("n_i").alias("i"), all_of("n_q").alias("q"))
-        keys = ["label", "dim", "list", "i", "q"]
-        dealt = asking.unionByName(stored).repartition(*keys).sortWithinPartitions(*keys)
-        found = common.materialise(dealt.mapInArrow(_search(quantisers, cosine, chord), COUNTS), "vector-links")
+        found = _met(listed, quantisers, cosine, chord)
     else:
         found = spark.createDataFrame([], COUNTS)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))

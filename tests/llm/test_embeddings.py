@@ -66,6 +66,20 @@ def test_recall_with_few_probes(spark, monkeypatch):
     assert sum(r["n_links"] for r in got.values()) >= 0.9 * sum(n for n, _ in expect.values())
 
 
+@pytest.mark.parametrize("probes", [1, 4])
+def test_exact_beyond_the_probes(spark, monkeypatch, probes):
+    """Partners all around, in lists beyond the probes too: no link is lost, on neither side."""
+    monkeypatch.setattr(embeddings, "LIST_SIZE", 10)
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 16))
+    near = x + 0.37 * np.linalg.norm(x, axis=1)[:, None] * (z := rng.normal(size=x.shape)) / np.linalg.norm(z, axis=1)[:, None]
+    rows = [(i, v, 1) for i, v in enumerate(np.concatenate([x, near]).tolist())]
+    expect = brute(rows)
+    assert sum(n for n, _ in expect.values()) > 200
+    assert {i: (r["n_links"], r["component_id"]) for i, r in found(spark, rows, probes=probes).items()} == expect
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], None), (4, None, 1), (5, [], 1), (6, [0.0, 0.0], 1), (7, [1.0, None], 1), (8, [nan, 1.0], 1), (9, [inf, 1.0], 1), (10, [1.0, 0.0, 0.0], 1), (11, [3e38, 0.0], 1), (12, [1e-38, 1e-40], 1), (13, [1.0, 0.0], 2)]
