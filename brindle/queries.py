@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from .config import EngineConfig
 from .functions import keys as K
 from .functions.bounds import KeyRange, closed, excluded, included
 from .operators import loading, lookups, model, replay
+from .operators.lsm import SCHEMA as LSM_SCHEMA
 from .operators.lsm import LsmTable
 from .operators.sorted_map import SortedMap
 from .operators.sorted_set import SortedSet
@@ -418,6 +420,22 @@ def lsm_manifest(spark, sf):
     return _runs(spark, sf).groupBy("level").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("deleted").cast("long")).alias("deleted"), F.min("k").alias("min_key"), F.max("k").alias("max_key"))
 
 
+@query("lsm_compact_levels", f"SELECT level, k, v, deleted FROM (SELECT *, row_number() OVER (PARTITION BY level, k ORDER BY event_id DESC) AS r FROM ({_RUNS})) WHERE r = 1 AND NOT (deleted AND level = 2)")
+def lsm_compact_levels(spark, sf):
+    """Every level of all events, two runs each, merged by the table; only the oldest level drops its deletions."""
+    table, rows = LsmTable(spark, _scratch(spark, "levels"), EngineConfig()), _runs(spark, sf)
+    middle = rows.agg(F.max("event_id")).first()[0] // 2
+    text = lambda c: F.encode(F.col(c).cast("string"), "UTF-8").alias(c)
+    for level in (2, 1, 0):
+        part = rows.where(F.col("level") == level).select(F.col("event_id").alias("pos"), text("k"), text("v"))
+        table.ingest(part.where(F.col("pos") <= middle))
+        table.ingest(part.where(F.col("pos") > middle))
+        for n in range(level + 1):
+            table.compact_level(n)
+    parts = [spark.read.schema(LSM_SCHEMA).parquet(r["path"]).select(F.lit(r["level"] - 1).cast("long").alias("level"), F.decode("k", "UTF-8").cast("long").alias("k"), F.decode("v", "UTF-8").cast("double").alias("v"), "deleted") for r in table.runs()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # Formats
 
 _LINES = "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN event_type ELSE user_id::VARCHAR || chr(9) || event_type || chr(9) || 'x' || CASE WHEN event_id % 4 = 2 THEN chr(13) ELSE '' END END AS line FROM events"

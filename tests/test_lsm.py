@@ -195,3 +195,15 @@ def test_wal_source_and_corruption(spark, tmp_path):
     spark.dataSource.register(wal.WalDataSource)
     rows = spark.read.format("kvwal").option("path", str(tmp_path)).load().orderBy("seq").collect()
     assert [(r["op"], bytes(r["k"])) for r in rows] == [("insert", b"a"), ("remove", b"b")]
+
+
+def test_every_level_of_all_events_is_compacted(spark, sf, monkeypatch):
+    """The query goes through compact_level and returns each level's keys, from all events."""
+    from brindle import queries
+
+    called, real = [], LsmTable.compact_level
+    monkeypatch.setattr(LsmTable, "compact_level", lambda self, n: (called.append(n), real(self, n))[1])
+    rows = queries.QUERIES["lsm_compact_levels"](spark, sf).collect()
+    expect = {(e["event_id"] % 3, e["user_id"]) for e in spark.read.parquet(f"{sf}/events.parquet").collect() if e["event_type"] != "error"}
+    assert called == [0, 1, 2, 0, 1, 0] and {r["level"] for r in rows} == {0, 1, 2}
+    assert {(r["level"], r["k"]) for r in rows if not r["deleted"]} <= expect
