@@ -485,6 +485,38 @@ def stored_map_apply(spark, sf):
     return m.iter()
 
 
+_WHOLE = "(SELECT c_custkey AS k, c_acctbal AS v FROM customer)"
+
+
+def _whole(spark, sf):
+    return _t(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+
+
+@query("stored_map_apply_log", f"WITH {_LOG.replace('FROM events', f"FROM events UNION ALL SELECT -1 AS seq, k, v, 'insert' AS op FROM {_WHOLE}")} SELECT seq, op, k, (CASE WHEN op = 'insert' THEN 1 - present ELSE present END)::INT AS flag, CASE WHEN op = 'get' AND prior.live THEN prior.v WHEN op = 'get_or_insert' THEN after.v END AS value FROM seen WHERE seq >= 0")
+def stored_map_apply_log(spark, sf):
+    """The whole log applied to a stored map of all customers: what each operation returned."""
+    m = SortedMap.from_rows(spark, _scratch(spark, "map"), _whole(spark, sf).select(F.col("k").alias("pos"), "k", "v"))
+    return m.apply(_log(spark, sf))
+
+
+@query("stored_map_apply_state", f"WITH {_LOG.replace('FROM events', f"FROM events UNION ALL SELECT -1 AS seq, k, v, 'insert' AS op FROM {_WHOLE}")} SELECT k, after.v AS v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM seen) WHERE r = 1 AND after.live")
+def stored_map_apply_state(spark, sf):
+    """The same map's contents, read back after the whole log."""
+    m = SortedMap.from_rows(spark, _scratch(spark, "map"), _whole(spark, sf).select(F.col("k").alias("pos"), "k", "v"))
+    m.apply(_log(spark, sf))
+    return m.iter()
+
+
+@query("extend_upsert_whole", f"SELECT coalesce(l.k, b.k) AS k, CASE WHEN l.k IS NOT NULL THEN l.v ELSE b.v END AS v FROM {_WHOLE} b FULL JOIN {_LAST} l ON b.k = l.k")
+def extend_upsert_whole(spark, sf):
+    return loading.extend(_whole(spark, sf), _events(spark, sf))
+
+
+@query("get_or_insert_whole", f"SELECT coalesce(b.k, f.k) AS k, CASE WHEN b.k IS NOT NULL THEN b.v ELSE f.v END AS v FROM {_WHOLE} b FULL JOIN {_FIRST} f ON b.k = f.k")
+def get_or_insert_whole(spark, sf):
+    return loading.get_or_insert(_whole(spark, sf), _events(spark, sf))
+
+
 @query("stored_set", "SELECT DISTINCT user_id AS k FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) ORDER BY k")
 def stored_set(spark, sf):
     s = SortedSet.from_rows(spark, _scratch(spark, "set"), _t(spark, sf, "events").select(F.col("user_id").alias("k")))

@@ -159,3 +159,24 @@ def test_replay_against_a_dictionary(spark, ops, start):
         expect.append((int(flag), value))
     assert [(r["flag"], r["value"]) for r in replay.results(log, base).orderBy("seq").collect()] == expect
     assert {r["k"]: r["v"] for r in replay.final_state(log, base).collect()} == state
+
+
+def test_the_whole_log_is_applied_to_a_whole_base(spark, sf):
+    """Every event has its result, get_or_insert among them, and meets a customer's value where there is one."""
+    from brindle import queries
+
+    got = {r["seq"]: r for r in queries.QUERIES["stored_map_apply_log"](spark, sf).collect()}
+    base = {r["c_custkey"]: r["c_acctbal"] for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
+    events = sorted(spark.read.parquet(f"{sf}/events.parquet").collect(), key=lambda e: e["event_id"])
+    assert len(got) == len(events)
+    for e in events:
+        k, r = e["user_id"], got[e["event_id"]]
+        if e["event_type"] == "click":
+            assert (r["op"], r["flag"], r["value"]) == ("get_or_insert", int(k in base), base.setdefault(k, e["value"]))
+        elif e["event_type"] == "error":
+            assert (r["op"], r["flag"]) == ("remove", int(base.pop(k, None) is not None))
+        elif e["event_type"] == "view":
+            assert (r["op"], r["flag"], r["value"]) == ("get", int(k in base), base.get(k))
+        else:
+            assert (r["op"], r["flag"]) == ("insert", int(k not in base))
+            base[k] = e["value"]
