@@ -1,16 +1,17 @@
-"""External induced suffix sorting with common-prefix values.
+"""Induced suffix sorting with common-prefix values, in memory.
 
-Suffixes of a sequence are sorted by induction (Bingmann, Fischer, Osipov 2013): the
-suffixes at local minima are sorted by their substrings, recursively where these
+Suffixes of a sequence are sorted by induction (after Bingmann, Fischer, Osipov 2013):
+the suffixes at local minima are sorted by their substrings, recursively where these
 repeat; a forward pass induces the descending suffixes from them and a backward pass
-the ascending ones.  Both passes go through disk-backed priority queues whose tuples
-carry the characters still to be induced from and the common prefix with the
-neighbour before, so that no pass reads the sequence at random; only where the two
-kinds of suffixes meet in a bucket, and between neighbouring minima, are two suffixes
-compared directly, over ``CAP`` characters at most.
-
-This is the sorter for a shard in one task.  ``repeats.py`` says why it isn't on the
-main path.
+the ascending ones.  Only the priority queues of the passes go to disk.  This is not the
+external method: the sequence, the minima and the lists of sorted suffixes are held in
+memory, the queues' tuples carry positions and not the characters still to be induced
+from, and both passes read the sequence at random.  Where the two kinds of suffixes
+meet in a bucket, and between neighbouring minima, two suffixes are compared directly,
+over ``CAP`` characters at most.
+
+This is the sorter for a shard that one task's memory holds.  ``repeats.py`` says why it
+isn't on the main path.
 """
 
 from __future__ import annotations

@@ -426,7 +426,7 @@ def _cut(batches):
 
 
 def _shard_repeats(batches):
-    """The result for all rows of one task, by external induced sorting."""
+    """The result for all rows of one task, by induced sorting in memory."""
     ids, texts = [], []
     for batch in batches:
         ids += batch.column("doc_id").to_pylist()
@@ -468,9 +468,9 @@ def _shard_repeats(batches):
 
 
 def remove_repeats_in_shard(docs: DataFrame) -> DataFrame:
-    """The result of :func:`remove_repeats` by external induced suffix sorting.
+    """The result of :func:`remove_repeats` by induced suffix sorting.
 
-    One task sorts the whole input, so this is for a shard that one node's disk holds;
+    One task holds and sorts the whole input, so this is for a shard that its memory holds;
     at some 5 microseconds of CPU a byte it is beyond what a corpus allows.
     """
     ordered = common.documents(docs).coalesce(1).sortWithinPartitions("doc_id")
