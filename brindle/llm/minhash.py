@@ -19,9 +19,11 @@ With 32 bands of 4 places a pair at similarity 0.75 shares no band with probabil
 drops what is below ``LOOSE``.
 
 Defined results: a null text is the empty one; an empty text has no shingle and no
-link; rows with one ``doc_id`` count as one document where links are concerned; a
-null ``doc_id`` is linked with nothing; an empty table gives an empty result; other
-columns are ignored by :func:`near_duplicates` and kept by :func:`keep_first`.
+link; in :func:`near_duplicates` a class of equal sets goes by its least ``doc_id``,
+and classes with one least ``doc_id`` share their links, while :func:`keep_first`
+decides about each row for itself; a null ``doc_id`` is linked with nothing; an empty
+table gives an empty result; other columns are ignored by :func:`near_duplicates` and
+kept by :func:`keep_first`.
 """
 
 from __future__ import annotations
@@ -238,6 +240,20 @@ def _labelled(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document, that of the least ``doc_id``, of each component."""
-    drop = _labelled(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, F.col("doc_id").cast("long") == F.col("__drop"), "left_anti").select(*docs.columns)
+    """``docs`` with one row, that of the least ``doc_id``, of each component.
+
+    Where a ``doc_id`` is repeated, rows are numbered in order of ``doc_id`` and text and
+    go by their numbers: of rows with one ``doc_id`` only the duplicates are dropped.
+    """
+    names, key = docs.columns, F.col("doc_id").cast("long")
+    repeated = docs.select(key.alias("doc_id")).where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        rows = docs.withColumn("__row", key)
+    else:
+        order = [F.col("__key"), F.col("__digest")]
+        rows = docs.withColumn("__key", key).withColumn("__digest", F.sha2(F.col("text").cast("string"), 256))
+        # The ranges ascend, so the numbers do; the table is written, so they stay.
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.when(F.col("__key").isNotNull(), F.monotonically_increasing_id()))
+        rows = common.materialise(rows.select(*names, "__row"), "numbered-documents")
+    drop = _labelled(rows.select(F.col("__row").alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
+    return rows.join(drop, F.col("__row") == F.col("__drop"), "left_anti").select(*names)

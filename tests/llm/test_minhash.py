@@ -156,3 +156,11 @@ def test_connected_components(spark, edges):
         root[max(x, y)] = min(x, y)
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: find(i) for i in root if find(i) != i}
+
+
+def test_keep_first_decides_by_row(spark):
+    """Rows with one doc_id: a unique text stays beside a dropped copy, and equal rows leave one."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(1, text("a")), (2, text("a") + " more"), (2, text("b")), (3, text("c")), (3, text("c")), (4, text("b")), (5, ""), (5, ""), (None, text("a"))]
+    kept = minhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(kept, key=str) == sorted([(1, text("a")), (2, text("b")), (3, text("c")), (5, ""), (5, ""), (None, text("a"))], key=str)
