@@ -5,10 +5,15 @@ number, phone number) and, beside them, every other token with a digit in it, th
 candidates.  Base identifiers are the seeds.  The words left and right of a seed
 or candidate are its lexical patterns; patterns and identifiers (by hash, so that
 no personal data is copied) form a weighted graph.  Spark then scores the graph
-in rounds: a pattern is worth the mean score of what it surrounds, an identifier
-the mean of its patterns on its better side, and seeds stay at 1.  Candidates of patterns that end
+in rounds: a pattern is worth the mean score of the distinct identifiers that it
+surrounds, an identifier the mean of its patterns on its better side, and seeds stay at 1.  Candidates of patterns that end
 up trustworthy and well supported join the result as spans of kind ``id``.
 
+Tokens without a digit are far too many to be candidates everywhere.  Those beside a
+word that is a trusted pattern are counted in a second scan; patterns that seeds still
+outweigh (``SHARE``) make them candidates, whose other places a third scan finds.  They
+are scored with all of them; what the first graph chose stays chosen.
+
 The graph is aggregated to distinct (pattern, identifier) edges before anything
 is joined, so a pattern or an identifier in a third of all rows is one row for
 each partition, and joins on a hot pattern may be split.
@@ -21,6 +26,7 @@ ignored by :func:`find` and kept by :func:`redact`.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -34,6 +40,8 @@ from . import common
 KINDS = ("email", "ip", "card", "phone", "id")
 #: Rounds of scoring; a pattern counts from so many distinct identifiers; scores from which a pattern and a candidate are trusted.
 ROUNDS, SUPPORT, PATTERN_SCORE, ID_SCORE = 3, 5, 0.9, 0.9
+#: Seeds among all distinct identifiers of a pattern, words included, from which the rounds can bring it to trust.
+SHARE = 1 - (1 - PATTERN_SCORE) ** (1 / ROUNDS)
 #: Characters in which the neighbouring word is sought.
 REACH = 40
 #: Discovered identifiers that may be broadcast (8 bytes each).
@@ -49,6 +57,7 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 SPAN = "struct<start:long,kind:int,end:long>"
 TOKEN = "struct<start:long,end:long,ident:long,known:boolean,context:array<string>>"
+WORDS = f"digest string, tokens array<{TOKEN}>"
 FOUND = f"part long, row long, doc_id long, digest string, base array<{SPAN}>, tokens array<{TOKEN}>"
 
 
@@ -125,6 +134,62 @@ def tokens(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     return out
 
 
+_named = functools.lru_cache(1 << 17)(_word)
+
+
+@functools.lru_cache(1 << 17)
+def _bare_ident(token: str) -> int | None:
+    bare = _EDGE.sub("", token)
+    return _ident(bare) if bare and not _DIGIT.search(token) else None
+
+
+def _words_at(text: str, parts: list[str], hits: list[int]) -> list[dict]:
+    """The tokens ``hits`` of a text, those in base identifiers left out."""
+    out, base, places = [], base_spans(text), [m.start() for m in re.finditer(r"\S+", text)]
+    for i in hits:
+        bare = _EDGE.sub("", parts[i])
+        begin = text.index(bare, places[i])
+        end = begin + len(bare)
+        if not any(s < places[i] + len(parts[i]) and e > places[i] for s, _, e in base):
+            out.append({"start": begin, "end": end, "ident": _ident(bare), "known": False, "context": _context(text, begin, end)})
+    return out
+
+
+def words_beside(text: str, cues: frozenset[str]) -> list[dict]:
+    """Tokens without a digit that stand in one of the patterns ``cues``."""
+    parts = text.split()
+    names = [_named(p) for p in parts]
+    lefts, rights = [f"L:{n}" in cues for n in names], [f"R:{n}" in cues for n in names]
+    hits = [i for i, p in enumerate(parts) if (i and lefts[i - 1] or i + 1 < len(parts) and rights[i + 1]) and _bare_ident(p) is not None]
+    return [t for t in _words_at(text, parts, hits) if cues.intersection(t["context"])] if hits else []
+
+
+def words_among(text: str, idents: frozenset[int]) -> list[dict]:
+    """Tokens without a digit that are among ``idents``."""
+    parts = text.split()
+    hits = [i for i, p in enumerate(parts) if _bare_ident(p) in idents]
+    return _words_at(text, parts, hits) if hits else []
+
+
+def _beside(cues: frozenset[str]):
+    def beside(batches):
+        for batch in batches:
+            seen = {(c, t["ident"]) for text in batch.column("text").to_pylist() for t in words_beside(text, cues) for c in t["context"] if c in cues}
+            yield pa.record_batch([pa.array([c for c, _ in seen], pa.string()), pa.array([i for _, i in seen], pa.int64())], ["pattern", "ident"])
+
+    return beside
+
+
+def _among(idents: frozenset[int]):
+    def among(batches):
+        token = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("ident", pa.int64()), ("known", pa.bool_()), ("context", pa.list_(pa.string()))])
+        for batch in batches:
+            rows = [(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), found) for text in batch.column("text").to_pylist() if (found := words_among(text, idents))]
+            yield pa.record_batch([pa.array([d for d, _ in rows], pa.string()), pa.array([f for _, f in rows], pa.list_(token))], ["digest", "tokens"])
+
+    return among
+
+
 def _scan(batches):
     part, row = TaskContext.get().partitionId(), 0
     for batch in batches:
@@ -147,7 +212,7 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, D
     seeds = idents.where("score = 1")
     for _ in range(rounds):
         weighed = edges.join(idents, "ident")
-        patterns = weighed.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("score"), F.sum((F.col("score") >= ID_SCORE).cast("long")).alias("support"))
+        patterns = weighed.groupBy("pattern").agg(F.avg("score").alias("score"), F.sum((F.col("score") >= ID_SCORE).cast("long")).alias("support"))
         # A pattern that too few identifiers support says nothing in favour.
         told = patterns.select("pattern", F.when(F.col("support") >= SUPPORT, F.col("score")).otherwise(0.0).alias("worth"))
         sides = edges.where("NOT known").join(told, "pattern").groupBy("ident", F.substring("pattern", 1, 1).alias("side")).agg((F.sum(F.col("n") * F.col("worth")) / F.sum("n")).alias("score"))
@@ -165,14 +230,50 @@ def _flat(found: DataFrame) -> DataFrame:
     return found.select("part", "row", F.explode("tokens").alias("t")).select("part", "row", "t.*")
 
 
-def chosen_ids(found: DataFrame) -> DataFrame:
-    """``ident``: the discovered identifiers."""
+def _trusted(patterns: DataFrame) -> DataFrame:
+    return patterns.where((F.col("support") >= SUPPORT) & (F.col("score") >= PATTERN_SCORE)).select("pattern")
+
+
+def _chosen(edges: DataFrame, trusted: DataFrame, idents: DataFrame) -> DataFrame:
+    return edges.where("NOT known").join(trusted, "pattern", "left_semi").join(idents.where(F.col("score") >= ID_SCORE).select("ident"), "ident", "left_semi").select("ident").distinct()
+
+
+def _graph(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The edges, the trusted patterns and the scores of identifiers."""
     flat = _flat(found)
     seen = flat.select("ident", "known", F.explode("context").alias("pattern"))
     edges = common.materialise(seen.groupBy("pattern", "ident", "known").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
     patterns, idents = score_patterns(edges)
-    trusted = patterns.where((F.col("support") >= SUPPORT) & (F.col("score") >= PATTERN_SCORE)).select("pattern")
-    return edges.where("NOT known").join(trusted, "pattern", "left_semi").join(idents.where(F.col("score") >= ID_SCORE).select("ident"), "ident", "left_semi").select("ident").distinct()
+    return edges, common.materialise(_trusted(patterns), "pii-trusted"), idents
+
+
+def chosen_ids(found: DataFrame) -> DataFrame:
+    """``ident``: the discovered identifiers with a digit."""
+    return _chosen(*_graph(found))
+
+
+def chosen_words(docs: DataFrame, edges: DataFrame, trusted: DataFrame) -> tuple[DataFrame, frozenset[int]] | None:
+    """The places (``WORDS``) of discovered identifiers without a digit, and these; None if there are none."""
+    cues = frozenset(r["pattern"] for r in trusted.where(F.length("pattern") > 2).collect())
+    if not cues:
+        return None
+    texts = common.documents(docs).select("text")
+    beside = common.materialise(texts.mapInArrow(_beside(cues), "pattern string, ident long").distinct(), "pii-beside")
+    known = edges.groupBy("pattern").agg(F.sum(F.col("known").cast("long")).alias("seeds"), F.count(F.lit(1)).alias("m"))
+    kept = beside.groupBy("pattern").agg(F.count(F.lit(1)).alias("words")).join(known, "pattern").where(F.col("seeds") >= SHARE * (F.col("m") + F.col("words"))).select("pattern")
+    kept = common.materialise(kept, "pii-cues")
+    idents = frozenset(r["ident"] for r in beside.join(kept, "pattern", "left_semi").select("ident").distinct().collect())
+    if not idents:
+        return None
+    places = common.materialise(texts.mapInArrow(_among(idents), WORDS), "pii-words")
+    seen = places.select(F.explode("tokens").alias("t")).select("t.ident", F.explode("t.context").alias("pattern"))
+    # Other patterns' words weren't counted in full: they say nothing in favour.
+    seen = seen.join(kept.withColumn("counts", F.lit(True)), "pattern", "left").withColumn("pattern", F.when(F.col("counts"), F.col("pattern")).otherwise(F.concat(F.substring("pattern", 1, 2), F.lit("\n"))))
+    more = seen.groupBy("pattern", "ident").agg(F.count(F.lit(1)).alias("n")).select("pattern", "ident", F.lit(False).alias("known"), "n")
+    more = common.materialise(more, "pii-word-edges")
+    patterns, scores = score_patterns(edges.unionByName(more))
+    words = frozenset(r["ident"] for r in _chosen(more, _trusted(patterns).join(kept, "pattern", "left_semi"), scores).collect())
+    return (places, words) if words else None
 
 
 def discover(found: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -181,6 +282,13 @@ def discover(found: DataFrame, chosen: DataFrame) -> DataFrame:
     return new.groupBy("part", "row").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("id")).alias("kind"), "end")).alias("extra"))
 
 
+def _word_spans(spark, places: DataFrame, words: frozenset[int]) -> DataFrame:
+    """``digest, words``: the spans of the chosen words in each text."""
+    chosen = spark.createDataFrame([(i,) for i in words], "ident long")
+    spots = places.dropDuplicates(["digest"]).select("digest", F.explode("tokens").alias("t")).select("digest", "t.start", "t.end", "t.ident").join(chosen, "ident", "left_semi")
+    return spots.groupBy("digest").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("id")).alias("kind"), "end")).alias("words"))
+
+
 def _text_of(spans):
     kinds = F.array(*map(F.lit, KINDS))
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"])))
@@ -189,8 +297,13 @@ def _text_of(spans):
 def find(docs: DataFrame) -> DataFrame:
     """``doc_id``, counts of the base kinds, digest of the base spans, all spans, and ``n_id``."""
     found = scan(docs)
-    both = found.select("part", "row", "doc_id", "base").join(discover(found, chosen_ids(found)), ["part", "row"], "left")
+    edges, trusted, idents = _graph(found)
+    both = found.select("part", "row", "doc_id", "digest", "base").join(discover(found, _chosen(edges, trusted, idents)), ["part", "row"], "left")
     extra = F.coalesce("extra", F.array().cast(f"array<{SPAN}>"))
+    words = chosen_words(docs, edges, trusted)
+    if words:
+        both = both.join(_word_spans(docs.sparkSession, *words), "digest", "left")
+        extra = F.concat(extra, F.coalesce("words", F.array().cast(f"array<{SPAN}>")))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     return both.select("doc_id", *map(count, range(4)), F.sha2(_text_of(F.col("base")), 256).alias("base_sha256"), _text_of(F.array_sort(F.concat("base", extra))).alias("spans"), F.size(extra).cast("long").alias("n_id"))
 
@@ -204,8 +317,8 @@ def _masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _mask(names: list[str], chosen: frozenset[int] | None):
-    """Masks base spans and, with ``chosen``, candidates of these; else those of column ``__extra``."""
+def _mask(names: list[str], chosen: frozenset[int] | None, words: frozenset[int]):
+    """Masks base spans, ``words`` and, with ``chosen``, candidates of these; else those of column ``__extra``."""
 
     def mask(batches):
         for batch in batches:
@@ -218,6 +331,8 @@ def _mask(names: list[str], chosen: frozenset[int] | None):
                         more = [(x["start"], x["kind"], x["end"]) for x in extra or ()]
                     else:
                         more = [(t["start"], 4, t["end"]) for t in tokens(text, spans) if not t["known"] and t["ident"] in chosen] if chosen else []
+                    if words:
+                        more += [(t["start"], 4, t["end"]) for t in words_among(text, words)]
                     if spans or more:
                         texts[i] = _masked(text, spans + more)
             sizes = pa.array([None if t is None else len(t) for t in texts], pa.int64())
@@ -238,8 +353,10 @@ def redact(docs: DataFrame) -> DataFrame:
         docs = docs.withColumn("n_chars", F.col("n_chars").cast("long"))
         schema = docs.schema
     found = scan(docs)
-    chosen = chosen_ids(found)
+    edges, trusted, idents = _graph(found)
+    chosen, told = _chosen(edges, trusted, idents), chosen_words(docs, edges, trusted)
+    words = told[1] if told else frozenset()
     if chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        return docs.mapInArrow(_mask(names, frozenset(r["ident"] for r in chosen.collect())), schema)
+        return docs.mapInArrow(_mask(names, frozenset(r["ident"] for r in chosen.collect()), words), schema)
     extra = discover(found, chosen).join(found.select("part", "row", "digest"), ["part", "row"]).groupBy("digest").agg(F.first("extra").alias("__extra")).withColumnRenamed("digest", "__digest")
-    return docs.withColumn("__digest", F.sha2(F.col("text"), 256)).join(extra, "__digest", "left").select(*names, "__extra").mapInArrow(_mask(names, None), schema)
+    return docs.withColumn("__digest", F.sha2(F.col("text"), 256)).join(extra, "__digest", "left").select(*names, "__extra").mapInArrow(_mask(names, None, words), schema)

@@ -89,3 +89,21 @@ def test_odd_rows(odd_docs, no_docs):
     r = masked.where("doc_id = 9").first()
     assert r["text"].endswith("mail <EMAIL> <PHONE>") and r["n_chars"] == len(r["text"]) and r["score"] == 1.0
     assert masked.where("doc_id = 3").first()["text"] is None and pii.redact(no_docs).count() == 0
+
+
+def test_identifiers_without_a_digit_are_discovered(spark):
+    """A handle behind a cue is an identifier; a common word there isn't."""
+    rows = [(i, f"alpha beta contact 10.0.{i % 200}.{i % 7} thanks gamma") for i in range(40)]
+    rows += [(100, "delta contact @janedoe thanks epsilon"), (101, "delta contact us thanks epsilon")]
+    rows += [(200 + i, f"they told us a story of {w} and us again") for i, w in enumerate(["snow", "rain", "wind"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["spans"], r["n_id"]) for r in pii.find(df).collect()}
+    assert got[100] == ("id:15:22", 1) and got[101] == ("", 0) and all(got[200 + i] == ("", 0) for i in range(3))
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert masked[100] == "delta contact @<ID> thanks epsilon" and masked[101] == rows[41][1]
+
+
+def test_a_hot_identifier_suppresses_no_other(spark):
+    rows = [(i, f"alpha contact 10.0.{i}.1 thanks") for i in range(40)] + [(100 + i, "delta contact Z9Q77 thanks") for i in range(400)] + [(900, "delta contact Z8Q77 thanks")]
+    got = {r["doc_id"]: r["n_id"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == got[900] == 1
