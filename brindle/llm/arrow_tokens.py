@@ -13,7 +13,7 @@ A file's name holds a fresh identifier: a task that is run again writes another
 file, and only files that a finished task has reported are ever read.
 
 Defined results: a null text is the empty one; an empty document has only its
-end id; rows of one ``doc_id`` are ordered by text; an empty table has no files;
+end id; strings of special tokens become these tokens, as in the plain call; rows of one ``doc_id`` are ordered by text; an empty table has no files;
 columns besides ``doc_id`` and ``text`` are ignored.
 """
 

@@ -17,11 +17,13 @@ _OWN: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests
-    on one machine) a temporary folder is made.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset on a local
+    master (tests) a temporary folder is made, as a cluster's nodes don't share one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="brindle-")
@@ -29,9 +31,37 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Folders named since the driver began that were not removed, oldest first.
+_MADE: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new, unused folder path below the shared folder (not yet created)."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def mark() -> int:
+    """A point in time for :func:`remove_since`."""
+    return len(_MADE)
+
+
+def remove_since(spark: SparkSession, point: int, keep: DataFrame | None = None) -> None:
+    """Delete the folders made since ``point``, those that ``keep`` reads excepted."""
+    read = {f.rsplit("/", 1)[0].rstrip("/") for f in keep.inputFiles()} if keep is not None else set()
+    bare = lambda p: p.split(":", 1)[-1].lstrip("/")
+    read = {bare(r) for r in read}
+    for path in _MADE[point:]:
+        if not any(r == bare(path) or r.startswith(bare(path) + "/") for r in read):
+            remove_dir(spark, path)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A column name like ``name`` that is none of ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -47,6 +77,16 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def replaced(new: DataFrame, old: DataFrame | None) -> DataFrame:
+    """``new``, which is written and doesn't read ``old`` any more; ``old``'s folder goes."""
+    if old is not None:
+        for folder in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
+            remove_dir(new.sparkSession, folder)
+    return new
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -69,6 +109,14 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def tasks(spark: SparkSession, work: int, each: int, most: int = 20_000) -> int:
+    """A number of tasks for rows that make their task do much more work than their size tells.
+
+    The adaptive planner sizes partitions by bytes, so such a shuffle must name its number.
+    """
+    return max(spark.sparkContext.defaultParallelism, min(most, -(-int(work) // each)))
+
+
 def running_starts(totals: DataFrame, key: str, total: str, start: str) -> DataFrame:
     """Exclusive prefix sums of ``total`` in order of ``key``.
 

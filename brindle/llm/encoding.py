@@ -2,7 +2,8 @@
 
 Neither tokenizer lets a token cross the points at which :func:`cut` splits a
 text, so encoding the pieces one by one and joining the ids gives exactly the
-ids of the whole text.  Real text repeats its words: each piece is encoded once
+ids of the whole text.  A text that holds the string of a special token is encoded
+by the plain call as a whole.  Real text repeats its words: each piece is encoded once
 and remembered as the bytes of its ids, and a document's ids are one
 ``bytes.join``.
 """
@@ -36,13 +37,19 @@ class Encoder:
 
     ``leading_space``: the tokenizer is byte-level and keeps a space with the word
     behind it (``byte_bpe_50k.json``); otherwise it drops white space
-    (``word_bpe_49k.json``).  Strings of special tokens in a text are ordinary text.
+    (``word_bpe_49k.json``).  Strings of special tokens in a text become these tokens, as
+    in the library's plain call; with ``ordinary`` they are text like any other.
     """
 
-    def __init__(self, name: str, dtype: str = "<u4", end: int | None = None) -> None:
+    def __init__(self, name: str, dtype: str = "<u4", end: int | None = None, ordinary: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = ordinary
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Normalisation may change the case of what it finds.
+        self.special = re.compile("|".join(map(re.escape, added)), re.I) if added and not ordinary else None
+        # What all of them begin with, as far as it has no case: looked for first, as that is cheap.
+        self.hint = re.match(r"[\W_]*", os.path.commonprefix(added)).group()
         self.leading_space = name.startswith("byte_")
         self.mark, self.join = ("\x0b", "\x0b") if self.leading_space else ("\x7f", " \x7f ")
         self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids[0]
@@ -90,6 +97,18 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes, each with the end id behind."""
+        if self.special is not None:
+            whole = [i for i, t in enumerate(texts) if self.hint in t and self.special.search(t)]
+            if whole:
+                blank = dict.fromkeys(whole, "")
+                out = self._encode_ordinary([blank.get(i, t) for i, t in enumerate(texts)])
+                for i in whole:
+                    out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype).tobytes() + self.end
+                return out
+        return self._encode_ordinary(texts)
+
+    def _encode_ordinary(self, texts: list[str]) -> list[bytes]:
+        """The same for texts without special tokens."""
         cuts = [self.cut(t) for t in texts]
         memo = self.memo
         if len(memo) > MEMO_PIECES:
@@ -132,9 +151,9 @@ _ENCODERS: dict[tuple, Encoder] = {}
 common.CACHES.append(_ENCODERS)
 
 
-def encoder(name: str, dtype: str, end: int | None) -> Encoder:
+def encoder(name: str, dtype: str, end: int | None, ordinary: bool = False) -> Encoder:
     """One encoder for each worker process and setting."""
-    key = (name, dtype, end)
+    key = (name, dtype, end, ordinary)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(name, dtype, end)
+        _ENCODERS[key] = Encoder(name, dtype, end, ordinary)
     return _ENCODERS[key]

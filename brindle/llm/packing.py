@@ -9,7 +9,7 @@ simply gets pieces from both, its boundary records, which :func:`sequences`
 joins.  No row is shuffled, and no group is larger than a window.
 
 Defined results: a null text is the empty one; an empty document still has its
-end id; repeated rows are documents of their own; an empty table has no pieces;
+end id; strings of special tokens become these tokens, as in the plain call; repeated rows are documents of their own; an empty table has no pieces;
 columns besides ``doc_id`` and ``text`` are ignored.
 """
 

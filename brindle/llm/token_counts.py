@@ -12,8 +12,8 @@ no separator at all) and numbers the documents.
 Defined results: an empty document counts its end id alone; ids behind the last
 separator of a file are an unfinished document and are reported by
 ``open_tail``; an empty table has no files.  The end id must not occur inside a
-document, which :func:`write_flat` takes care of by using an id that no ordinary
-text encodes to.
+document: :func:`write_flat` encodes strings of special tokens as ordinary text, and
+no ordinary text encodes to that id.
 """
 
 from __future__ import annotations
@@ -30,14 +30,14 @@ from . import common
 from .encoding import encoder
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 50256
-#: Ids in one scan block.
-BLOCK = 1 << 22
+#: Ids in one scan block; bytes that one task scans.
+BLOCK, BYTES_EACH = 1 << 22, 32 << 20
 ROSTER = "file string, n_ids long, ordinal long, doc_id long"
 
 
 def _write(folder: str, tokenizer: str, end: int):
     def write(batches):
-        coder, out, ordinal, uri, n_ids = encoder(tokenizer, "<u2", end), None, 0, "", 0
+        coder, out, ordinal, uri, n_ids = encoder(tokenizer, "<u2", end, ordinary=True), None, 0, "", 0
         for batch in batches:
             if out is None and batch.num_rows:
                 uri = f"{folder}/flat-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.u16"
@@ -86,10 +86,21 @@ def _scan(end: int):
     return scan
 
 
+def blocks_of(files: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``file, block, first, n``: the blocks of all files, those that lie together in one task.
+
+    A block's row is narrow but makes its task read the block, so the number of tasks
+    follows the bytes to read.
+    """
+    size = files.agg(F.sum("n_ids")).first()[0] or 0
+    blocks = files.select("file", "n_ids", F.explode(F.expr(f"sequence(0L, greatest(n_ids - 1, 0L) div {block})")).alias("block"))
+    blocks = blocks.select("file", "block", (F.col("block") * block).alias("first"), F.least(F.lit(block), F.col("n_ids") - F.col("block") * block).alias("n"))
+    return blocks.repartitionByRange(common.tasks(files.sparkSession, 2 * size, BYTES_EACH), "file", "block")
+
+
 def count_tokens(files: DataFrame, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
     """``file, ordinal, n_tokens`` (with the end id) of each document of flat token files."""
-    blocks = files.select("file", "n_ids", F.explode(F.expr(f"sequence(0L, greatest(n_ids - 1, 0L) div {block})")).alias("block"))
-    blocks = blocks.select("file", "block", (F.col("block") * block).alias("first"), F.least(F.lit(block), F.col("n_ids") - F.col("block") * block).alias("n")).repartition("file", "block")
+    blocks = blocks_of(files, block)
     found = common.materialise(blocks.mapInArrow(_scan(end_id), "file string, block long, ends long, tail long, counts array<bigint>"), "token-blocks")
     by_file = Window.partitionBy("file").orderBy("block")
     before = by_file.rowsBetween(Window.unboundedPreceding, -1)

@@ -15,9 +15,9 @@ from brindle.llm.encoding import Encoder
 
 NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 ENCODERS = {n: Encoder(n, "<u2", 1) for n in NAMES}
+#: Flags untouched: the library's plain call.
 PLAIN = {n: Tokenizer.from_file(public_tokenizers.path(n)) for n in NAMES}
-for _t in PLAIN.values():
-    _t.encode_special_tokens = True
+SPECIAL = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "a <|endoftext|> b"]
 
 TEXT = st.text(st.one_of(st.sampled_from(" \n\t.,'abcdeAB19é́　\x0b\x7f\x1c\x85|<>Σς"), st.characters(codec="utf-8")), max_size=40)
 
@@ -29,8 +29,24 @@ def test_pieces_give_the_ids_of_the_whole_text(texts, name):
     assert got == [PLAIN[name].encode(t, add_special_tokens=False).ids + [1] for t in texts]
 
 
-def ids_of(df, name, end):
-    return [(r["doc_id"], PLAIN[name].encode(r["text"] or "", add_special_tokens=False).ids + [end]) for r in df.select("doc_id", "text").collect()]
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.one_of(TEXT, st.sampled_from(SPECIAL)), max_size=4).map("".join), max_size=4), st.sampled_from(NAMES))
+def test_special_tokens_as_in_the_plain_call(texts, name):
+    got = [np.frombuffer(b, "<u2").tolist() for b in ENCODERS[name].encode(texts)]
+    assert got == [PLAIN[name].encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
+def test_special_tokens_as_text():
+    coder, plain = Encoder(NAMES[0], "<u2", 50256, ordinary=True), Tokenizer.from_file(public_tokenizers.path(NAMES[0]))
+    plain.encode_special_tokens = True
+    ids = np.frombuffer(coder.encode(["a <|endoftext|> b"])[0], "<u2").tolist()
+    assert ids == [*plain.encode("a <|endoftext|> b", add_special_tokens=False).ids, 50256] and ids.count(50256) == 1
+
+
+def ids_of(df, name, end, ordinary=False):
+    coder = Tokenizer.from_file(public_tokenizers.path(name))
+    coder.encode_special_tokens = ordinary
+    return [(r["doc_id"], coder.encode(r["text"] or "", add_special_tokens=False).ids + [end]) for r in df.select("doc_id", "text").collect()]
 
 
 def crc(ids):
@@ -98,7 +114,7 @@ def test_counts(spark, odd_docs, block):
     few = odd_docs.where("n_chars < 1000 OR n_chars IS NULL") if block < 50 else odd_docs
     files, roster = token_counts.write_flat(few, common.fresh_dir(spark, "t"))
     found = roster.join(token_counts.count_tokens(files, block=block), ["file", "ordinal"]).collect()
-    expect = sorted((d is not None, d or 0, len(x)) for d, x in ids_of(few, token_counts.TOKENIZER, token_counts.END_ID))
+    expect = sorted((d is not None, d or 0, len(x)) for d, x in ids_of(few, token_counts.TOKENIZER, token_counts.END_ID, ordinary=True))
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"]) for r in found) == expect
     assert token_counts.open_tail(files, block=block).count() == 0
 
@@ -120,6 +136,15 @@ def test_separator_scan(spark, tmp_path_factory, ids, block):
     assert [r["n_open"] for r in token_counts.open_tail(files, 0, block).collect()] == ([n] if n else [])
 
 
+def test_scan_tasks_follow_the_bytes(spark, monkeypatch):
+    """Files of 4 GB in blocks of 8 MB: at least a task for each 128 MB."""
+    files = spark.createDataFrame([("a", 1 << 30), ("b", 1 << 30)], "file string, n_ids long")
+    blocks = token_counts.blocks_of(files)
+    assert blocks.count() == 512 and blocks.rdd.getNumPartitions() >= 32
+    sizes = blocks.rdd.mapPartitions(lambda rows: [sum(r["n"] for r in rows) * 2]).collect()
+    assert max(sizes) <= 128 << 20
+
+
 def test_counts_of_nothing(spark, no_docs):
     files, roster = token_counts.write_flat(no_docs, common.fresh_dir(spark, "t"))
     assert roster.count() == 0 and token_counts.count_tokens(files).count() == 0
