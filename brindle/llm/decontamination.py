@@ -7,11 +7,12 @@ over all pieces finds every copy.  Around each piece hit the window that could
 hold the whole item is compared with it by Myers' bit-parallel distance, which
 takes a few word operations for each character of the window.
 
-The items' pieces travel to the scan in shards of bounded size (``SHARD_CHARS``);
-a benchmark beyond one shard costs a further scan for each shard.
+The items lie in the shared folder in shards of some ``SHARD_CHARS`` characters, dealt
+out by hash; the tasks of a scan read one shard and build its automaton, so no benchmark
+is too large for the driver or a task.  One beyond a shard costs a further scan for each.
 
 Defined results: null texts hold nothing; items that are null or blank match
-nothing; items under ``SHORT`` characters match exactly only; equal items are
+nothing; items under 13 characters have no error budget; equal items are
 reported each by its id, repeated rows each for themselves; empty tables give an
 empty result; other columns are ignored by :func:`matches` and kept by
 :func:`drop_contaminated`.
@@ -21,11 +22,15 @@ from __future__ import annotations
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edits allowed for each character of an item, and the length under which none is.
-BUDGET, SHORT = 0.08, 40
+from . import common
+
+#: Edits allowed for each character of an item.
+BUDGET = 0.08
 #: Characters of items in one scan.
 SHARD_CHARS = 8_000_000
 MATCHES = "doc_id long, item_id long, distance long, budget long"
@@ -37,7 +42,7 @@ def normal(text: str) -> str:
 
 def pieces(item: str, budget: float = BUDGET) -> tuple[int, list[tuple[int, str]]]:
     """(error budget, its pieces with their offsets) of a normalised item."""
-    k = int(len(item) * budget) if len(item) >= SHORT else 0
+    k = int(len(item) * budget)
     cuts = [i * len(item) // (k + 1) for i in range(k + 2)]
     return k, [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
@@ -130,19 +135,30 @@ class Matcher:
         return sorted(out)
 
 
-def shards(benchmark: DataFrame, chars: int = SHARD_CHARS) -> list[list[tuple[int, str]]]:
-    """The items in lists of bounded size."""
+def shards(benchmark: DataFrame, chars: int = SHARD_CHARS) -> list[str]:
+    """Folders with the items, each of some ``chars`` characters; blank items are left out."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.trim("text") != "")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // chars))
-    part = lambda i: items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items
-    return [[(r["item_id"], r["text"]) for r in part(i).collect()] for i in range(n)]
+    folder = common.fresh_dir(benchmark.sparkSession, "benchmark-shards")
+    items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")).repartition(n, "shard").write.partitionBy("shard").parquet(folder)
+    fs, path = common.filesystem(folder)
+    return [f"{folder}/{x.base_name}" for x in fs.get_file_info(pafs.FileSelector(path)) if x.base_name.startswith("shard=")]
+
+
+def read_shard(uri: str) -> list[tuple[int, str]]:
+    """The items of one shard."""
+    fs, path = common.filesystem(uri)
+    files = [x.path for x in fs.get_file_info(pafs.FileSelector(path)) if x.path.endswith(".parquet")]
+    tables = [pq.read_table(f, filesystem=fs, columns=["item_id", "text"], partitioning=None) for f in sorted(files)]
+    return [item for t in tables for item in zip(t["item_id"].to_pylist(), t["text"].to_pylist())]
 
 
-def _match(items: list[tuple[int, str]], budget: float):
+def _match(shard: str, budget: float):
     def match(batches):
-        matcher = Matcher(items, budget)
+        matcher = None
         for batch in batches:
+            matcher = matcher or Matcher(read_shard(shard), budget)
             rows = [(d, *m) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if t for m in matcher.find(t)]
             yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["doc_id", "item_id", "distance", "budget"])
 
@@ -152,24 +168,28 @@ def _match(items: list[tuple[int, str]], budget: float):
 def matches(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
     """``doc_id, item_id, distance, budget`` of each document that holds an item."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [texts.mapInArrow(_match(items, budget), MATCHES) for items in shards(benchmark)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    out = docs.sparkSession.createDataFrame([], MATCHES)
+    for n, shard in enumerate(shards(benchmark)):
+        found = texts.mapInArrow(_match(shard, budget), MATCHES)
+        out = out.unionByName(found) if n else found
     return out
 
 
-def _clean(items: list[tuple[int, str]], budget: float):
+def _clean(shard: str, text: str, budget: float):
     def clean(batches):
-        matcher = Matcher(items, budget)
+        matcher = None
         for batch in batches:
-            yield batch.filter(pa.array([not (t and matcher.find(t, any_one=True)) for t in batch.column("text").to_pylist()], pa.bool_()))
+            matcher = matcher or Matcher(read_shard(shard), budget)
+            yield batch.filter(pa.array([not (t and matcher.find(t, any_one=True)) for t in batch.column(text).to_pylist()], pa.bool_()))
 
     return clean
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    for items in shards(benchmark):
-        docs = docs.mapInArrow(_clean(items, budget), docs.schema)
+    """``docs`` without the documents that hold a benchmark item; null texts stay, all columns too."""
+    text = next(c for c in docs.columns if c.lower() == "text")
+    for n, shard in enumerate(shards(benchmark)):
+        # Scans in one stage would hold their automata at the same time.
+        docs = common.materialise(docs, "partly-clean") if n else docs
+        docs = docs.mapInArrow(_clean(shard, text, budget), docs.schema)
     return docs

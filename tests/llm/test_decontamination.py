@@ -32,7 +32,7 @@ def test_myers(item, text):
 def test_pieces():
     k, parts = d.pieces("x" * 100)
     assert k == 8 and len(parts) == 9 and "".join(p for _, p in parts) == "x" * 100
-    assert d.pieces("short item")[0] == 0
+    assert d.pieces("short item")[0] == 0 and d.pieces("x" * 39)[0] == 3
 
 
 def mutate(rng, text, n):
@@ -77,10 +77,24 @@ def test_against_brute_force(spark):
     assert kept == {i for i, _ in rows} - {i for i, _ in expect}
 
 
-def test_shards(spark, sf):
+def test_shards(spark, sf, monkeypatch):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     one, many = d.shards(bench), d.shards(bench, chars=2000)
-    assert len(one) == 1 and len(many) > 3 and sorted(sum(many, [])) == sorted(one[0])
+    assert len(one) == 1 and len(many) > 3 and sorted(sum(map(d.read_shard, many), [])) == sorted(d.read_shard(one[0]))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found, kept = sorted(map(tuple, d.matches(docs, bench).collect())), sorted(r["doc_id"] for r in d.drop_contaminated(docs, bench).collect())
+    real = d.shards
+    monkeypatch.setattr(d, "shards", lambda b: real(b, chars=2000))
+    assert sorted(map(tuple, d.matches(docs, bench).collect())) == found and sorted(r["doc_id"] for r in d.drop_contaminated(docs, bench).collect()) == kept
+
+
+def test_short_items_have_a_budget(spark):
+    """One letter dropped from an item of 39 and of 40 characters."""
+    item = "the small grey heron waits by the brook"
+    assert len(item) == 39
+    docs = spark.createDataFrame([(1, f"so {item[:20]}{item[21:]} again"), (2, f"so {item[:20]}{item[21:]}s again")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, item + "s")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): (r["distance"], r["budget"]) for r in d.matches(docs, bench).collect()} == {(1, 1): (1, 3), (1, 2): (2, 3), (2, 1): (1, 3), (2, 2): (1, 3)}
 
 
 def test_odd_rows(spark, sf, odd_docs, no_docs):
