@@ -12,12 +12,18 @@ up trustworthy and well supported join the result as spans of kind ``id``.
 Tokens without a digit are far too many to be candidates everywhere.  Those beside a
 word that is a trusted pattern are counted in a second scan; patterns that seeds still
 outweigh (``SHARE``) make them candidates, whose other places a third scan finds.  They
-are scored with all of them; what the first graph chose stays chosen.
+are scored with all of them; what the first graph chose stays chosen.  What these scans
+look for travels to them as a bit set of fixed size (``BITS``), and joins with the exact
+table drop its false hits: nothing that grows with the corpus reaches the driver.
 
 The graph is aggregated to distinct (pattern, identifier) edges before anything
 is joined, so a pattern or an identifier in a third of all rows is one row for
 each partition, and joins on a hot pattern may be split.
 
+The word beside an identifier is the next one between white space, however far and long;
+where it is glued to the identifier it ends at the next base identifier.  Patterns with
+words over ``LONG`` characters go by a hash of the word.
+
 Defined results: a null text is the empty one and has no spans; offsets count
 code points, ends are exclusive; repeated rows are scanned each for itself; an
 empty table gives an empty result; columns besides ``doc_id`` and ``text`` are
@@ -26,10 +32,12 @@ ignored by :func:`find` and kept by :func:`redact`.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -42,10 +50,10 @@ KINDS = ("email", "ip", "card", "phone", "id")
 ROUNDS, SUPPORT, PATTERN_SCORE, ID_SCORE = 3, 5, 0.9, 0.9
 #: Seeds among all distinct identifiers of a pattern, words included, from which the rounds can bring it to trust.
 SHARE = 1 - (1 - PATTERN_SCORE) ** (1 / ROUNDS)
-#: Characters in which the neighbouring word is sought.
-REACH = 40
-#: Discovered identifiers that may be broadcast (8 bytes each).
-BROADCAST_IDS = 200_000
+#: Characters from which a word goes by its hash.
+LONG = 64
+#: Bits of a set that travels to a scan.
+BITS = 1 << 22
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -54,10 +62,12 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_TOKEN = re.compile(r"\S+")
+_TOKENS = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("ident", pa.int64()), ("known", pa.bool_()), ("context", pa.list_(pa.string()))])
 
 SPAN = "struct<start:long,kind:int,end:long>"
 TOKEN = "struct<start:long,end:long,ident:long,known:boolean,context:array<string>>"
-WORDS = f"digest string, tokens array<{TOKEN}>"
+FLAT = "digest string, start long, end long, ident long, pattern string"
 FOUND = f"part long, row long, doc_id long, digest string, base array<{SPAN}>, tokens array<{TOKEN}>"
 
 
@@ -106,35 +116,81 @@ def _ident(text: str) -> int:
 
 
 def _word(text: str) -> str:
-    return re.sub(r"\d", "0", _EDGE.sub("", text.lower()))
+    word = re.sub(r"\d", "0", _EDGE.sub("", text.lower()))
+    return word if len(word) <= LONG else hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+class Places:
+    """The tokens between white space of a text."""
 
+    def __init__(self, text: str) -> None:
+        self.text = text
+        spans = [m.span() for m in _TOKEN.finditer(text)]
+        self.starts, self.ends = [s for s, _ in spans], [e for _, e in spans]
 
-def _context(text: str, start: int, end: int) -> list[str]:
-    left, right = text[max(0, start - REACH) : start].split(), text[end : end + REACH].split()
-    return ["L:" + (_word(left[-1]) if left else ""), "R:" + (_word(right[0]) if right else "")]
+    def context(self, start: int, end: int, low: int = 0, high: int | None = None) -> list[str]:
+        """The patterns of the place [start, end); glued words end at ``low`` and ``high``."""
+        i, j, left, right = bisect.bisect_left(self.starts, start) - 1, bisect.bisect_right(self.ends, end), "", ""
+        if i >= 0:
+            glued = self.ends[i] > start
+            left = self.text[max(self.starts[i], low) if glued else self.starts[i] : min(self.ends[i], start)]
+        if j < len(self.ends):
+            glued = self.starts[j] < end
+            right = self.text[max(self.starts[j], end) : min(self.ends[j], high) if glued and high is not None else self.ends[j]]
+        return ["L:" + _word(left), "R:" + _word(right)]
 
 
 def tokens(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     """Seeds and candidates of a text with their patterns."""
-    out = [{"start": s, "end": e, "ident": _ident(text[s:e]), "known": True, "context": _context(text, s, e)} for s, _, e in base]
-    covered, k, reach, at = sorted((s, e) for s, _, e in base), 0, 0, 0
-    while m := _DIGIT.search(text, at):
-        start, end = m.start(), m.end()
-        while start > at and not text[start - 1].isspace():
-            start -= 1
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        at = end
+    first = _DIGIT.search(text)
+    if not base and first is None:
+        return []
+    places, out, low = Places(text), [], 0
+    for n, (start, _, end) in enumerate(base):
+        if n and base[n - 1][2] <= start:
+            low = base[n - 1][2]
+        k = n + 1
+        while k < len(base) and base[k][0] < end:
+            k += 1
+        out.append({"start": start, "end": end, "ident": _ident(text[start:end]), "known": True, "context": places.context(start, end, low, base[k][0] if k < len(base) else None)})
+    covered, k, reach = sorted((s, e) for s, _, e in base), 0, 0
+    while first is not None:
+        i = bisect.bisect_right(places.starts, first.start()) - 1
+        start, end = places.starts[i], places.ends[i]
         while k < len(covered) and covered[k][0] < end:
             reach, k = max(reach, covered[k][1]), k + 1
         if reach <= start:
             bare = _EDGE.sub("", text[start:end])
             begin = text.index(bare, start)
-            out.append({"start": begin, "end": begin + len(bare), "ident": _ident(bare), "known": False, "context": _context(text, begin, begin + len(bare))})
+            out.append({"start": begin, "end": begin + len(bare), "ident": _ident(bare), "known": False, "context": places.context(begin, begin + len(bare))})
+        first = _DIGIT.search(text, end)
     return out
 
 
-_named = functools.lru_cache(1 << 17)(_word)
+def members(keys: DataFrame) -> bytes:
+    """A Bloom filter of ``BITS`` bits over the one long column of ``keys``."""
+    key = F.col(keys.columns[0])
+    at = keys.select(F.explode(F.array(F.pmod(key, F.lit(BITS)), F.pmod(F.shiftright(key, 29), F.lit(BITS)))).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits"))
+    out = np.zeros(BITS // 64, np.int64)
+    for r in words.collect():  # BITS / 64 rows at most
+        out[r["w"]] = r["bits"]
+    return out.astype("<i8").tobytes()
+
+
+def may_hold(bits: bytes, key: int) -> bool:
+    """Whether a key may be a member; of those that aren't a few get a yes."""
+    a, b = key % BITS, (key >> 29) % BITS
+    return bool(bits[a >> 3] >> (a & 7) & 1 and bits[b >> 3] >> (b & 7) & 1)
+
+
+def _pattern_key(pattern):
+    """The key of patterns in a filter, as a column; :func:`_key_of` is the same in Python."""
+    return F.conv(F.substring(F.md5(F.encode(pattern, "UTF-8")), 1, 15), 16, 10).cast("long")
+
+
+def _key_of(pattern: str) -> int:
+    return int(hashlib.md5(pattern.encode("utf-8", "surrogatepass")).hexdigest()[:15], 16)
 
 
 @functools.lru_cache(1 << 17)
@@ -143,49 +199,62 @@ def _bare_ident(token: str) -> int | None:
     return _ident(bare) if bare and not _DIGIT.search(token) else None
 
 
-def _words_at(text: str, parts: list[str], hits: list[int]) -> list[dict]:
+def _words_at(text: str, hits: list[int]) -> list[dict]:
     """The tokens ``hits`` of a text, those in base identifiers left out."""
-    out, base, places = [], base_spans(text), [m.start() for m in re.finditer(r"\S+", text)]
+    out, places, covered, k, reach = [], Places(text), sorted((s, e) for s, _, e in base_spans(text)), 0, 0
     for i in hits:
-        bare = _EDGE.sub("", parts[i])
-        begin = text.index(bare, places[i])
-        end = begin + len(bare)
-        if not any(s < places[i] + len(parts[i]) and e > places[i] for s, _, e in base):
-            out.append({"start": begin, "end": end, "ident": _ident(bare), "known": False, "context": _context(text, begin, end)})
+        start, end = places.starts[i], places.ends[i]
+        while k < len(covered) and covered[k][0] < end:
+            reach, k = max(reach, covered[k][1]), k + 1
+        if reach <= start:
+            bare = _EDGE.sub("", text[start:end])
+            begin = text.index(bare, start)
+            out.append({"start": begin, "end": begin + len(bare), "ident": _ident(bare), "context": places.context(begin, begin + len(bare))})
     return out
 
 
-def words_beside(text: str, cues: frozenset[str]) -> list[dict]:
-    """Tokens without a digit that stand in one of the patterns ``cues``."""
-    parts = text.split()
-    names = [_named(p) for p in parts]
-    lefts, rights = [f"L:{n}" in cues for n in names], [f"R:{n}" in cues for n in names]
-    hits = [i for i, p in enumerate(parts) if (i and lefts[i - 1] or i + 1 < len(parts) and rights[i + 1]) and _bare_ident(p) is not None]
-    return [t for t in _words_at(text, parts, hits) if cues.intersection(t["context"])] if hits else []
-
+def _beside(bits: bytes):
+    """Distinct (pattern, token without a digit in it) of each batch, for patterns in the filter."""
 
-def words_among(text: str, idents: frozenset[int]) -> list[dict]:
-    """Tokens without a digit that are among ``idents``."""
-    parts = text.split()
-    hits = [i for i, p in enumerate(parts) if _bare_ident(p) in idents]
-    return _words_at(text, parts, hits) if hits else []
+    def beside(batches):
+        known: dict[str, int] = {}
 
+        def sides(part: str) -> int:
+            """1 if the word may be a left pattern, 2 if a right one."""
+            if part not in known:
+                if len(known) > 1 << 17:
+                    known.clear()
+                word = _word(part)
+                known[part] = (may_hold(bits, _key_of("L:" + word)) | 2 * may_hold(bits, _key_of("R:" + word))) if word else 0
+            return known[part]
 
-def _beside(cues: frozenset[str]):
-    def beside(batches):
         for batch in batches:
-            seen = {(c, t["ident"]) for text in batch.column("text").to_pylist() for t in words_beside(text, cues) for c in t["context"] if c in cues}
+            seen = set()
+            for text in batch.column("text").to_pylist():
+                parts = text.split()
+                flags = [*map(sides, parts), 0]
+                hits = [i for i, p in enumerate(parts) if (i and flags[i - 1] & 1 or flags[i + 1] & 2) and _bare_ident(p) is not None] if any(flags) else []
+                if hits:
+                    seen.update((c, t["ident"]) for t in _words_at(text, hits) for c in t["context"])
+            seen = {(c, i) for c, i in seen if may_hold(bits, _key_of(c))}
             yield pa.record_batch([pa.array([c for c, _ in seen], pa.string()), pa.array([i for _, i in seen], pa.int64())], ["pattern", "ident"])
 
     return beside
 
 
-def _among(idents: frozenset[int]):
+def _among(bits: bytes):
+    """The places of tokens without a digit that are in the filter, one row for each of their patterns."""
+
     def among(batches):
-        token = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("ident", pa.int64()), ("known", pa.bool_()), ("context", pa.list_(pa.string()))])
         for batch in batches:
-            rows = [(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), found) for text in batch.column("text").to_pylist() if (found := words_among(text, idents))]
-            yield pa.record_batch([pa.array([d for d, _ in rows], pa.string()), pa.array([f for _, f in rows], pa.list_(token))], ["digest", "tokens"])
+            rows = []
+            for text in batch.column("text").to_pylist():
+                hits = [i for i, p in enumerate(text.split()) if (ident := _bare_ident(p)) is not None and may_hold(bits, ident)]
+                if hits:
+                    digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+                    rows += [(digest, t["start"], t["end"], t["ident"], c) for t in _words_at(text, hits) for c in t["context"]]
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["digest", "start", "end", "ident", "pattern"])
 
     return among
 
@@ -201,8 +270,7 @@ def _scan(batches):
             digests.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
         n = batch.num_rows
         span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-        token = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("ident", pa.int64()), ("known", pa.bool_()), ("context", pa.list_(pa.string()))])
-        yield pa.record_batch([pa.array([part] * n, pa.int64()), pa.array(range(row, row + n), pa.int64()), batch.column("doc_id"), pa.array(digests, pa.string()), pa.array(base, pa.list_(span)), pa.array(found, pa.list_(token))], ["part", "row", "doc_id", "digest", "base", "tokens"])
+        yield pa.record_batch([pa.array([part] * n, pa.int64()), pa.array(range(row, row + n), pa.int64()), batch.column("doc_id"), pa.array(digests, pa.string()), pa.array(base, pa.list_(span)), pa.array(found, pa.list_(_TOKENS))], ["part", "row", "doc_id", "digest", "base", "tokens"])
         row += n
 
 
@@ -252,28 +320,29 @@ def chosen_ids(found: DataFrame) -> DataFrame:
     return _chosen(*_graph(found))
 
 
-def chosen_words(docs: DataFrame, edges: DataFrame, trusted: DataFrame) -> tuple[DataFrame, frozenset[int]] | None:
-    """The places (``WORDS``) of discovered identifiers without a digit, and these; None if there are none."""
-    cues = frozenset(r["pattern"] for r in trusted.where(F.length("pattern") > 2).collect())
-    if not cues:
+def chosen_words(docs: DataFrame, edges: DataFrame, trusted: DataFrame) -> DataFrame | None:
+    """``digest, words``: the spans of discovered identifiers without a digit in each text; None if no pattern can have any."""
+    cues = trusted.where(F.length("pattern") > 2)
+    if cues.isEmpty():
         return None
     texts = common.documents(docs).select("text")
-    beside = common.materialise(texts.mapInArrow(_beside(cues), "pattern string, ident long").distinct(), "pii-beside")
+    beside = texts.mapInArrow(_beside(members(cues.select(_pattern_key("pattern")))), "pattern string, ident long").distinct()
+    beside = common.materialise(beside.join(cues, "pattern", "left_semi"), "pii-beside")
     known = edges.groupBy("pattern").agg(F.sum(F.col("known").cast("long")).alias("seeds"), F.count(F.lit(1)).alias("m"))
     kept = beside.groupBy("pattern").agg(F.count(F.lit(1)).alias("words")).join(known, "pattern").where(F.col("seeds") >= SHARE * (F.col("m") + F.col("words"))).select("pattern")
     kept = common.materialise(kept, "pii-cues")
-    idents = frozenset(r["ident"] for r in beside.join(kept, "pattern", "left_semi").select("ident").distinct().collect())
-    if not idents:
+    idents = common.materialise(beside.join(kept, "pattern", "left_semi").select("ident").distinct(), "pii-word-idents")
+    if idents.isEmpty():
         return None
-    places = common.materialise(texts.mapInArrow(_among(idents), WORDS), "pii-words")
-    seen = places.select(F.explode("tokens").alias("t")).select("t.ident", F.explode("t.context").alias("pattern"))
+    places = common.materialise(texts.mapInArrow(_among(members(idents)), FLAT).join(idents, "ident", "left_semi"), "pii-words")
     # Other patterns' words weren't counted in full: they say nothing in favour.
-    seen = seen.join(kept.withColumn("counts", F.lit(True)), "pattern", "left").withColumn("pattern", F.when(F.col("counts"), F.col("pattern")).otherwise(F.concat(F.substring("pattern", 1, 2), F.lit("\n"))))
+    seen = places.join(kept.withColumn("counts", F.lit(True)), "pattern", "left").withColumn("pattern", F.when(F.col("counts"), F.col("pattern")).otherwise(F.concat(F.substring("pattern", 1, 2), F.lit("\n"))))
     more = seen.groupBy("pattern", "ident").agg(F.count(F.lit(1)).alias("n")).select("pattern", "ident", F.lit(False).alias("known"), "n")
     more = common.materialise(more, "pii-word-edges")
     patterns, scores = score_patterns(edges.unionByName(more))
-    words = frozenset(r["ident"] for r in _chosen(more, _trusted(patterns).join(kept, "pattern", "left_semi"), scores).collect())
-    return (places, words) if words else None
+    words = _chosen(more, _trusted(patterns).join(kept, "pattern", "left_semi"), scores)
+    spans = places.join(words, "ident", "left_semi").select("digest", F.struct("start", F.lit(KINDS.index("id")).alias("kind"), "end").alias("span")).distinct()
+    return spans.groupBy("digest").agg(F.collect_list("span").alias("words"))
 
 
 def discover(found: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -282,13 +351,6 @@ def discover(found: DataFrame, chosen: DataFrame) -> DataFrame:
     return new.groupBy("part", "row").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("id")).alias("kind"), "end")).alias("extra"))
 
 
-def _word_spans(spark, places: DataFrame, words: frozenset[int]) -> DataFrame:
-    """``digest, words``: the spans of the chosen words in each text."""
-    chosen = spark.createDataFrame([(i,) for i in words], "ident long")
-    spots = places.dropDuplicates(["digest"]).select("digest", F.explode("tokens").alias("t")).select("digest", "t.start", "t.end", "t.ident").join(chosen, "ident", "left_semi")
-    return spots.groupBy("digest").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("id")).alias("kind"), "end")).alias("words"))
-
-
 def _text_of(spans):
     kinds = F.array(*map(F.lit, KINDS))
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"])))
@@ -301,8 +363,8 @@ def find(docs: DataFrame) -> DataFrame:
     both = found.select("part", "row", "doc_id", "digest", "base").join(discover(found, _chosen(edges, trusted, idents)), ["part", "row"], "left")
     extra = F.coalesce("extra", F.array().cast(f"array<{SPAN}>"))
     words = chosen_words(docs, edges, trusted)
-    if words:
-        both = both.join(_word_spans(docs.sparkSession, *words), "digest", "left")
+    if words is not None:
+        both = both.join(words, "digest", "left")
         extra = F.concat(extra, F.coalesce("words", F.array().cast(f"array<{SPAN}>")))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     return both.select("doc_id", *map(count, range(4)), F.sha2(_text_of(F.col("base")), 256).alias("base_sha256"), _text_of(F.array_sort(F.concat("base", extra))).alias("spans"), F.size(extra).cast("long").alias("n_id"))
@@ -317,26 +379,19 @@ def _masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _mask(names: list[str], chosen: frozenset[int] | None, words: frozenset[int]):
-    """Masks base spans, ``words`` and, with ``chosen``, candidates of these; else those of column ``__extra``."""
+def _mask(names: list[str], text: str, extra: str, size: str | None):
+    """Masks base spans and those of column ``extra``; ``size`` gets the new length."""
 
     def mask(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            extras = batch.column("__extra").to_pylist() if chosen is None else [None] * len(texts)
-            for i, (text, extra) in enumerate(zip(texts, extras)):
-                if text:
-                    spans = base_spans(text)
-                    if chosen is None:
-                        more = [(x["start"], x["kind"], x["end"]) for x in extra or ()]
-                    else:
-                        more = [(t["start"], 4, t["end"]) for t in tokens(text, spans) if not t["known"] and t["ident"] in chosen] if chosen else []
-                    if words:
-                        more += [(t["start"], 4, t["end"]) for t in words_among(text, words)]
-                    if spans or more:
-                        texts[i] = _masked(text, spans + more)
+            texts = batch.column(text).to_pylist()
+            for i, more in enumerate(batch.column(extra).to_pylist()):
+                if texts[i]:
+                    spans = base_spans(texts[i]) + [(x["start"], x["kind"], x["end"]) for x in more or ()]
+                    if spans:
+                        texts[i] = _masked(texts[i], spans)
             sizes = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-            yield pa.record_batch([pa.array(texts, pa.string()) if n == "text" else sizes if n == "n_chars" else batch.column(n) for n in names], names)
+            yield pa.record_batch([pa.array(texts, pa.string()) if n == text else sizes if n == size else batch.column(n) for n in names], names)
 
     return mask
 
@@ -344,19 +399,24 @@ def _mask(names: list[str], chosen: frozenset[int] | None, words: frozenset[int]
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; a column ``n_chars`` follows.
 
-    Up to ``BROADCAST_IDS`` discovered identifiers travel to the scan as a set of
-    hashes; beyond that the discovered spans are joined to the rows.
+    All other columns are kept, whatever their names; null texts stay null and empty ones
+    empty; an empty table gives an empty one.  The discovered spans of each different text
+    are joined to the rows by the text's digest.
     """
-    names = docs.columns
-    schema = docs.schema
-    if "n_chars" in names:
-        docs = docs.withColumn("n_chars", F.col("n_chars").cast("long"))
-        schema = docs.schema
+    names, by_name = docs.columns, {c.lower(): c for c in docs.columns}
+    text, size = by_name["text"], by_name.get("n_chars")
+    docs = docs.withColumn(text, F.col(text).cast("string"))
+    if size:
+        docs = docs.withColumn(size, F.col(size).cast("long"))
     found = scan(docs)
     edges, trusted, idents = _graph(found)
-    chosen, told = _chosen(edges, trusted, idents), chosen_words(docs, edges, trusted)
-    words = told[1] if told else frozenset()
-    if chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        return docs.mapInArrow(_mask(names, frozenset(r["ident"] for r in chosen.collect()), words), schema)
-    extra = discover(found, chosen).join(found.select("part", "row", "digest"), ["part", "row"]).groupBy("digest").agg(F.first("extra").alias("__extra")).withColumnRenamed("digest", "__digest")
-    return docs.withColumn("__digest", F.sha2(F.col("text"), 256)).join(extra, "__digest", "left").select(*names, "__extra").mapInArrow(_mask(names, None, words), schema)
+    flat = found.select("digest", F.explode("tokens").alias("t")).where("NOT t.known").select("digest", "t.ident", "t.start", "t.end")
+    span = F.struct("start", F.lit(KINDS.index("id")).alias("kind"), "end").alias("span")
+    spans = flat.join(_chosen(edges, trusted, idents), "ident", "left_semi").select("digest", span).distinct()
+    words = chosen_words(docs, edges, trusted)
+    if words is not None:
+        spans = spans.union(words.select("digest", F.explode("words").alias("span")))
+    key, extra = common.unused(names, "digest"), common.unused(names, "extra")
+    extras = common.materialise(spans.groupBy(F.col("digest").alias(key)).agg(F.collect_list("span").alias(extra)), "pii-spans")
+    rows = docs.withColumn(key, F.sha2(F.col(text), 256)).join(extras, key, "left").select(*names, extra)
+    return rows.mapInArrow(_mask(names, text, extra, size), docs.schema)

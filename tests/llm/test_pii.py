@@ -1,10 +1,13 @@
 """op1."""
 
 import hashlib
+import random
 import re
+from collections import Counter, defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from brindle.llm import pii
 
@@ -71,12 +74,82 @@ def test_unseen_identifiers_are_discovered(spark):
     assert all(rows[200 + i]["spans"] == "" for i in range(40)) and all(rows[i]["n_ip"] == 1 for i in range(40))
 
 
-def test_redaction(spark, monkeypatch):
+def test_redaction(spark):
     df = bootstrapped(spark)
-    by_set = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
-    assert by_set[100] == "delta contact <ID> thanks epsilon" and by_set[0] == "alpha beta contact <IP> thanks gamma" and "version 3.0" in by_set[203]
-    monkeypatch.setattr(pii, "BROADCAST_IDS", 0)
-    assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()} == by_set
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert masked[100] == "delta contact <ID> thanks epsilon" and masked[0] == "alpha beta contact <IP> thanks gamma" and "version 3.0" in masked[203]
+    # No name of a column is used inside in a way that would clash; repeated rows are masked each.
+    names = ["digest", "extra", "span", "part", "row", "extra_", "Digest_", "__digest", "__extra"]
+    more = df.union(df).select("*", *[F.lit(n).alias(n) for n in names])
+    rows = pii.redact(more).collect()
+    assert len(rows) == 2 * df.count() and all(r["text"] == masked[r["doc_id"]] and all(r[n] == n for n in names) for r in rows)
+
+
+def plain_word(token):
+    word = re.sub(r"\d", "0", re.sub(r"^[\W_]+|[\W_]+$", "", token.lower()))
+    return word if len(word) <= pii.LONG else hashlib.blake2b(word.encode(), digest_size=16).hexdigest()
+
+
+def plain_tokens(text):
+    """(start, end, identifier, known, patterns) of seeds and candidates, by splitting the text at each."""
+    base = plain(text)
+    out = [(s, e, text[s:e].lower(), True) for s, _, e in base]
+    for m in re.finditer(r"\S+", text):
+        bare = re.sub(r"^[\W_]+|[\W_]+$", "", m.group())
+        if re.search("[0-9]", bare) and not any(s < m.end() and e > m.start() for s, _, e in base):
+            at = text.index(bare, m.start())
+            out.append((at, at + len(bare), bare.lower(), False))
+    rows = []
+    for s, e, ident, known in out:
+        left, right = re.split(r"\s+", text[:s].rstrip())[-1], re.split(r"\s+", text[e:].lstrip())[0]
+        rows.append((s, e, ident, known, ["L:" + plain_word(left), "R:" + plain_word(right)]))
+    return rows
+
+
+def plain_graph(texts):
+    """Rounds over dictionaries: the identifiers that are chosen."""
+    edges = Counter((p, i, known) for t in texts for _, _, i, known, ps in plain_tokens(t) for p in ps)
+    score = {}
+    for _, i, known in edges:
+        score[i] = max(score.get(i, 0.0), float(known))
+    seeds = {i for i, x in score.items() if x == 1}
+    for _ in range(pii.ROUNDS):
+        around = defaultdict(list)
+        for p, i, _ in edges:
+            around[p].append(score.get(i))
+        around = {p: [x for x in xs if x is not None] for p, xs in around.items()}
+        pattern = {p: (sum(xs) / len(xs), sum(x >= pii.ID_SCORE for x in xs)) for p, xs in around.items() if xs}
+        told = {p: x if n >= pii.SUPPORT else 0.0 for p, (x, n) in pattern.items()}
+        sums = defaultdict(lambda: [0.0, 0])
+        for (p, i, known), n in edges.items():
+            if not known and p in told:
+                sums[i, p[0]][0] += n * told[p]
+                sums[i, p[0]][1] += n
+        score = dict.fromkeys(seeds, 1.0)
+        for (i, _), (x, n) in sums.items():
+            if i not in seeds:
+                score[i] = max(score.get(i, 0.0), x / n)
+    good = {p for p, (x, n) in pattern.items() if n >= pii.SUPPORT and x >= pii.PATTERN_SCORE}
+    return {i for p, i, known in edges if not known and p in good and score.get(i, 0) >= pii.ID_SCORE}
+
+
+def test_the_graph_equals_dictionaries(spark):
+    rng = random.Random(3)
+    words = ["call", "mail", "id", "of", "the", "room", "from", "to"]
+    one = lambda: rng.choice([f"10.{rng.randrange(9)}.{rng.randrange(99)}.1", f"a{rng.randrange(50)}@b.org", f"X{rng.randrange(30)}", f"{rng.randrange(40)}", rng.choice(words), f"+1 ({rng.randrange(200, 999)}) 555-0199"])
+    texts = [" ".join([rng.choice(words), one(), rng.choice(words), rng.choice(["id:", "id", "code"]), rng.choice([f"10.0.0.{rng.randrange(99)}", f"X{rng.randrange(30)}"]), rng.choice(["end", "end."]), one()]) for _ in range(150)]
+    found = pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    expect = plain_graph(texts)
+    assert {r["ident"] for r in pii.chosen_ids(found).collect()} == {pii._ident(i) for i in expect} and len(expect) > 3
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["x.y@mail.org", "10.1.2.3", "Z9", "word", "(Q7)", "1234", "-", "x" * 70]), max_size=7), st.sampled_from([" ", "   ", " " * 90, "\n"]))
+def test_contexts(parts, glue):
+    """The next word on either side, however far away and however long."""
+    text = glue.join(parts)
+    got = [(t["start"], t["end"], pii._ident(text[t["start"] : t["end"]]), t["known"], t["context"]) for t in pii.tokens(text, pii.base_spans(text))]
+    assert sorted(got) == sorted((s, e, pii._ident(text[s:e]), k, c) for s, e, _, k, c in plain_tokens(text))
 
 
 def test_odd_rows(odd_docs, no_docs):
