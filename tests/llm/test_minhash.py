@@ -4,9 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from brindle.llm import graph, minhash
 from brindle.llm.shingles import Shingler, jaccard_counts, super_minhash
@@ -158,6 +160,38 @@ def test_connected_components(spark, edges):
     assert got == {i: find(i) for i in root if find(i) != i}
 
 
+def test_names_of_columns_do_not_clash(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "x")]
+    names = ["row", "drop", "digest", "order_id", "Drop_", "__drop", "fp"]
+    for some in (rows, rows[1:] + rows[:1], rows[:2]):
+        df = spark.createDataFrame(some, "doc_id long, text string").select("*", *[F.lit(n).alias(n) for n in names])
+        kept = minhash.keep_first(df)
+        assert kept.columns == df.columns and all(r[n] == n for r in kept.collect() for n in names)
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted({1, *(i for i, _ in some if i == 3)})
+
+
+def test_a_large_bucket_is_copied_once(spark, monkeypatch):
+    """20,000 classes in one bucket, most of them linked: rows dealt and meetings grow in proportion."""
+    monkeypatch.setattr(minhash, "BLOCK", 256)
+    told = {}
+    real = minhash.common.materialise
+    monkeypatch.setattr(minhash.common, "materialise", lambda df, name: told.setdefault(name, real(df, name)))
+    rng = np.random.default_rng(0)
+    for n in (5_000, 20_000):
+        told.clear()
+        folder = minhash.common.fresh_dir(spark, "sets")
+        fs, path = minhash.common.filesystem(folder)
+        fs.create_dir(path, recursive=True)
+        sets = np.sort(rng.integers(1, 2**62, (n, 4)).astype(np.uint64), axis=1)  # sets that share nothing
+        with fs.open_output_stream(f"{path}/s") as f:
+            f.write(sets.tobytes())
+        reps = spark.createDataFrame(pa.table({"rep": np.arange(n), "n_shingles": np.full(n, 4), "fp": pa.array([bytes([1])] * n), "file": [f"{folder}/s"] * n, "at": 4 * np.arange(n), "brief": pa.array([rng.bytes(128) for _ in range(n)]), "bands": pa.array([[7]] * n, pa.list_(pa.int64()))}))
+        known = spark.range(n).selectExpr("7L AS key", "id AS rep", "CASE WHEN id < 300 THEN id ELSE 300L END AS comp")
+        assert minhash._across(known, reps).count() == 0
+        blocks = told["links-inside"].where("key IS NOT NULL").count()
+        assert blocks <= n // 256 + 4 and told["block-pairs"].count() <= 3 * blocks
+
+
 def test_keep_first_decides_by_row(spark):
     """Rows with one doc_id: a unique text stays beside a dropped copy, and equal rows leave one."""
     text = lambda c: " ".join(f"{c}{i}" for i in range(60))
