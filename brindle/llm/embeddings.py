@@ -1,12 +1,13 @@
 """Near-duplicate embeddings by product quantisation over inverted lists.
 
-A bounded sample (``SAMPLE`` vectors, the first in order of a hash) fits coarse
-centroids and, on the residuals, ``SUBSPACES`` codebooks.  Every distinct vector is
-then indexed: it goes to the list of its label and nearest centroid with its code
-and the length of its quantisation error.  Lists are packed into blocks of bounded
-size, which are written once to files in the shared folder; a task reads the two
-blocks of each of its pairs from there, so that vectors aren't copied to every list
-that they search.
+For each length of vectors a bounded sample (``SAMPLE`` vectors, the first in order of a
+hash) fits coarse centroids and, on the residuals, ``SUBSPACES`` codebooks, in a task that
+writes them to the shared folder.  Every distinct vector is then indexed: it goes to the
+list of its label and nearest centroid with its code and the length of its quantisation
+error.  Lists are packed into blocks of bounded size, which are written once to files in
+the shared folder; a task reads the two blocks of each of its pairs from there, so that
+vectors aren't copied to every list that they search.  Two blocks whose lists' balls lie
+further apart than a link allows aren't read at all.
 
 Every pair of vectors of a label meets in one pair of blocks and is counted on both
 sides.  A vector is held against each list that can hold a neighbour: one within the
@@ -24,8 +25,9 @@ spanning forest of the links, never all pairs.
 
 Equal vectors of one label are one class, searched once and counted with its size.
 
-Defined results: vectors that are null, empty, zero, or hold null or non-finite
-components, and rows with a null label, link with nothing; vectors of different
+Defined results: labels may be of any type that has equality; vectors that are null,
+empty, zero, or hold null or non-finite components, and rows with a null label, link with
+nothing; vectors of different
 lengths never link; rows with one ``vec_id`` count each for themselves, with one
 component; an empty table gives an empty result; other columns are ignored.
 """
@@ -49,11 +51,13 @@ COSINE = 0.93
 SLICE = 1024
 #: Vectors that the index is fitted on, vectors a list should hold, lists from whose number on a vector is compared with whole blocks.
 SAMPLE, LIST_SIZE, PROBES = 20_000, 512, 16
+#: Lists at most (a fifth of the sample); pairs of blocks that a task searches.
+MOST_LISTS, PAIRS_EACH = 4096, 64
 SUBSPACES, CODES, ROUNDS = 8, 256, 8
 #: Vectors in one block, up to the last list's rest; pairs of vectors looked at at once; links held before they are thinned.
 BLOCK, AT_ONCE, HELD = 1024, 100_000, 1 << 20
-LISTED = "label int, dim int, list int, wide boolean, rep long, weight long, vector array<double>"
-STORED = "label int, dim int, block long, file string, at long, size long"
+LISTED = "part long, dim int, fit string, list int, wide boolean, rep long, weight long, vector array<double>"
+STORED = "part long, fit string, block long, file string, at long, size long, lists array<int>, radii array<double>"
 COUNTS = "rep long, links long, root long"
 
 
@@ -72,11 +76,30 @@ def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
 class Quantiser:
     """Coarse centroids and residual codebooks for unit vectors of one length."""
 
-    def __init__(self, sample: np.ndarray, lists: int) -> None:
-        self.centres = _kmeans(sample, lists)
-        rest = sample - self.centres[self.nearest(sample)]
-        self.cuts = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
-        self.books = [_kmeans(rest[:, a:b], CODES) for a, b in zip(self.cuts, self.cuts[1:])]
+    def __init__(self, centres: np.ndarray, books: list[np.ndarray]) -> None:
+        self.centres, self.books = centres, books
+        self.cuts = np.cumsum([0, *(b.shape[1] for b in books)])
+
+    @classmethod
+    def fitted(cls, sample: np.ndarray, lists: int) -> Quantiser:
+        out = cls(_kmeans(sample, lists), [])
+        rest = sample - out.centres[out.nearest(sample)]
+        cuts = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
+        return cls(out.centres, [_kmeans(rest[:, a:b], CODES) for a, b in zip(cuts, cuts[1:])])
+
+    def write(self, uri: str) -> None:
+        fs, path = common.filesystem(uri)
+        with fs.open_output_stream(path, compression=None) as out:
+            blob = io.BytesIO()
+            np.savez(blob, centres=self.centres, **{f"book{m}": b for m, b in enumerate(self.books)})
+            out.write(blob.getvalue())
+
+    @classmethod
+    def read(cls, uri: str) -> Quantiser:
+        fs, path = common.filesystem(uri)
+        with fs.open_input_file(path) as f:
+            z = np.load(io.BytesIO(f.read()))
+        return cls(z["centres"], [z[f"book{m}"] for m in range(len(z.files) - 1)])
 
     def _square(self, x: np.ndarray) -> np.ndarray:
         return np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ self.centres.T + (self.centres**2).sum(axis=1), 0)
@@ -118,43 +141,75 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
 
 
-def _list(quantisers: dict[int, Quantiser], chord: float, most: int):
+def _reader():
+    """A function that reads quantisers and keeps the last few."""
+    held: dict[str, Quantiser] = {}
+
+    def read(uri: str) -> Quantiser:
+        if uri not in held:
+            while len(held) >= 4:
+                held.pop(next(iter(held)))
+            held[uri] = Quantiser.read(uri)
+        return held[uri]
+
+    return read
+
+
+def _fit(folder: str):
+    """One quantiser for each length among rows that are sorted by it."""
+
+    def fit(batches):
+        for (dim, most), t in common.groups(batches, ["dim", "most"]):
+            uri = f"{folder}/quantiser-{dim}-{uuid.uuid4().hex}.npz"
+            sample = _unit(_vectors(t["vector"].combine_chunks().slice(0, SAMPLE), dim))
+            Quantiser.fitted(sample, max(1, min(MOST_LISTS, -(-most // LIST_SIZE)))).write(uri)
+            yield pa.record_batch([pa.array([dim], pa.int32()), pa.array([uri])], ["dim", "fit"])
+
+    return fit
+
+
+def _list(chord: float, most: int):
     names = [c.split()[0] for c in LISTED.split(", ")]
 
     def assign(batches):
+        read = _reader()
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                quantiser, x = quantisers[dim], _unit(_vectors(part.column("vector"), dim))
+                quantiser, x = read(part.column("fit")[0].as_py()), _unit(_vectors(part.column("vector"), dim))
                 lists, wide = quantiser.nearest(x), quantiser.wide(x, chord, most)
-                yield pa.record_batch([part.column("label"), part.column("dim"), pa.array(lists, pa.int32()), pa.array(wide), part.column("rep"), part.column("weight"), part.column("vector")], names)
+                yield pa.record_batch([part.column("part"), part.column("dim"), part.column("fit"), pa.array(lists, pa.int32()), pa.array(wide), part.column("rep"), part.column("weight"), part.column("vector")], names)
 
     return assign
 
 
-def _store(folder: str, quantisers: dict[int, Quantiser]):
-    """Writes each block, in order of its lists, to the task's file and tells where it lies."""
+def _store(folder: str):
+    """Writes each block, in order of its lists, to the task's file and tells where it lies and how far its lists reach."""
     names = [c.split()[0] for c in STORED.split(", ")]
+    types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()))
 
     def store(batches):
         fs, path = common.filesystem(folder)
-        name, at, told = uuid.uuid4().hex, 0, []
-        with fs.open_output_stream(f"{path}/{name}") as out:
-            for (label, dim, block), t in common.groups(batches, ["label", "dim", "block"]):
-                t, quantiser = t.sort_by([("list", "ascending"), ("rep", "ascending")]), quantisers[dim]
-                x, lists = _unit(_vectors(t["vector"].combine_chunks(), dim)), t["list"].to_numpy()
-                codes, error = np.zeros((len(x), len(quantiser.books)), np.uint8), np.zeros(len(x))
-                for c in np.unique(lists).tolist():
-                    codes[lists == c], error[lists == c] = quantiser.encode(x[lists == c], quantiser.centres[c])
-                away = np.sqrt(((x - quantiser.centres[lists]) ** 2).sum(axis=1))
-                blob = io.BytesIO()
-                np.savez(blob, x=x, rep=t["rep"].to_numpy(), weight=t["weight"].to_numpy(), lists=lists, wide=t["wide"].to_numpy(), codes=codes, error=error, away=away)
-                size = out.write(blob.getvalue())
-                told.append((label, dim, block, name, at, size))
-                at += size
-        if told:
-            yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*told), (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names)
+        name, at, told, out, read = uuid.uuid4().hex, 0, [], None, _reader()
+        for (part, block), t in common.groups(batches, ["part", "block"]):
+            out = out or fs.open_output_stream(f"{path}/{name}", compression=None)
+            dim, fit = t["dim"][0].as_py(), t["fit"][0].as_py()
+            t, quantiser = t.sort_by([("list", "ascending"), ("rep", "ascending")]), read(fit)
+            x, lists = _unit(_vectors(t["vector"].combine_chunks(), dim)), t["list"].to_numpy()
+            codes, error = np.zeros((len(x), len(quantiser.books)), np.uint8), np.zeros(len(x))
+            present = np.unique(lists)
+            for c in present.tolist():
+                codes[lists == c], error[lists == c] = quantiser.encode(x[lists == c], quantiser.centres[c])
+            away = np.sqrt(((x - quantiser.centres[lists]) ** 2).sum(axis=1))
+            blob = io.BytesIO()
+            np.savez(blob, x=x, rep=t["rep"].to_numpy(), weight=t["weight"].to_numpy(), lists=lists, wide=t["wide"].to_numpy(), codes=codes, error=error, away=away)
+            size = out.write(blob.getvalue())
+            told.append((part, fit, block, name, at, size, present.tolist(), [float(away[lists == c].max()) for c in present]))
+            at += size
+        if out is not None:
+            out.close()
+            yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*told), types)], names)
 
     return store
 
@@ -197,7 +252,13 @@ def _between(quantiser: Quantiser, a: dict, b: dict, same: bool, cosine: float,
             yield ranked(ask[p], q + low)
 
 
-def _search(folder: str, quantisers: dict[int, Quantiser], cosine: float, chord: float):
+def _apart(quantiser: Quantiser, r: dict, chord: float) -> bool:
+    """Whether no vector of one block can be near one of the other, by the balls of their lists."""
+    between = np.sqrt(((quantiser.centres[r["la"]][:, None] - quantiser.centres[r["lb"]]) ** 2).sum(axis=2))
+    return bool((between > np.array(r["ra"])[:, None] + np.array(r["rb"]) + chord + 1e-6).all())
+
+
+def _search(folder: str, cosine: float, chord: float):
     def search(batches):
         fs, path = common.filesystem(folder)
 
@@ -206,15 +267,18 @@ def _search(folder: str, quantisers: dict[int, Quantiser], cosine: float, chord:
                 f.seek(at)
                 return dict(np.load(io.BytesIO(f.read(size))))
 
-        held, a = None, {}
+        held, a, read = None, {}, _reader()
         for batch in batches:
             for r in batch.to_pylist():
+                quantiser = read(r["fit"])
+                if _apart(quantiser, r, chord):
+                    continue
                 one, two = (r["fa"], r["aa"], r["sa"]), (r["fb"], r["ab"], r["sb"])
                 held, a = (held, a) if held == one else (one, block(*one))
                 b = a if one == two else block(*two)
                 links_a, links_b, none = np.zeros(len(a["rep"]), np.int64), np.zeros(len(b["rep"]), np.int64), np.zeros(0, np.int64)
                 left, right, n = [none], [none], 0
-                for p, q in _between(quantisers[r["dim"]], a, b, one == two, cosine, chord):
+                for p, q in _between(quantiser, a, b, one == two, cosine, chord):
                     np.add.at(links_a, p, b["weight"][q])
                     np.add.at(links_b, q, a["weight"][p])
                     left.append(a["rep"][p])
@@ -231,49 +295,58 @@ def _search(folder: str, quantisers: dict[int, Quantiser], cosine: float, chord:
     return search
 
 
-def _met(listed: DataFrame, quantisers: dict[int, Quantiser], cosine: float, chord: float) -> DataFrame:
+def _fits(reps: DataFrame) -> DataFrame:
+    """``dim, fit``: where the quantiser of each length lies."""
+    spark = reps.sparkSession
+    folder = common.fresh_dir(spark, "quantisers")
+    fs, path = common.filesystem(folder)
+    fs.create_dir(path, recursive=True)
+    sizes = reps.groupBy("dim", "part").count().groupBy("dim").agg(F.sum("count").alias("n"), F.max("count").alias("most"))
+    sizes = common.materialise(sizes, "vector-sizes")  # written, so that the planner knows its size
+    # By a threshold on the hash about SAMPLE rows of a length (a fifth more, cut by the task) are dealt out.
+    near = F.pmod(F.xxhash64("vector", F.lit(5)), F.lit(1 << 30)).alias("place")
+    sample = reps.select("dim", "rep", "vector", near).join(sizes, "dim").where(F.col("place") < F.lit(1.2 * SAMPLE * (1 << 30)) / F.col("n"))
+    sample = sample.select("dim", "most", "place", "rep", "vector").repartition("dim").sortWithinPartitions("dim", "place", "rep")
+    return common.materialise(sample.mapInArrow(_fit(folder), "dim int, fit string"), "vector-fits")
+
+
+def _met(listed: DataFrame, cosine: float, chord: float) -> DataFrame:
     """The links of all pairs of blocks, as ``COUNTS``."""
     spark = listed.sparkSession
     folder = common.fresh_dir(spark, "vector-blocks")
     fs, path = common.filesystem(folder)
     fs.create_dir(path, recursive=True)
-    # A label has at most as many lists as there are centroids, which bounds the window.
-    before = Window.partitionBy("label", "dim").orderBy("list").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = listed.groupBy("label", "dim", "list").agg(F.count(F.lit(1)).alias("n"))
+    # A part has at most as many lists as there are centroids, which bounds the window.
+    before = Window.partitionBy("part").orderBy("list").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = listed.groupBy("part", "list").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.withColumn("first", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / BLOCK)).withColumn("pieces", F.ceil(F.col("n") / BLOCK))
-    rows = listed.join(sizes, ["label", "dim", "list"]).withColumn("block", (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("pieces"))).cast("long")).drop("n", "first", "pieces")
-    keys = ["label", "dim", "block"]
-    stored = common.materialise(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_store(folder, quantisers), STORED), "vector-stored")
-    side = lambda x: stored.select("label", "dim", F.col("block").alias(f"block_{x}"), F.col("file").alias(f"f{x}"), F.col("at").alias(f"a{x}"), F.col("size").alias(f"s{x}"))
-    pairs = side("a").join(side("b"), ["label", "dim"]).where("block_a <= block_b").select("dim", "fa", "aa", "sa", "fb", "ab", "sb")
-    n = stored.groupBy("label", "dim").count().agg(F.sum(F.col("count") * (F.col("count") + 1) / 2)).first()[0] or 0
+    rows = listed.join(sizes, ["part", "list"]).withColumn("block", (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("pieces"))).cast("long")).drop("n", "first", "pieces")
+    stored = common.materialise(rows.repartition("part", "block").sortWithinPartitions("part", "block").mapInArrow(_store(folder), STORED), "vector-stored")
+    side = lambda x: stored.select("part", *(["fit"] if x == "a" else []), F.col("block").alias(f"block_{x}"), F.col("file").alias(f"f{x}"), F.col("at").alias(f"a{x}"), F.col("size").alias(f"s{x}"), F.col("lists").alias(f"l{x}"), F.col("radii").alias(f"r{x}"))
+    pairs = side("a").join(side("b"), "part").where("block_a <= block_b").drop("part", "block_a", "block_b")
+    n = stored.groupBy("part").count().agg(F.sum(F.col("count") * (F.col("count") + 1) / 2)).first()[0] or 0
     # The rows are few bytes and much work each, so the number of tasks is given.
-    tasks = min(10_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n) // 64))
-    dealt = pairs.repartition(tasks, "fa", "aa", "fb", "ab").sortWithinPartitions("fa", "aa")
-    found = common.materialise(dealt.mapInArrow(_search(folder, quantisers, cosine, chord), COUNTS), "vector-links")
+    dealt = pairs.repartition(common.tasks(spark, n, PAIRS_EACH), "fa", "aa", "fb", "ab").sortWithinPartitions("fa", "aa")
+    found = common.materialise(dealt.mapInArrow(_search(folder, cosine, chord), COUNTS), "vector-links")
     common.remove_dir(spark, folder)
     return found
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, probes: int = PROBES) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("vector"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < math.inf)) & F.exists("vector", lambda v: v != 0)
     rows = common.materialise(rows.withColumn("ok", F.coalesce(sound, F.lit(False))).withColumn("class", F.when(F.col("ok"), F.xxhash64("label", "vector"))), "vectors")
     # Classes of equal vectors; the vectors themselves are compared, not only their hashes.
     good = rows.where("ok").groupBy("label", "class", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
-    reps = common.materialise(good.withColumn("dim", F.size("vector")), "vector-classes")
-    quantisers = {}
-    for r in reps.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count").alias("most")).collect():
-        sample = reps.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("vector"), "rep").limit(SAMPLE).select("vector").collect()
-        quantisers[r["dim"]] = Quantiser(_unit(np.array([s["vector"] for s in sample])), max(1, min(4096, -(-r["most"] // LIST_SIZE))))
+    good = good.withColumn("dim", F.size("vector"))
+    # Vectors of one label and length may link; such a part goes by a number from here on.
+    parts = common.materialise(good.select("label", "dim").distinct().withColumn("part", F.monotonically_increasing_id()), "vector-parts")
+    reps = common.materialise(good.join(parts, ["label", "dim"]), "vector-classes")
     chord = math.sqrt(2 - 2 * cosine)
-    if quantisers:
-        listed = common.materialise(reps.mapInArrow(_list(quantisers, chord, probes), LISTED), "vector-lists")
-        found = _met(listed, quantisers, cosine, chord)
-    else:
-        found = spark.createDataFrame([], COUNTS)
+    fitted = reps.select("part", "dim", "rep", "weight", "vector").join(_fits(reps), "dim")
+    listed = common.materialise(fitted.mapInArrow(_list(chord, probes), LISTED), "vector-lists")
+    found = _met(listed, cosine, chord)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.where("root IS NOT NULL").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     told = reps.join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import embeddings
 
@@ -80,6 +81,29 @@ def test_exact_beyond_the_probes(spark, monkeypatch, probes):
     assert {i: (r["n_links"], r["component_id"]) for i, r in found(spark, rows, probes=probes).items()} == expect
 
 
+@pytest.mark.parametrize("kind, labels", [("string", ["a", "A", ""]), ("long", [3_000_000_000, -1, 3])])
+def test_labels_of_any_type(spark, kind, labels):
+    rows = made(5, 120)
+    expect = brute(rows)
+    df = spark.createDataFrame([(*r, 9, "d") for r in rows], SCHEMA)
+    label = F.element_at(F.array(*map(F.lit, labels)), F.col("label") + 1).cast(kind)
+    got = embeddings.near_duplicates(df.withColumn("label", label)).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == expect
+
+
+def test_blocks_far_apart_are_not_read(spark, monkeypatch):
+    """Tight clusters on a circle of lists: the work grows with the near pairs; no link is lost."""
+    monkeypatch.setattr(embeddings, "LIST_SIZE", 8)
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 12))
+    rows = [(i, (centres[i % 40] + 0.02 * rng.normal(size=12)).tolist(), 1) for i in range(400)]
+    quantiser = embeddings.Quantiser.fitted(embeddings._unit(centres), 40)
+    far = {"la": [0], "lb": [1], "ra": [0.05], "rb": [0.05]}
+    assert embeddings._apart(quantiser, far, 0.37) and not embeddings._apart(quantiser, far | {"lb": [0]}, 0.37)
+    assert {i: (r["n_links"], r["component_id"]) for i, r in found(spark, rows).items()} == brute(rows)
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], None), (4, None, 1), (5, [], 1), (6, [0.0, 0.0], 1), (7, [1.0, None], 1), (8, [nan, 1.0], 1), (9, [inf, 1.0], 1), (10, [1.0, 0.0, 0.0], 1), (11, [3e38, 0.0], 1), (12, [1e-38, 1e-40], 1), (13, [1.0, 0.0], 2)]
