@@ -9,9 +9,11 @@ own, and the L1 term keeps most weights at exactly zero, so that what goes to th
 executors is a short list of (place, weight).
 
 The model is fitted on a bounded sample of the labelled rows (``MAX_TOXIC`` and
-``MAX_CLEAN``, the first in order of a hash of the id) in one task; the intercept
-is corrected to the share of toxic rows among all training labels.  Scoring reads
-every text whole.
+``MAX_CLEAN``, the first in order of a hash of the id).  The scan hashes the texts of the
+sample where it finds them and sends on the places, at most 2**BITS a row, compressed,
+once for each epoch; one task learns from them in order and holds the model alone.  The
+intercept is corrected to the share of toxic rows among all training labels.  Scoring
+reads every text whole.
 
 Defined results: a null text is the empty one; a text without features gets the
 score of the intercept; labels that are null or belong to no document don't
@@ -22,7 +24,6 @@ any training rows every score is 0; columns besides ``doc_id``, ``text`` and
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 from dataclasses import dataclass
 
@@ -152,29 +153,42 @@ class Ftrl:
         return at, w[at], float(self._weight(self.bias_z, self.bias_n, 0.0))
 
 
-def _train(batches):
-    """One pass hashes the features to a file of the task, so that memory holds only the model."""
+def pack_places(places: np.ndarray) -> bytes:
+    """Ascending places as compressed differences, behind their number."""
+    deltas = np.diff(places, prepend=0).astype("<i4")
+    return len(deltas).to_bytes(4, "little") + pa.compress(deltas.tobytes(), "zstd", asbytes=True)
+
+
+def unpack_places(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    return np.cumsum(np.frombuffer(pa.decompress(raw[4:], 4 * n, "zstd", asbytes=True), "<i4"))
+
+
+def _hashed(batches):
+    """The places of each text, packed, in column ``places``."""
     common.fresh_worker()
-    features, ends, labels = Features(), [0], []
-    with tempfile.TemporaryFile() as spool:
-        for batch in batches:
-            labels += batch.column("toxic").to_pylist()
-            for i in range(0, batch.num_rows, 64):
-                part = batch.column("text").slice(i, 64).to_pylist()
-                doc, place = features.of(part)
-                key = np.unique(doc << BITS | place)
-                spool.write((key & ((1 << BITS) - 1)).astype(np.int32).tobytes())
-                ends += (ends[-1] + np.searchsorted(key, np.arange(1, len(part) + 1) << BITS)).tolist()
-        if not labels:
-            return
-        del features
-        model = Ftrl()
-        for _ in range(EPOCHS):
-            spool.seek(0)
-            for start, end, label in zip(ends, ends[1:], labels):
-                model.learn(np.frombuffer(spool.read(4 * (end - start)), np.int32), label)
-    places, weights, bias = model.weights()
-    yield pa.record_batch([pa.array([*places.tolist(), -1]), pa.array([*weights.tolist(), bias])], ["place", "weight"])
+    features = Features()
+    for batch in batches:
+        out = []
+        for i in range(0, batch.num_rows, 64):
+            part = batch.column("text").slice(i, 64).to_pylist()
+            doc, place = features.of(part)
+            key = np.unique(doc << BITS | place)
+            cuts = np.searchsorted(key, np.arange(len(part) + 1) << BITS).tolist()
+            out += [pack_places(key[a:b] & ((1 << BITS) - 1)) for a, b in zip(cuts, cuts[1:])]
+        yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(out, pa.binary())], ["doc_id", "toxic", "places"])
+
+
+def _train(batches):
+    """The model of rows in the order they come; memory holds it and a batch."""
+    model = None
+    for batch in batches:
+        for raw, label in zip(batch.column("places").to_pylist(), batch.column("toxic").to_pylist()):
+            model = model or Ftrl()
+            model.learn(unpack_places(raw), label)
+    if model is not None:
+        places, weights, bias = model.weights()
+        yield pa.record_batch([pa.array([*places.tolist(), -1]), pa.array([*weights.tolist(), bias])], ["place", "weight"])
 
 
 def in_held_out(doc_id: Column) -> Column:
@@ -189,8 +203,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     first = lambda toxic, most: given.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     sample = common.materialise(first(1, MAX_TOXIC).union(first(0, MAX_CLEAN)), "toxicity-sample")
     rows = common.documents(docs).join(F.broadcast(sample), "doc_id")
-    rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text")
-    found = rows.select("text", "toxic").mapInArrow(_train, "place long, weight double").collect()
+    hashed = rows.select("doc_id", "text", "toxic").mapInArrow(_hashed, "doc_id long, toxic int, places binary")
+    turns = hashed.withColumn("epoch", F.explode(F.array(*map(F.lit, range(EPOCHS)))))
+    turns = turns.repartition(1).sortWithinPartitions("epoch", F.xxhash64("doc_id", F.lit(1)), "doc_id", "places")
+    found = turns.select("places", "toxic").mapInArrow(_train, "place long, weight double").collect()
     if not found:
         return Model(np.zeros(0, np.int64), np.zeros(0), None)
     shares = {r["toxic"]: r["count"] for r in given.groupBy("toxic").count().collect()}
@@ -201,12 +217,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(np.array([p for p, _ in rest], np.int64), np.array([w for _, w in rest]), float(bias + odds(shares) - odds(taken)))
 
 
-def _scorer(model: Model, names: list[str], output: str):
+def _scorer(model: Model, names: list[str], text: str, output: str):
     def score(batches):
         common.fresh_worker()
         features, table = Features(), model.table()
         for batch in batches:
-            texts, out, start, held = batch.column("__text"), [], 0, 0
+            texts, out, start, held = batch.column(text), [], 0, 0
             for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
                 held += n
                 if held > 1 << 20 or i == len(texts) - 1:
@@ -218,10 +234,10 @@ def _scorer(model: Model, names: list[str], output: str):
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], output: str = "score") -> DataFrame:
-    """The columns ``keep`` of ``docs`` and the score in column ``output``."""
-    columns = [F.col(c) for c in keep]
+    """The columns ``keep`` of ``docs`` and the score in column ``output``, which is none of them."""
+    columns, text = [F.col(c) for c in keep], common.unused([*keep, output], "text")
     schema = docs.select(columns).schema.add(output, "double")
-    return docs.select(*columns, F.col("text").cast("string").alias("__text")).mapInArrow(_scorer(model, keep, output), schema)
+    return docs.select(*columns, F.col("text").cast("string").alias(text)).mapInArrow(_scorer(model, keep, text, output), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -231,5 +247,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the model does not reject, with their columns unchanged."""
-    return score(docs, train(docs, labels), docs.columns, "__toxicity").where(F.col("__toxicity") < THRESHOLD).select(*docs.columns)
+    """The documents that the model does not reject, with their columns unchanged.
+
+    Null and empty texts are scored by the intercept; without training rows all stay; other
+    columns are kept, whatever their names; an empty table gives an empty one.
+    """
+    output = common.unused(docs.columns, "toxicity")
+    return score(docs, train(docs, labels), docs.columns, output).where(F.col(output) < THRESHOLD).select(*docs.columns)

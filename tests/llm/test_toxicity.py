@@ -1,8 +1,12 @@
 """op7: held-out accuracy, the fold, and defined results."""
 
+import math
 import zlib
+from collections import defaultdict
 
 import numpy as np
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from brindle.llm import toxicity as t
@@ -47,6 +51,69 @@ def test_labels_of_the_held_out_fold_are_not_learnt(spark):
     assert a.places.tolist() == b.places.tolist() and a.weights.tolist() == b.weights.tolist() and a.intercept == b.intercept
 
 
+def scalar_ftrl(rows, epochs):
+    """The published recursion, one coordinate at a time over dictionaries; the bias is a coordinate without L1."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else t.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((t.BETA + math.sqrt(n[i])) / t.ALPHA + t.L2)
+
+    for _ in range(epochs):
+        for places, label in rows:
+            w = {i: weight(i) for i in [*places, "bias"]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i, x in w.items():
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / t.ALPHA
+                z[i] += g - sigma * x
+                n[i] += g * g
+    return z, n, {i: weight(i) for i in list(z)}
+
+
+def test_ftrl_equals_the_scalar_form():
+    rng = np.random.default_rng(8)
+    rows = [(sorted(rng.choice(60, rng.integers(0, 20), replace=False).tolist()), int(rng.random() < 0.3)) for _ in range(400)]
+    rows = [([*p, 100] if y else p, y) for p, y in rows]
+    model = t.Ftrl()
+    for _ in range(2):
+        for places, label in rows:
+            model.learn(np.array(places, int), label)
+    z, n, w = scalar_ftrl(rows, 2)
+    for i in range(101):
+        assert math.isclose(model.z[i], z.get(i, 0.0), abs_tol=1e-9) and math.isclose(model.n[i], n.get(i, 0.0), abs_tol=1e-9)
+    places, weights, bias = model.weights()
+    assert {i: x for i, x in w.items() if x and i != "bias"}.keys() == set(places.tolist()) and 100 in places
+    assert np.allclose(weights, [w[i] for i in places.tolist()]) and math.isclose(bias, w["bias"], abs_tol=1e-9)
+
+
+def test_trained_as_the_scalar_form(spark):
+    """The whole of train() against features and recursion written out for the same rows in the same order."""
+    docs, labels, truth = made(spark, 200)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    order = [r["id"] for r in spark.range(200).where(~t.in_held_out(F.col("id"))).orderBy(F.xxhash64("id", F.lit(1)), "id").collect()]
+    features, rows = t.Features(), []
+    for i in order:
+        rows.append((sorted(set(features.of([texts[i]])[1].tolist())), truth[i]))
+    _, _, w = scalar_ftrl(rows, t.EPOCHS)
+    model = t.train(docs, labels)
+    expect = {i: x for i, x in w.items() if x and i != "bias"}
+    assert dict(zip(model.places.tolist(), model.weights.tolist())).keys() == expect.keys()
+    assert all(math.isclose(x, expect[i], rel_tol=1e-6) for i, x in zip(model.places.tolist(), model.weights.tolist()))
+
+
+@given(st.sets(st.integers(0, (1 << t.BITS) - 1)))
+def test_places_are_packed(places):
+    assert t.unpack_places(t.pack_places(np.array(sorted(places), np.int64))).tolist() == sorted(places)
+
+
+def test_names_of_columns_do_not_clash(spark):
+    docs, labels, _ = made(spark, 100)
+    names = ["__text", "__toxicity", "toxicity", "text_", "score", "toxic", "places"]
+    kept = t.keep_clean(docs.select("*", *[F.lit(n).alias(n) for n in names]), labels)
+    rows = kept.collect()
+    assert kept.columns == ["doc_id", "text", *names] and rows and all(r[n] == n for r in rows for n in names)
+
+
 def test_sparse_and_repeatable(spark):
     docs, labels, _ = made(spark, 600)
     a, b = t.train(docs, labels), t.train(docs.repartition(5), labels.repartition(3))
