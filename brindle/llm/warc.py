@@ -28,6 +28,7 @@ import json
 import re
 import uuid
 import zlib
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -40,10 +41,12 @@ from . import common
 REVISIT_BYTES = 1000
 #: Lines of an index block; bytes at which a task begins another WARC file.
 LINES, FILE_BYTES = 3000, 1 << 30
+#: Index blocks and bytes of records that one reading task takes.
+BLOCKS_EACH, BYTES_EACH = 64, 32 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURES = "key string, page_id long, url string, digest string, kind string, file string, at long, size long"
-DIRECTORY = "first_key string, last_key string, file string, at long, size long, lines long"
+DIRECTORY = "first_key string, last_key string, file string, at long, size long, lines long, record_bytes long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
@@ -142,9 +145,9 @@ def _index(folder: str):
             z = zlib.compressobj(6, zlib.DEFLATED, 31)
             raw = z.compress("".join(f"{k} {DATE} {json.dumps(v)}\n" for k, v in lines).encode("utf-8", "surrogatepass")) + z.flush()
             out.write(raw)
-            row = [lines[0][0], lines[-1][0], uri, at, len(raw), len(lines)]
+            row = [lines[0][0], lines[-1][0], uri, at, len(raw), len(lines), sum(v["size"] for _, v in lines)]
             at += len(raw)
-            return pa.record_batch([pa.array([x]) for x in row], ["first_key", "last_key", "file", "at", "size", "lines"])
+            return pa.record_batch([pa.array([x]) for x in row], ["first_key", "last_key", "file", "at", "size", "lines", "record_bytes"])
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -215,27 +218,37 @@ def _records(batches):
         f.close()
 
 
+def places_of(directory: DataFrame) -> DataFrame:
+    """``file, at, size`` of every record that the index lists, those that lie together in one task.
+
+    The rows are narrow and make their tasks read much more, so the numbers of tasks
+    follow the blocks and the bytes to read; a large file has several tasks.
+    """
+    spark = directory.sparkSession
+    n, size = directory.agg(F.count(F.lit(1)), F.sum("record_bytes")).first()
+    blocks = directory.select("file", "at", "size").repartition(common.tasks(spark, n, BLOCKS_EACH), "file", "at")
+    places = blocks.mapInArrow(_blocks, "file string, at long, size long")
+    return places.repartitionByRange(common.tasks(spark, size or 0, BYTES_EACH), "file", "at").sortWithinPartitions("file", "at")
+
+
 def read_archives(directory: DataFrame) -> DataFrame:
     """Every record that the index lists: its page, full payload's size and digest, type and reference."""
-    places = directory.select("file", "at", "size").repartition("file", "at").mapInArrow(_blocks, "file string, at long, size long")
-    return places.repartition("file").sortWithinPartitions("file", "at").mapInArrow(_records, RECORDS)
+    return places_of(directory).mapInArrow(_records, RECORDS)
 
 
-def lookup(directory: DataFrame, url: str) -> list[dict]:
-    """The captures of a URL, each with the bytes of its record under ``member``.
+def lookup(directory: DataFrame, url: str) -> Iterator[dict]:
+    """The captures of a URL one by one, each with the bytes of its record under ``member``.
 
-    The directory is narrowed by the files' key ranges before anything is collected.
+    The directory is narrowed by the blocks' key ranges, and its rows come one partition at
+    a time, so that a URL with very many captures doesn't fill the driver.
     """
     key = surt(safe_url(url, None))
-    rows = sorted(directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).collect())
-    out = []
-    for r in rows[bisect.bisect_left([r["last_key"] for r in rows], key) :]:
+    for r in directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("first_key", "last_key", "file", "at").toLocalIterator():
         lines = _lines(r["file"], r["at"], r["size"])
         at = bisect.bisect_left(lines, key + " ")
         while at < len(lines) and lines[at].startswith(key + " "):
             capture = json.loads(lines[at].split(" ", 2)[2])
             fs, path = common.filesystem(capture["file"])
             with fs.open_input_file(path) as f:
-                out.append(capture | {"key": key, "member": f.read_at(capture["size"], capture["at"])})
+                yield capture | {"key": key, "member": f.read_at(capture["size"], capture["at"])}
             at += 1
-    return out

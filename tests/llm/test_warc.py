@@ -57,10 +57,21 @@ def test_odd_pages(spark):
 def test_lookup(spark, monkeypatch, lines):
     monkeypatch.setattr(warc, "LINES", lines)
     directory = warc.write_archives(odd_pages(spark), common.fresh_dir(spark, "w")).cache()
-    found = warc.lookup(directory, "https://a.org/1#x")
+    found = list(warc.lookup(directory, "https://a.org/1#x"))
     assert sorted(c["page_id"] for c in found) == [1, 3]
     assert {c["page_id"]: warc.read_record(c["member"])[2] for c in found}[3] == b"small"
-    assert len(warc.lookup(directory, "http://c.org/")) == 2 and warc.lookup(directory, "http://nowhere.net/") == []
+    assert len(list(warc.lookup(directory, "http://c.org/"))) == 2 and list(warc.lookup(directory, "http://nowhere.net/")) == []
+
+
+def test_reading_tasks_follow_the_bytes(spark, sf, monkeypatch):
+    """One large file is read by several tasks, and none reads much more than its share."""
+    monkeypatch.setattr(warc, "BYTES_EACH", 20_000)
+    pages = spark.read.parquet(f"{sf}/pages.parquet").coalesce(1)
+    directory = warc.write_archives(pages, common.fresh_dir(spark, "w")).cache()
+    size = directory.agg({"record_bytes": "sum"}).first()[0]
+    sizes = warc.places_of(directory).rdd.mapPartitions(lambda rows: [sum(r["size"] for r in rows)]).collect()
+    assert sum(sizes) == size and len(sizes) >= size // 20_000 and max(sizes) < 100_000
+    assert warc.read_archives(directory).count() == pages.count()
 
 
 def test_files_roll(spark, monkeypatch):
