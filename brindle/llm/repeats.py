@@ -19,7 +19,10 @@ gram that occurs once settles about ``LENGTH - GRAM`` strings at once.
 4. The repeats' intervals go back to their shards, are merged, and each document is
    cut.
 
-Hashes are 64 bits of two polynomials, scrambled.
+Strings are equal if two hashes of 64 bits are, that of their gram and that of the whole,
+made from two polynomials and scrambled; within a block of one task that of the whole alone.
+Of ``m`` different strings of one gram ``m * m / 2**65`` pairs are expected to be taken for
+equal: 3e-4 for a gram with 10**8.
 
 Defined results: a null text is the empty one and loses nothing; texts under
 ``LENGTH`` bytes lose nothing; "earlier" is by ``doc_id``, then by place; rows with one
@@ -386,16 +389,18 @@ def _within(batches):
 
 def _spread(batches):
     """For hot grams: the first of equal strings in each batch (``hash`` set) and repeats (``x`` set)."""
-    names = ["hash", "doc_id", "part", "at", "x"]
+    names = ["gram", "hash", "doc_id", "part", "at", "x"]
     for batch in batches:
         t = pa.Table.from_batches([batch])
         for at in range(0, t.num_rows, HOT):
-            h, d, ok, part, q = _hashes(t.slice(at, HOT))
+            some = t.slice(at, HOT)
+            h, d, ok, part, q = _hashes(some)
+            gram = np.repeat(some["gram"].to_numpy(), some["n"].to_numpy())
             order, first = _first(h, d, ok, part, q)
             one, again = order[first], order[~first]
-            yield pa.record_batch([pa.array(h[one]), pa.array(d[one], mask=~ok[one]), pa.array(part[one]), pa.array(q[one]), pa.nulls(len(one), pa.int64())], names)
+            yield pa.record_batch([pa.array(gram[one]), pa.array(h[one]), pa.array(d[one], mask=~ok[one]), pa.array(part[one]), pa.array(q[one]), pa.nulls(len(one), pa.int64())], names)
             r = _intervals(part[again], q[again])
-            yield pa.record_batch([pa.nulls(r.num_rows, pa.int64()), pa.nulls(r.num_rows, pa.int64()), r.column("part"), r.column("at"), r.column("x")], names)
+            yield pa.record_batch([pa.nulls(r.num_rows, pa.int64()), pa.nulls(r.num_rows, pa.int64()), pa.nulls(r.num_rows, pa.int64()), r.column("part"), r.column("at"), r.column("x")], names)
 
 
 def _cut(batches):
@@ -489,18 +494,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     judged = spark.read.schema(JUDGED).parquet(f"{folder}/judged")
     of = lambda kind: judged.where(F.col("kind") == kind)
     shards = of(SHARD).select("part", "file")
-    check = of(CHECK).select("gram", "doc_id", "part", "at", "x", "y").join(shards, "part").repartition("part").sortWithinPartitions("part", "at")
+    # A part is what one scan task wrote; its rows are narrow and make their task read the shard.
+    parts = common.tasks(spark, shards.count(), 1)
+    check = of(CHECK).select("gram", "doc_id", "part", "at", "x", "y").join(shards, "part").repartition(parts, "part").sortWithinPartitions("part", "at")
     contexts = check.mapInArrow(_contexts, "gram long, doc_id long, part long, at long, n long, data binary")
     hot = common.materialise(of(CHECK).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("gram"), "hot-grams")
     any_hot = not hot.isEmpty()
     some = contexts.join(hot, "gram", "left_anti") if any_hot else contexts
     repeats = of(REPEAT).select("part", "at", "x").union(some.repartition("gram").sortWithinPartitions("gram").mapInArrow(_within, "part long, at long, x long"))
     if any_hot:
-        strings = common.materialise(contexts.join(hot, "gram", "left_semi").mapInArrow(_spread, "hash long, doc_id long, part long, at long, x long"), "hot-strings")
+        strings = common.materialise(contexts.join(hot, "gram", "left_semi").mapInArrow(_spread, "gram long, hash long, doc_id long, part long, at long, x long"), "hot-strings")
         firsts = strings.where("hash IS NOT NULL")
         place = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "part", "at")
-        least = firsts.groupBy("hash").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").select("hash", "least")
-        later = firsts.join(least, "hash").where(place != F.col("least"))
+        least = firsts.groupBy("gram", "hash").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").select("gram", "hash", "least")
+        later = firsts.join(least, ["gram", "hash"]).where(place != F.col("least"))
         repeats = repeats.union(strings.where("x IS NOT NULL").select("part", "at", "x")).union(later.select("part", "at", (F.col("at") + LENGTH).alias("x")))
     rows = of(DOC).select("kind", "doc_id", "part", "at", "x").unionByName(repeats.select(F.lit(REPEAT).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "part", "at", "x"))
-    return rows.join(shards, "part").repartition("part").sortWithinPartitions("part").mapInArrow(_cut, RESULT)
+    return rows.join(shards, "part").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_cut, RESULT)
