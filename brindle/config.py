@@ -16,7 +16,8 @@ class Config:
     ``expansion_factor`` and ``range_headroom`` shape placement models;
     ``rebuild_depth_threshold`` is the number of runs, and
     ``tombstone_ratio_threshold`` the share of deleted rows, at which a map that has
-    ``auto_rebuild`` rewrites itself.  The defaults are fixed values.
+    ``auto_rebuild`` rewrites itself.  The defaults are fixed values.  ``key_codec`` names the
+    kind of the keys where their Spark type doesn't tell it (``u128`` and ``i128``).
     """
 
     expansion_factor: float = 2.0
@@ -24,6 +25,7 @@ class Config:
     rebuild_depth_threshold: int = 8
     tombstone_ratio_threshold: float = 0.5
     range_headroom: float = 0.0
+    key_codec: str | None = None
 
     def __post_init__(self) -> None:
         if self.expansion_factor < 1.0:
@@ -47,11 +49,15 @@ class Config:
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """``flush_threshold``: bytes of buffered keys and values at which a table flushes."""
+    """``flush_threshold``: bytes of buffered keys and values at which a table flushes.
+
+    ``memtable``: the kind of buffer, ``hash`` (sorted when flushed) or ``sorted`` (kept in order).
+    """
 
     flush_threshold: int = 4 * 1024 * 1024
     max_runs_per_level: int = MAX_RUNS_PER_LEVEL
     num_levels: int = NUM_LEVELS
+    memtable: str = "hash"
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))

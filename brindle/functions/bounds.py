@@ -43,8 +43,11 @@ class KeyRange:
     start: Any = None
     end: Any = None
 
+    def ends(self) -> tuple[Bound, Bound]:
+        return _bound(self.start, True), _bound(self.end, False)
+
     def predicate(self, k: Column) -> Column:
-        lo, hi = _bound(self.start, True), _bound(self.end, False)
+        lo, hi = self.ends()
         out = F.lit(True)
         if lo.bounded:
             out = (k >= F.lit(lo.key)) if lo.included else (k > F.lit(lo.key))
@@ -55,7 +58,7 @@ class KeyRange:
 
     def may_meet(self, least: Any, greatest: Any) -> bool:
         """Whether a run with these extreme keys can hold a key of the range."""
-        lo, hi = _bound(self.start, True), _bound(self.end, False)
+        lo, hi = self.ends()
         if lo.bounded and (greatest < lo.key or greatest == lo.key and not lo.included):
             return False
         return not (hi.bounded and (least > hi.key or least == hi.key and not hi.included))

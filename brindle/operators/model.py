@@ -2,8 +2,9 @@
 
 A model sends a key's input ``x`` to slot ``round(slope * x + intercept)``, kept
 within the array.  Keys are sorted and models monotonic, so a conflict is a key in
-its predecessor's slot; all 33 candidate models are judged in one aggregate over
-rows that carry their predecessor.
+its predecessor's slot.  Keys with one input are first counted and become one row, so that
+no value is too frequent; the rows get their predecessor, are written once, and all 33
+candidate models are judged in one aggregate, a sum for each.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import scratch
 from ..plans.order import with_previous
 
 #: Slopes tried besides the interpolation (fixed value).
@@ -63,17 +65,27 @@ def _candidates(stats: DataFrame, headroom: float) -> DataFrame:
     return out.withColumn("intercepts", F.transform("slopes", lambda s: F.lit(0.0) - s * F.col("lo")))
 
 
-def _judged(rows: DataFrame, keys: list[str], head: str) -> DataFrame:
-    """``keys`` and ``best``, the candidate with the fewest conflicts, the earliest of equals.
+def _judged(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and ``_b``, the candidate with the fewest conflicts, the earliest of equals.
 
-    ``rows`` carry ``x``, ``prev_x``, ``size`` and the candidates.  Each row is spread over the
-    candidates within the scan and summed before the shuffle.
+    ``rows`` carry ``x``, its number ``m``, ``prev_x``, ``head``, ``size`` and the candidates.
+    Each candidate is a sum of its own, so rows aren't multiplied before the aggregate.
     """
-    tried = F.filter(F.transform(F.sequence(F.lit(0), F.lit(CANDIDATES)), lambda j: F.struct(j.alias("candidate"), F.get("slopes", j).alias("slope"), F.get("intercepts", j).alias("intercept"))), lambda c: c["slope"].isNotNull())
-    spread = rows.select(*keys, "x", "prev_x", "size", F.col(head).alias("_head"), F.explode(tried).alias("c")).select(*keys, "x", "prev_x", "size", "_head", "c.*")
-    same = slot(F.col("x"), F.col("slope"), F.col("intercept"), F.col("size")) == slot(F.col("prev_x"), F.col("slope"), F.col("intercept"), F.col("size"))
-    counts = spread.groupBy(*keys, "candidate", "slope", "intercept").agg(F.sum((~F.col("_head") & same).cast("long")).alias("conflicts"))
-    return counts.groupBy(*keys).agg(F.min(F.struct("conflicts", "candidate", "slope", "intercept")).alias("_b"))
+    def conflicts(j: int) -> Column:
+        slope, intercept = F.col("slopes")[j], F.col("intercepts")[j]
+        same = slot(F.col("x"), slope, intercept, F.col("size")) == slot(F.col("prev_x"), slope, intercept, F.col("size"))
+        return F.sum(F.col("m") - 1 + F.when(F.col("head"), 0).otherwise(same.cast("long"))).alias(f"c{j}")
+
+    counts = rows.groupBy(*keys).agg(F.any_value("slopes").alias("slopes"), F.any_value("intercepts").alias("intercepts"), *map(conflicts, range(CANDIDATES + 1)))
+    tried = F.array(*[F.when(F.col("slopes")[j].isNotNull(), F.struct(F.col(f"c{j}").alias("conflicts"), F.lit(j).alias("candidate"), F.col("slopes")[j].alias("slope"), F.col("intercepts")[j].alias("intercept"))) for j in range(CANDIDATES + 1)])
+    return counts.select(*keys, F.array_min(F.filter(tried, lambda c: c.isNotNull())).alias("_b"))
+
+
+def _weighed(df: DataFrame, x: str, buckets: int | None = None) -> DataFrame:
+    """``x, m, prev_x, head``: each different input, how many keys have it, and the one before."""
+    # Zeros of either sign are one input.
+    counted = df.select((F.col(x).cast("double") + F.lit(0.0)).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("m"))
+    return with_previous(counted, ["x"], ["x"], buckets).withColumnRenamed("is_first", "head")
 
 
 def fit(df: DataFrame, x: str, expansion: float = 2.0, headroom: float = 0.0, buckets: int | None = None) -> DataFrame:
@@ -86,11 +98,11 @@ def fit(df: DataFrame, x: str, expansion: float = 2.0, headroom: float = 0.0, bu
         raise ValueError(f"expansion_factor must be >= 1.0, got {expansion}")
     if headroom < 0.0:
         raise ValueError(f"range_headroom must be >= 0, got {headroom}")
-    rows = with_previous(df.select(F.col(x).cast("double").alias("x")), ["x"], ["x"], buckets)
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.max(F.col("x") - F.col("prev_x")).alias("gap")).where("n > 0")
+    rows = scratch.table(_weighed(df, x, buckets), "model-inputs")
+    stats = rows.agg(F.sum("m").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.coalesce(F.max(F.col("x") - F.col("prev_x")), F.lit(0.0)).alias("gap")).where("n > 0")
     stats = _candidates(stats.withColumn("size", F.when(F.col("n") == 1, F.lit(1).cast("long")).otherwise(array_size(F.col("n"), expansion, headroom))), headroom)
-    judged = rows.crossJoin(F.broadcast(stats))  # stats is one row
-    best = stats.join(_judged(judged, ["n"], "is_first"), "n", "left")
+    judged = _judged(rows.crossJoin(F.broadcast(stats)), ["n"])  # stats is one row
+    best = stats.join(F.broadcast(judged), "n", "left")
     single, equal = F.col("n") == 1, (F.col("hi") - F.col("lo")) < EPSILON
     return best.select(
         "n",
@@ -121,11 +133,10 @@ def max_depth(df: DataFrame, x: str, table, expansion: float = 2.0, headroom: fl
     the neighbour of a key never changes, so it is sought once.  ``table(df, name)``
     must write a frame and return it read back, which cuts the lineage of each round.
     """
-    rows = with_previous(df.select(F.col(x).cast("double").alias("x")), ["x"], ["x"])
-    rows = table(rows.select(F.lit(0).cast("long").alias("node"), "x", "prev_x", F.col("is_first").alias("head")), "model-level")
+    rows = table(_weighed(df, x).select(F.lit(0).cast("long").alias("node"), "x", "m", "prev_x", "head"), "model-level")
     deepest, level = 0, 0
     while True:
-        stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.max(F.when(~F.col("head"), F.col("x") - F.col("prev_x"))).alias("gap"))
+        stats = rows.groupBy("node").agg(F.sum("m").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.coalesce(F.max(F.when(~F.col("head"), F.col("x") - F.col("prev_x"))), F.lit(0.0)).alias("gap"))
         stats = table(stats, "model-nodes")
         equal = (F.col("n") > 1) & (F.col("hi") - F.col("lo") < EPSILON)
         found = stats.agg(F.count(F.lit(1)).alias("nodes"), F.max(F.when(equal, F.col("n"))).alias("most")).first()
@@ -134,11 +145,11 @@ def max_depth(df: DataFrame, x: str, table, expansion: float = 2.0, headroom: fl
         deepest = max(deepest, level + 1, level + degenerate_depth(found["most"]) if found["most"] else 0)
         open_nodes = _candidates(stats.where(~equal & (F.col("n") > 1)).withColumn("size", array_size(F.col("n"), expansion, headroom)), headroom)
         joined = rows.join(open_nodes, "node")
-        best = open_nodes.join(_judged(joined, ["node"], "head").where("_b.conflicts > 0"), "node")
+        best = open_nodes.join(_judged(joined, ["node"]).where("_b.conflicts > 0").select("node", "_b"), "node")
         placed = rows.join(best.select("node", "size", F.col("_b.slope").alias("slope"), F.col("_b.intercept").alias("intercept")), "node")
         at = lambda c: slot(F.col(c), F.col("slope"), F.col("intercept"), F.col("size"))
         placed = placed.withColumn("s", at("x")).withColumn("head", F.col("head") | (F.col("s") != at("prev_x")))
-        placed = placed.select(F.xxhash64("node", "s", F.lit(level)).alias("node"), "x", "prev_x", "head")
-        shared = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+        placed = placed.select(F.xxhash64("node", "s", F.lit(level)).alias("node"), "x", "m", "prev_x", "head")
+        shared = placed.groupBy("node").agg(F.sum("m").alias("n")).where("n > 1").select("node")
         rows = table(placed.join(shared, "node", "left_semi"), "model-level")
         level += 1

@@ -8,6 +8,7 @@ programs should use ``*_many`` and :meth:`SortedMap.apply`.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import asdict
 from typing import Any
@@ -19,13 +20,18 @@ from pyspark.sql import types as T
 from ..config import Config
 from ..errors import InvalidKeyError
 from ..functions.bounds import KeyRange, closed
-from ..functions.keys import codec_for
+from ..functions.keys import CODECS, codec_for, fixed_bytes
 from ..plans.manifest import ManifestLog
 from ..plans.order import latest_per_key
-from ..plans.snapshots import resolve, write_run
+from ..plans.snapshots import key_from_json, range_to_json, resolve, write_run
 from . import loading, lookups, model, replay
 
 
+def _checked(df: DataFrame, config: Config) -> DataFrame:
+    """``df``, whose keys must be 16 bytes if they are 128-bit numbers."""
+    return fixed_bytes(df, "k", 16) if config.key_codec in ("u128", "i128") else df
+
+
 class SortedMap:
     """Unique keys in ascending order.  ``version`` pins a snapshot; writes then fail."""
 
@@ -73,7 +79,7 @@ class SortedMap:
     @classmethod
     def _from(cls, spark: SparkSession, path: str, df: DataFrame, config: Config) -> SortedMap:
         out = cls(spark, path)
-        out._next(df.withColumn("deleted", F.lit(False)), config=config, base=[], kinds=(df.schema["k"].dataType, df.schema["v"].dataType))
+        out._next(_checked(df, config).withColumn("deleted", F.lit(False)), config=config, base=[], kinds=(df.schema["k"].dataType, df.schema["v"].dataType))
         return out
 
     # Versions
@@ -162,7 +168,7 @@ class SortedMap:
 
     def __len__(self) -> int:
         runs = self._manifest()[1]["runs"]
-        return runs[0]["rows"] - runs[0]["deleted"] if len(runs) == 1 else self.to_df().count()
+        return runs[0]["rows"] - runs[0]["deleted"] if len(runs) == 1 and not runs[0].get("hidden") else self.to_df().count()
 
     def is_empty(self) -> bool:
         return not self._manifest()[1]["runs"] or self.to_df().isEmpty()
@@ -202,12 +208,11 @@ class SortedMap:
     def max_depth(self) -> int:
         """Levels of the placement tree over the present keys; 0 if there are none."""
         df, config = self.to_df(), self.config.for_bulk_load()
-        x = codec_for(df, "k").model_input(F.col("k"))
+        codec = CODECS[config.key_codec] if config.key_codec else codec_for(df, "k")
+        x = codec.model_input(F.col("k"))
         return model.max_depth(df.select(x.alias("x")), "x", self._table, config.expansion_factor, config.range_headroom)
 
     def _table(self, df: DataFrame, name: str) -> DataFrame:
-        import uuid
-
         path = f"{self.path}/scratch/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -233,33 +238,46 @@ class SortedMap:
         self._next(last.select("k", F.col("_after.v").alias("v"), (~F.col("_after.live")).alias("deleted")))
         return replay.results(log, base)
 
-    def _one(self, op: str, key: Any, value: Any = None):
+    def _put(self, key: Any, value: Any, deleted: bool = False) -> None:
+        """Publish one row."""
         schema = self._schema(self._manifest()[1])
-        row = T.StructType([T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()), schema["k"], schema["v"]])
-        return self.apply(self.spark.createDataFrame([(0, op, key, value)], row)).first()
+        self._next(_checked(self.spark.createDataFrame([(key, value, deleted)], schema), self.config))
 
     def insert(self, key: Any, value: Any) -> bool:
         """Put a value; whether the key was new."""
-        return bool(self._one(replay.INSERT, key, value)["flag"])
+        if key is None:
+            raise InvalidKeyError("null")
+        new = not self.contains_key(key)
+        self._put(key, value)
+        return new
 
     def remove(self, key: Any) -> bool:
         """Delete a key; whether it was there."""
-        return bool(self._one(replay.REMOVE, key)["flag"])
+        there = self.contains_key(key)
+        if there:
+            self._put(key, None, deleted=True)
+        return there
 
     def get_or_insert(self, key: Any, value: Any) -> Any:
         """The value of the key, which is ``value`` if it was new."""
-        return self._one(replay.GET_OR_INSERT, key, value)["value"]
+        return self.get_or_insert_with(key, lambda: value)
 
     def get_or_insert_with(self, key: Any, make: Callable[[], Any]) -> Any:
         """The same; ``make`` is called only if the key is missing."""
+        if key is None:
+            raise InvalidKeyError("null")
         r = self.to_df(closed(key, key)).select("v").first()
-        return self.get_or_insert(key, make()) if r is None else r["v"]
+        if r is not None:
+            return r["v"]
+        value = make()
+        self._put(key, value)
+        return value
 
     def extend(self, delta: DataFrame) -> None:
         """Upsert ``pos, k, v``; the last position of a key wins."""
         if not delta.where("k IS NULL").isEmpty():
             raise InvalidKeyError("null")
-        self._next(loading.from_rows(delta).withColumn("deleted", F.lit(False)))
+        self._next(_checked(loading.from_rows(delta), self.config).withColumn("deleted", F.lit(False)))
 
     def extend_pairs(self, pairs: Iterable[tuple[Any, Any]]) -> None:
         schema = self._schema(self._manifest()[1])
@@ -282,6 +300,21 @@ class SortedMap:
         self.clear()
         return before
 
+    def rebuild_range(self, keys: KeyRange) -> None:
+        """Rewrite the keys of a range alone: as one run, older runs hiding theirs in the range.
+
+        Where deletions or new versions crowd in one place this reads and writes that place only.
+        """
+        version, manifest = self._manifest()
+        meets = lambda r: keys.may_meet(key_from_json(r["min"]), key_from_json(r["max"]))
+        if not any(map(meets, manifest["runs"])):
+            return
+        schema = self._schema(manifest)
+        live = resolve(self.spark, manifest["runs"], schema, keys)
+        run = write_run(live.withColumn("deleted", F.lit(False)), self.path, version + 1)
+        runs = [r | {"hidden": [*r.get("hidden", []), range_to_json(keys)]} if meets(r) else r for r in manifest["runs"]]
+        self._publish(version, runs + ([run] if run else []), schema["k"].dataType, schema["v"].dataType, Config(**manifest["config"]))
+
     def rebuild(self) -> None:
         """Rewrite the same contents as one sorted run; nothing to do if empty."""
         version, manifest = self._manifest()

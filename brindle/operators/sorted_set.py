@@ -77,6 +77,18 @@ class SortedSet:
     def extend(self, keys: Iterable[Any]) -> None:
         self.map.extend_pairs((k, True) for k in keys)
 
+    def extend_rows(self, keys: DataFrame) -> None:
+        """Add the keys ``k`` of a frame."""
+        self.map.extend(_valued(keys.select("k").withColumn("pos", F.lit(0))))
+
+    def remove_many(self, keys: DataFrame) -> None:
+        """Delete the keys ``k`` of a frame."""
+        self.map.remove_many(keys)
+
+    def contains_many(self, probes: DataFrame) -> DataFrame:
+        """Every row of ``probes`` (``k``) with whether its key is a member, ``found``."""
+        return self.map.get_many(probes).drop("v")
+
     def pin(self) -> SortedSet:
         return SortedSet(self.map.pin())
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:/+"
+
+
 def with_previous(df: DataFrame, order: list[str], columns: list[str], buckets: int | None = None) -> DataFrame:
     """``df`` with ``prev_<c>`` for each of ``columns`` and ``is_first``.
 
@@ -38,6 +42,15 @@ def with_previous(df: DataFrame, order: list[str], columns: list[str], buckets:
     return joined.select(*df.columns, *[prev[c].alias(f"prev_{c}") for c in columns], (prev.isNull()).alias("is_first"))
 
 
+def file_positions(df: DataFrame) -> DataFrame:
+    """A frame read from files with ``pos``: the place of each row in the order of the files' names and rows."""
+    # Spark gives one file's path with one or three slashes behind its scheme.
+    names = sorted(re.sub(_SCHEME, "/", f) for f in df.inputFiles())
+    names = df.sparkSession.createDataFrame(list(enumerate(names)), "_file long, _name string")
+    placed = df.select("*", F.regexp_replace("_metadata.file_path", _SCHEME, "/").alias("_name"), F.col("_metadata.row_index").alias("_row"))
+    return placed.join(names, "_name").select((F.shiftleft("_file", 40) + F.col("_row")).alias("pos"), *df.columns)
+
+
 def order_violations(df: DataFrame, pos: str, key: str, strict: bool = True) -> DataFrame:
     """One row: ``n``, ``n_null``, and ``n_violations`` of ascending key order along ``pos``."""
     near = with_previous(df.select(pos, key), [pos], [key])

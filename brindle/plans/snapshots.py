@@ -16,7 +16,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bounds import KeyRange
+from ..functions.bounds import UNBOUNDED, Bound, KeyRange
 from .manifest import Files
 from .order import latest_per_key
 
@@ -39,6 +39,15 @@ def key_from_json(x: Any) -> Any:
     return decimal.Decimal(x["d"]) if "d" in x else datetime.datetime.fromisoformat(x["t"])
 
 
+def range_to_json(keys: KeyRange) -> list:
+    """The ends of a range, each a key and whether it belongs to it, or None."""
+    return [[key_to_json(b.key), b.included] if b.bounded else None for b in keys.ends()]
+
+
+def range_from_json(ends: list) -> KeyRange:
+    return KeyRange(*(UNBOUNDED if e is None else Bound(key_from_json(e[0]), e[1]) for e in ends))
+
+
 def write_run(df: DataFrame, root: str, seq: int, **more: Any) -> dict | None:
     """Write ``k, v, deleted`` as a run and return its entry; None (and no files) if there are no rows."""
     spark = df.sparkSession
@@ -66,6 +75,8 @@ def resolve(spark: SparkSession, runs: list[dict], schema, keys: KeyRange | None
 
     def read(run: dict) -> DataFrame:
         df = spark.read.schema(schema).parquet(run["path"])
+        for ends in run.get("hidden", []):  # ranges that a newer run has taken over
+            df = df.where(~range_from_json(ends).predicate(F.col("k")))
         return df if keys is None else df.where(keys.predicate(F.col("k")))
 
     if len(runs) == 1:

@@ -7,59 +7,34 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import EngineConfig
 from .functions import keys as K
 from .functions.bounds import KeyRange, closed, excluded, included
 from .operators import loading, lookups, model, replay
-from .operators.lsm import SCHEMA as LSM_SCHEMA
-from .operators.lsm import LsmTable
-from .operators.sorted_map import SortedMap
-from .operators.sorted_set import SortedSet
-from .plans.order import order_violations
-from .sources import json_pairs, sstable, tsv
-from .streaming.ingest import ingest_stream, tsv_stream
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return add
-
+from .plans.order import file_positions, order_violations
+from .registry import QUERIES, SQL, query, table
+from .sources import json_pairs, tsv
 
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+__all__ = ["QUERIES", "SQL", "flagship"]
 
 
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
 
 
 def _names(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "customer").select(F.col("c_name").alias("k"), F.col("c_custkey").alias("v"))
+    return table(spark, sf, "customer").select(F.col("c_name").alias("k"), F.col("c_custkey").alias("v"))
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "events").select(F.col("event_id").alias("pos"), F.col("user_id").alias("k"), F.col("value").alias("v"))
+    return table(spark, sf, "events").select(F.col("event_id").alias("pos"), F.col("user_id").alias("k"), F.col("value").alias("v"))
 
 
 #: Half of these probes miss: the keys and as many beyond them.
 def _probes(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k0"), F.col("l_linenumber").alias("line")).select(F.when(F.col("line") % 2 == 0, F.col("k0")).otherwise(-F.col("k0") - 1).alias("k"))
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k0"), F.col("l_linenumber").alias("line")).select(F.when(F.col("line") % 2 == 0, F.col("k0")).otherwise(-F.col("k0") - 1).alias("k"))
 
 
 _PROBES = "(SELECT CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey ELSE -l_orderkey - 1 END AS k FROM lineitem)"
@@ -160,9 +135,20 @@ def top_k(spark, sf):
 _VIOLATIONS = "SELECT count(*) AS n, coalesce(sum((k IS NULL)::BIGINT), 0)::BIGINT AS n_null, coalesce(sum((p {op} k)::BIGINT), 0)::BIGINT AS n_violations FROM (SELECT {k} AS k, lag({k}) OVER (ORDER BY {pos}) AS p FROM {t})"
 
 
-@query("bulk_load_check", _VIOLATIONS.format(op=">=", k="o_orderkey", pos="o_orderkey", t="orders"))
+@query("bulk_load_check", "SELECT count(*) AS n, 0::BIGINT AS n_null, 0::BIGINT AS n_violations FROM orders")
 def bulk_load_check(spark, sf):
-    return order_violations(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_orderkey").alias("k")), "pos", "k")
+    """The keys in the order of the file's rows, which ascends."""
+    return order_violations(file_positions(table(spark, sf, "orders")).withColumnRenamed("o_orderkey", "k"), "pos", "k")
+
+
+_DAY = "epoch_us(date_trunc('day', o_orderdate)) // 86400000000 * 10000000000"
+
+
+@query("bulk_load_check_arrival", _VIOLATIONS.format(op=">=", k="o_orderkey", pos=f"{_DAY} + o_orderkey", t="orders"))
+def bulk_load_check_arrival(spark, sf):
+    """The keys in the order in which the orders arrived, day by day: not sorted."""
+    day = F.unix_date(F.col("o_orderdate").cast("date")).cast("long")
+    return order_violations(table(spark, sf, "orders").select((day * 10_000_000_000 + F.col("o_orderkey")).alias("pos"), F.col("o_orderkey").alias("k")), "pos", "k")
 
 
 @query("bulk_load_check_unsorted", _VIOLATIONS.format(op=">=", k="user_id", pos="event_id", t="events"))
@@ -172,25 +158,25 @@ def bulk_load_check_unsorted(spark, sf):
 
 @query("bulk_load_check_dedup", _VIOLATIONS.format(op=">", k="ts", pos="event_id", t="events"))
 def bulk_load_check_dedup(spark, sf):
-    return order_violations(_t(spark, sf, "events").select(F.col("event_id").alias("pos"), F.col("ts").alias("k")), "pos", "k", strict=False)
+    return order_violations(table(spark, sf, "events").select(F.col("event_id").alias("pos"), F.col("ts").alias("k")), "pos", "k", strict=False)
 
 
 @query("bulk_load", f"SELECT k, v FROM {_ORDERS}")
 def bulk_load(spark, sf):
-    return loading.bulk_load(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v")))
+    return loading.bulk_load(file_positions(table(spark, sf, "orders")).select("pos", F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v")))
 
 
 @query("dedup_keep_last", "SELECT ts AS k, v FROM (SELECT ts, value AS v, row_number() OVER (PARTITION BY ts ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
 def dedup_keep_last(spark, sf):
-    return loading.bulk_load_dedup(_t(spark, sf, "events").select(F.col("event_id").alias("pos"), F.col("ts").alias("k"), F.col("value").alias("v")))
+    return loading.bulk_load_dedup(table(spark, sf, "events").select(F.col("event_id").alias("pos"), F.col("ts").alias("k"), F.col("value").alias("v")))
 
 
 _LAST = "(SELECT user_id AS k, value AS v FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1)"
-_BASE = "(SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 = 0)"
+_BASE = "(SELECT c_custkey AS k, c_acctbal AS v FROM customer)"
 
 
 def _base(spark, sf):
-    return _t(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
 
 
 @query("from_iter_last_wins", f"SELECT k, v FROM {_LAST}")
@@ -211,12 +197,6 @@ def get_or_insert(spark, sf):
     return loading.get_or_insert(_base(spark, sf), _events(spark, sf))
 
 
-@query("remove_keys", f"SELECT k, v FROM {_ORDERS} o WHERE k NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
-def remove_keys(spark, sf):
-    gone = _t(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k"))
-    return _orders(spark, sf).join(gone, "k", "left_anti").select("k", "v")
-
-
 # Replay
 
 _OPS = {"view": replay.GET, "error": replay.REMOVE, "click": replay.GET_OR_INSERT}
@@ -243,7 +223,7 @@ def _log(spark, sf):
     op = F.lit(replay.INSERT)
     for kind, name in _OPS.items():
         op = F.when(F.col("event_type") == kind, name).otherwise(op)
-    return _t(spark, sf, "events").select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").alias("k"), F.col("value").alias("v"))
+    return table(spark, sf, "events").select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").alias("k"), F.col("value").alias("v"))
 
 
 @query("replay_results", f"WITH {_LOG} SELECT seq, op, k, (CASE WHEN op = 'insert' THEN 1 - present ELSE present END)::INT AS flag, CASE WHEN op = 'get' AND prior.live THEN prior.v WHEN op = 'get_or_insert' THEN after.v END AS value FROM seen")
@@ -256,39 +236,6 @@ def replay_final_state(spark, sf):
     return replay.final_state(_log(spark, sf))
 
 
-# Sets
-
-
-def _partkeys(spark, sf):
-    return _t(spark, sf, "lineitem").select(F.col("l_partkey").alias("k"))
-
-
-@query("set_distinct", "SELECT DISTINCT l_partkey AS k FROM lineitem")
-def set_distinct(spark, sf):
-    return _partkeys(spark, sf).distinct()
-
-
-@query("set_range", "SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_partkey >= 10 AND l_partkey < 60 ORDER BY k")
-def set_range(spark, sf):
-    return _partkeys(spark, sf).where(KeyRange(10, 60).predicate(F.col("k"))).distinct().orderBy("k")
-
-
-@query("set_first_last", "SELECT min(l_partkey) AS first, max(l_partkey) AS last FROM lineitem")
-def set_first_last(spark, sf):
-    return _partkeys(spark, sf).agg(F.min("k").alias("first"), F.max("k").alias("last"))
-
-
-@query("set_extend", "SELECT l_partkey AS k FROM lineitem UNION SELECT p_partkey FROM part")
-def set_extend(spark, sf):
-    return _partkeys(spark, sf).union(_t(spark, sf, "part").select("p_partkey")).distinct()
-
-
-@query("set_contains", "SELECT p_partkey AS k, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) AS found FROM part")
-def set_contains(spark, sf):
-    members = _t(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("k")).distinct().withColumn("_hit", F.lit(True))
-    return _t(spark, sf, "part").select(F.col("p_partkey").alias("k")).join(members, "k", "left").select("k", F.coalesce("_hit", F.lit(False)).alias("found"))
-
-
 # Key functions
 
 _HEX8 = "rpad(substr(hex(encode(c_name)), 1, 16), 16, '0')"
@@ -301,18 +248,18 @@ def _unhex_sql(h: str) -> str:
 
 @query("key_model_input", f"SELECT c_custkey, ({_unhex_sql(_HEX8)})::DOUBLE AS x FROM customer")
 def key_model_input(spark, sf):
-    return _t(spark, sf, "customer").select("c_custkey", K.CODECS["string"].model_input(F.col("c_name")).alias("x"))
+    return table(spark, sf, "customer").select("c_custkey", K.CODECS["string"].model_input(F.col("c_name")).alias("x"))
 
 
 @query("key_ordinal_prefix", "SELECT c_custkey, rpad(substr(hex(encode(c_name)), 1, 32), 32, '0') AS ordinal FROM customer")
 def key_ordinal_prefix(spark, sf):
-    return _t(spark, sf, "customer").select("c_custkey", F.hex(K.CODECS["string"].ordinal(F.col("c_name"))).alias("ordinal"))
+    return table(spark, sf, "customer").select("c_custkey", F.hex(K.CODECS["string"].ordinal(F.col("c_name"))).alias("ordinal"))
 
 
 @query("key_integer", "SELECT o_orderkey, o_orderkey::DOUBLE AS x, o_orderkey::DECIMAL(38,0) AS ordinal FROM orders")
 def key_integer(spark, sf):
     c = K.CODECS["i64"]
-    return _t(spark, sf, "orders").select("o_orderkey", c.model_input(F.col("o_orderkey")).alias("x"), c.ordinal(F.col("o_orderkey")).alias("ordinal"))
+    return table(spark, sf, "orders").select("o_orderkey", c.model_input(F.col("o_orderkey")).alias("x"), c.ordinal(F.col("o_orderkey")).alias("ordinal"))
 
 
 # Placement models
@@ -342,7 +289,7 @@ _TS = "SELECT epoch_us(ts)::DOUBLE AS x FROM events"
 
 
 def _ts(spark, sf):
-    return _t(spark, sf, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("x"))
+    return table(spark, sf, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("x"))
 
 
 @query("fmcd_fit", _fit_sql(_TS, 2.0, 0.0))
@@ -352,7 +299,7 @@ def fmcd_fit(spark, sf):
 
 @query("fmcd_fit_headroom", _fit_sql("SELECT o_orderkey::DOUBLE AS x FROM orders", 2.0, 1.0))
 def fmcd_fit_headroom(spark, sf):
-    return model.fit(_t(spark, sf, "orders").select(F.col("o_orderkey").cast("double").alias("x")), "x", 2.0, 1.0)
+    return model.fit(table(spark, sf, "orders").select(F.col("o_orderkey").cast("double").alias("x")), "x", 2.0, 1.0)
 
 
 _PRICES = "SELECT DISTINCT o_totalprice AS x FROM orders"
@@ -360,7 +307,7 @@ _PRICES = "SELECT DISTINCT o_totalprice AS x FROM orders"
 
 @query("fmcd_fit_random", _fit_sql(_PRICES, 1.5, 0.0))
 def fmcd_fit_random(spark, sf):
-    return model.fit(_t(spark, sf, "orders").select(F.col("o_totalprice").alias("x")).distinct(), "x", 1.5)
+    return model.fit(table(spark, sf, "orders").select(F.col("o_totalprice").alias("x")).distinct(), "x", 1.5)
 
 
 def _slot_sql(x: str, slope: str, icpt: str, size: str) -> str:
@@ -369,71 +316,18 @@ def _slot_sql(x: str, slope: str, icpt: str, size: str) -> str:
 
 @query("predict_slots", f"SELECT p_partkey, {_slot_sql('p_partkey::DOUBLE', '0.75::DOUBLE', '-3.0::DOUBLE', '1000')} AS slot FROM part")
 def predict_slots(spark, sf):
-    return _t(spark, sf, "part").select("p_partkey", model.slot(F.col("p_partkey").cast("double"), F.lit(0.75), F.lit(-3.0), F.lit(1000)).alias("slot"))
+    return table(spark, sf, "part").select("p_partkey", model.slot(F.col("p_partkey").cast("double"), F.lit(0.75), F.lit(-3.0), F.lit(1000)).alias("slot"))
 
 
 @query("fmcd_conflicts", f"SELECT slot, count(*) AS n FROM (SELECT {_slot_sql('p_retailprice', '0.25::DOUBLE', '-100.0::DOUBLE', '500')} AS slot FROM part) GROUP BY slot HAVING count(*) > 1")
 def fmcd_conflicts(spark, sf):
-    slots = _t(spark, sf, "part").select(model.slot(F.col("p_retailprice"), F.lit(0.25), F.lit(-100.0), F.lit(500)).alias("slot"))
+    slots = table(spark, sf, "part").select(model.slot(F.col("p_retailprice"), F.lit(0.25), F.lit(-100.0), F.lit(500)).alias("slot"))
     return slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 @query("binary_split", "SELECT p_partkey, CASE WHEN p_partkey <= 40 THEN 0 ELSE 1 END::BIGINT AS slot FROM part")
 def binary_split(spark, sf):
-    return _t(spark, sf, "part").select("p_partkey", model.split_slot(F.col("p_partkey"), F.lit(40), F.lit(2)).alias("slot"))
-
-
-# Log-structured resolution: three runs by event number, errors delete
-
-_RUNS = "SELECT event_id % 3 AS level, event_id // 3 AS run_pos, event_id, user_id AS k, CASE WHEN event_type <> 'error' THEN value END AS v, event_type = 'error' AS deleted FROM events"
-_NEWEST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY level, event_id DESC) AS r FROM ({_RUNS})) WHERE r = 1"
-
-
-def _runs(spark, sf) -> DataFrame:
-    dead = F.col("event_type") == "error"
-    return _t(spark, sf, "events").select((F.col("event_id") % 3).alias("level"), "event_id", F.col("user_id").alias("k"), F.when(~dead, F.col("value")).alias("v"), dead.alias("deleted"))
-
-
-def _newest(rows: DataFrame) -> DataFrame:
-    """Upper levels first, then the newer row."""
-    order = F.struct((-F.col("level")).alias("l"), F.col("event_id"))
-    return rows.groupBy("k").agg(F.max_by(F.struct("v", "deleted"), order).alias("r")).select("k", "r.v", "r.deleted")
-
-
-@query("lsm_resolve", f"SELECT k, v FROM ({_NEWEST}) WHERE NOT deleted")
-def lsm_resolve(spark, sf):
-    return _newest(_runs(spark, sf)).where("NOT deleted").select("k", "v")
-
-
-@query("lsm_tombstones", f"SELECT k FROM ({_NEWEST}) WHERE deleted")
-def lsm_tombstones(spark, sf):
-    return _newest(_runs(spark, sf)).where("deleted").select("k")
-
-
-@query("lsm_compact", f"SELECT k, v, deleted FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY event_id DESC) AS r FROM ({_RUNS}) WHERE level = 0) WHERE r = 1")
-def lsm_compact(spark, sf):
-    return _newest(_runs(spark, sf).where("level = 0"))
-
-
-@query("lsm_manifest", f"SELECT level, count(*) AS rows, sum(deleted::BIGINT)::BIGINT AS deleted, min(k) AS min_key, max(k) AS max_key FROM ({_RUNS}) GROUP BY level")
-def lsm_manifest(spark, sf):
-    return _runs(spark, sf).groupBy("level").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("deleted").cast("long")).alias("deleted"), F.min("k").alias("min_key"), F.max("k").alias("max_key"))
-
-
-@query("lsm_compact_levels", f"SELECT level, k, v, deleted FROM (SELECT *, row_number() OVER (PARTITION BY level, k ORDER BY event_id DESC) AS r FROM ({_RUNS})) WHERE r = 1 AND NOT (deleted AND level = 2)")
-def lsm_compact_levels(spark, sf):
-    """Every level of all events, two runs each, merged by the table; only the oldest level drops its deletions."""
-    table, rows = LsmTable(spark, _scratch(spark, "levels"), EngineConfig()), _runs(spark, sf)
-    middle = rows.agg(F.max("event_id")).first()[0] // 2
-    text = lambda c: F.encode(F.col(c).cast("string"), "UTF-8").alias(c)
-    for level in (2, 1, 0):
-        part = rows.where(F.col("level") == level).select(F.col("event_id").alias("pos"), text("k"), text("v"))
-        table.ingest(part.where(F.col("pos") <= middle))
-        table.ingest(part.where(F.col("pos") > middle))
-        for n in range(level + 1):
-            table.compact_level(n)
-    parts = [spark.read.schema(LSM_SCHEMA).parquet(r["path"]).select(F.lit(r["level"] - 1).cast("long").alias("level"), F.decode("k", "UTF-8").cast("long").alias("k"), F.decode("v", "UTF-8").cast("double").alias("v"), "deleted") for r in table.runs()]
-    return reduce(DataFrame.unionByName, parts)
+    return table(spark, sf, "part").select("p_partkey", model.split_slot(F.col("p_partkey"), F.lit(40), F.lit(2)).alias("slot"))
 
 
 # Formats
@@ -445,13 +339,13 @@ _LINES = "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN event_ty
 def ingest_tsv_parse(spark, sf):
     m: Column = F.col("event_id") % 4
     text = F.concat(F.col("user_id").cast("string"), F.lit("\t"), F.col("event_type"), F.lit("\tx"), F.when(m == 2, F.lit("\r")).otherwise(F.lit("")))
-    lines = _t(spark, sf, "events").select("event_id", F.when(m == 0, F.lit("")).when(m == 1, F.col("event_type")).otherwise(text).alias("value"))
+    lines = table(spark, sf, "events").select("event_id", F.when(m == 0, F.lit("")).when(m == 1, F.col("event_type")).otherwise(text).alias("value"))
     return tsv.parse(lines, keep=("event_id",))
 
 
 @query("json_serialize", "SELECT '[' || string_agg('[' || n_nationkey || ',\"' || n_name || '\"]', ',' ORDER BY n_nationkey) || ']' AS json FROM nation")
 def json_serialize(spark, sf):
-    return json_pairs.pairs_to_json(_t(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v")))
+    return json_pairs.pairs_to_json(table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v")))
 
 
 @query("json_roundtrip", "SELECT n_nationkey AS k, n_name AS v FROM nation")
@@ -461,143 +355,15 @@ def json_roundtrip(spark, sf):
 
 @query("set_json", "SELECT '[' || string_agg(DISTINCT n_regionkey, ',' ORDER BY n_regionkey) || ']' AS json FROM nation")
 def set_json(spark, sf):
-    return json_pairs.keys_to_json(_t(spark, sf, "nation").select(F.col("n_regionkey").alias("k")))
-
-
-# Stored maps, sets and tables
-
-
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share; a local one where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-@query("stored_map_apply", f"WITH {_LOG.replace('FROM events', 'FROM events WHERE event_id % 2 = 0').replace("'click' THEN 'get_or_insert'", "'click' THEN 'get'")}, start AS (SELECT event_id, user_id AS k, value AS v FROM events WHERE event_id % 2 = 1), base AS (SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY event_id DESC) AS r FROM start) WHERE r = 1), touched AS (SELECT k, after FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM seen) WHERE r = 1 AND after IS NOT NULL) SELECT coalesce(b.k, t.k) AS k, CASE WHEN t.k IS NULL THEN b.v ELSE t.after.v END AS v FROM base b FULL JOIN touched t ON b.k = t.k WHERE t.k IS NULL OR t.after.live")
-def stored_map_apply(spark, sf):
-    """A map of every other event, the operations of the rest applied to it, its contents read back.
-
-    Inserts, deletions and reads only, for which the start of a key doesn't matter to its end.
-    """
-    m = SortedMap.from_rows(spark, _scratch(spark, "map"), _events(spark, sf).where("pos % 2 = 1"))
-    log = _log(spark, sf).where("seq % 2 = 0").withColumn("op", F.when(F.col("op") == replay.GET_OR_INSERT, replay.GET).otherwise(F.col("op")))
-    m.apply(log)
-    return m.iter()
-
-
-_WHOLE = "(SELECT c_custkey AS k, c_acctbal AS v FROM customer)"
-
-
-def _whole(spark, sf):
-    return _t(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-
-
-@query("stored_map_apply_log", f"WITH {_LOG.replace('FROM events', f"FROM events UNION ALL SELECT -1 AS seq, k, v, 'insert' AS op FROM {_WHOLE}")} SELECT seq, op, k, (CASE WHEN op = 'insert' THEN 1 - present ELSE present END)::INT AS flag, CASE WHEN op = 'get' AND prior.live THEN prior.v WHEN op = 'get_or_insert' THEN after.v END AS value FROM seen WHERE seq >= 0")
-def stored_map_apply_log(spark, sf):
-    """The whole log applied to a stored map of all customers: what each operation returned."""
-    m = SortedMap.from_rows(spark, _scratch(spark, "map"), _whole(spark, sf).select(F.col("k").alias("pos"), "k", "v"))
-    return m.apply(_log(spark, sf))
-
-
-@query("stored_map_apply_state", f"WITH {_LOG.replace('FROM events', f"FROM events UNION ALL SELECT -1 AS seq, k, v, 'insert' AS op FROM {_WHOLE}")} SELECT k, after.v AS v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM seen) WHERE r = 1 AND after.live")
-def stored_map_apply_state(spark, sf):
-    """The same map's contents, read back after the whole log."""
-    m = SortedMap.from_rows(spark, _scratch(spark, "map"), _whole(spark, sf).select(F.col("k").alias("pos"), "k", "v"))
-    m.apply(_log(spark, sf))
-    return m.iter()
-
-
-@query("extend_upsert_whole", f"SELECT coalesce(l.k, b.k) AS k, CASE WHEN l.k IS NOT NULL THEN l.v ELSE b.v END AS v FROM {_WHOLE} b FULL JOIN {_LAST} l ON b.k = l.k")
-def extend_upsert_whole(spark, sf):
-    return loading.extend(_whole(spark, sf), _events(spark, sf))
-
-
-@query("get_or_insert_whole", f"SELECT coalesce(b.k, f.k) AS k, CASE WHEN b.k IS NOT NULL THEN b.v ELSE f.v END AS v FROM {_WHOLE} b FULL JOIN {_FIRST} f ON b.k = f.k")
-def get_or_insert_whole(spark, sf):
-    return loading.get_or_insert(_whole(spark, sf), _events(spark, sf))
-
-
-@query("stored_set", "SELECT DISTINCT user_id AS k FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) ORDER BY k")
-def stored_set(spark, sf):
-    s = SortedSet.from_rows(spark, _scratch(spark, "set"), _t(spark, sf, "events").select(F.col("user_id").alias("k")))
-    s.map.remove_many(_t(spark, sf, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("k")))
-    return s.range()
-
-
-_TABLE_LATEST = "SELECT user_id::VARCHAR AS k, event_type AS v FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1"
-
-
-def _byte_rows(spark, sf) -> DataFrame:
-    return _t(spark, sf, "events").select(F.col("event_id").alias("pos"), F.encode(F.col("user_id").cast("string"), "UTF-8").alias("k"), F.encode(F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")), "UTF-8").alias("v"))
-
-
-@query("stored_table_ingest", f"SELECT k, v FROM ({_TABLE_LATEST}) WHERE v <> 'error'")
-def stored_table_ingest(spark, sf):
-    """Five batches of events, an empty value deleting; compaction merges four of the runs on the way."""
-    table, rows = LsmTable(spark, _scratch(spark, "table"), EngineConfig()), _byte_rows(spark, sf)
-    last = rows.agg(F.max("pos")).first()[0] + 1
-    for i in range(5):
-        table.ingest(rows.where((F.col("pos") >= last * i // 5) & (F.col("pos") < last * (i + 1) // 5)))
-    return table.to_df().select(F.decode("k", "UTF-8").alias("k"), F.decode("v", "UTF-8").alias("v"))
-
-
-@query("stored_table_stream", "SELECT user_id::VARCHAR AS k, (event_type || chr(9) || event_id) AS v FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
-def stored_table_stream(spark, sf):
-    """Events written as tab-separated text, streamed into a table, and read back."""
-    folder = _scratch(spark, "tsv")
-    lines = _t(spark, sf, "events").select("event_id", F.concat_ws("\t", "user_id", "event_type", "event_id").alias("value"))
-    lines.coalesce(1).sortWithinPartitions("event_id").select("value").write.text(f"{folder}/in")
-    ingest_stream(tsv_stream(spark, f"{folder}/in"), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
-    return LsmTable(spark, f"{folder}/table").to_df().select(F.decode("k", "UTF-8").alias("k"), F.decode("v", "UTF-8").alias("v"))
-
-
-@query("sst_round_trip", "SELECT c_name AS k, c_mktsegment AS v FROM customer WHERE c_name >= 'Customer#000000010' AND c_name < 'Customer#00000005'")
-def sst_round_trip(spark, sf):
-    """Customers written as sorted string tables, a key range read back."""
-    spark.dataSource.register(sstable.SstDataSource)
-    path = _scratch(spark, "sst")
-    rows = _t(spark, sf, "customer").select(F.encode("c_name", "UTF-8").alias("k"), F.encode("c_mktsegment", "UTF-8").alias("v"))
-    rows.repartitionByRange("k").sortWithinPartitions("k").write.format("sst").option("path", path).mode("append").save()
-    back = spark.read.format("sst").option("path", path).load()
-    inside = back.where((F.col("k") >= F.encode(F.lit("Customer#000000010"), "UTF-8")) & (F.col("k") < F.encode(F.lit("Customer#00000005"), "UTF-8")))
-    return inside.select(F.decode("k", "UTF-8").alias("k"), F.decode("v", "UTF-8").alias("v"))
-
-
-# Workloads
-
-
-@query("feature_range_scan", "SELECT vec_id, embedding[1]::DOUBLE AS f0, label FROM embeddings WHERE vec_id >= 100 AND vec_id < 200 ORDER BY vec_id")
-def feature_range_scan(spark, sf):
-    return _t(spark, sf, "embeddings").where(KeyRange(100, 200).predicate(F.col("vec_id"))).select("vec_id", F.col("embedding")[0].cast("double").alias("f0"), "label").orderBy("vec_id")
-
-
-@query("feature_batch_lookup", "SELECT e.event_id, v.label FROM events e LEFT JOIN embeddings v ON e.user_id = v.vec_id")
-def feature_batch_lookup(spark, sf):
-    vectors = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("user_id"), "label")
-    return _t(spark, sf, "events").select("event_id", "user_id").join(vectors, "user_id", "left").select("event_id", "label")
-
-
-@query("workload_append", "SELECT count(*) AS n, min(k) AS first, max(k) AS last FROM (SELECT epoch_us(ts) AS k FROM events UNION SELECT 1000000 + (SELECT max(epoch_us(ts)) FROM events) + event_id FROM events WHERE event_id % 10 = 0)")
-def workload_append(spark, sf):
-    """A tenth as many keys appended behind the last of a time series."""
-    ts = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = _t(spark, sf, "events").select(ts.alias("k"), "event_id")
-    last = rows.agg(F.max("k").alias("last"))
-    more = rows.where("event_id % 10 = 0").crossJoin(F.broadcast(last)).select((F.lit(1_000_000) + F.col("last") + F.col("event_id")).alias("k"))  # one row
-    return rows.select("k").union(more).distinct().agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"), F.max("k").alias("last"))
-
-
-@query("workload_range_counts", "SELECT width, count(*) AS n FROM (SELECT unnest([10, 100, 1000]) AS width) JOIN orders ON o_orderkey >= 50 AND o_orderkey < 50 + width GROUP BY width")
-def workload_range_counts(spark, sf):
-    """Three ranges of the map in one scan."""
-    k = F.col("o_orderkey")
-    widths = F.explode(F.filter(F.array(*map(F.lit, (10, 100, 1000))), lambda w: k < 50 + w)).alias("width")
-    return _t(spark, sf, "orders").where((k >= 50) & (k < 1050)).select(widths).groupBy("width").agg(F.count(F.lit(1)).alias("n"))
+    return json_pairs.keys_to_json(table(spark, sf, "nation").select(F.col("n_regionkey").alias("k")))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Validated bulk load of ``orders``, then keys 100..=199 in order, with their number and extremes."""
-    df = loading.bulk_load(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v")))
+    df = loading.bulk_load(file_positions(table(spark, sf, "orders")).select("pos", F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v")))
     part = closed(100, 199)
     facts = df.where(part.predicate(F.col("k"))).agg(F.count(F.lit(1)).alias("range_count"), F.min("k").alias("first_key"), F.max("k").alias("last_key"))
     return lookups.in_range(df, part).crossJoin(F.broadcast(facts)).orderBy("k")  # facts is one row
+
+
+from . import stored_queries, workload_queries  # noqa: E402, F401  they register theirs

@@ -4,9 +4,10 @@ Layout: data blocks of entries ``klen u32, key, vlen u32, value``; an index of
 ``klen u32, first key, offset u64, length u64`` for each block; a footer of 20 bytes,
 ``index offset u64, entry count u64, magic u32``.  Integers are little-endian.
 
-The source plans one task for some consecutive blocks of a file.  With option
-``pushFilters`` (and ``spark.sql.python.filterPushdown.enabled``) it skips the blocks that
-comparisons on ``k`` rule out.
+The source plans its tasks by the files' sizes; each reads the index of its file and
+gives its blocks as Arrow batches.  With option ``pushFilters``, which needs
+``spark.sql.python.filterPushdown.enabled``, it skips the blocks that comparisons on ``k``
+rule out; :func:`load` sets it where the session allows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from ..errors import CorruptionError
@@ -25,8 +28,8 @@ from ..errors import CorruptionError
 #: Fixed values of the format.
 MAGIC, FOOTER, BLOCK_BYTES = 0x5353544C, 20, 4096
 SCHEMA = "k binary, v binary"
-#: Bytes of blocks that one task of the source reads.
-TASK_BYTES = 32 << 20
+#: Bytes of a file that one task of the source reads, and of the blocks in one batch of rows.
+TASK_BYTES, BATCH_BYTES = 32 << 20, 1 << 20
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -120,46 +123,56 @@ class TableReader:
 
 
 @dataclass
-class _Blocks(InputPartition):
-    uri: str
-    places: list[tuple[int, int]]
+class _Part(InputPartition):
+    """The ``n``-th of ``of`` tasks on a file."""
+
+    name: str
+    n: int
+    of: int
 
 
 class _Reader(DataSourceReader):
+    """Plans by the files' sizes alone; a task reads the index of its file."""
+
     def __init__(self, path: str) -> None:
         self.path, self.low, self.high = path, None, None
 
     def partitions(self):
         fs, path = open_fs(self.path)
         info = fs.get_file_info(path)
-        names = [path] if info.type == pafs.FileType.File else sorted(x.path for x in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if x.path.endswith(".sst"))
-        out = []
-        for name in names:
-            with fs.open_input_file(name) as f:
-                table = TableReader(f)
-            lo = 0 if self.low is None else max(0, bisect.bisect_right(table.first_keys, self.low) - 1)
-            hi = len(table.places) if self.high is None else bisect.bisect_right(table.first_keys, self.high)
-            held, size = [], 0
-            for place in table.places[lo:hi]:
-                held.append(place)
-                size += place[1]
-                if size >= TASK_BYTES:
-                    out.append(_Blocks(self._uri(name), held))
-                    held, size = [], 0
-            if held:
-                out.append(_Blocks(self._uri(name), held))
-        return out or [_Blocks("", [])]
-
-    def _uri(self, name: str) -> str:
-        scheme, sep, rest = self.path.partition("://")
-        return name if not sep else f"{scheme}://{rest.split('/')[0] if scheme != 'file' else ''}{name if name.startswith('/') else '/' + name}"
+        files = [info] if info.type == pafs.FileType.File else sorted((x for x in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if x.path.endswith(".sst")), key=lambda x: x.path)
+        out = [(x.path, max(1, -(-x.size // TASK_BYTES))) for x in files]
+        return [_Part(name, n, of) for name, of in out for n in range(of)] or [_Part("", 0, 1)]
+
+    def places(self, table: TableReader) -> list[tuple[int, int]]:
+        """Offsets and sizes of the blocks that the pushed bounds leave."""
+        lo = 0 if self.low is None else max(0, bisect.bisect_right(table.first_keys, self.low) - 1)
+        hi = len(table.places) if self.high is None else bisect.bisect_right(table.first_keys, self.high)
+        return table.places[lo:hi]
 
     def read(self, partition):
-        if partition.places:
-            fs, path = open_fs(partition.uri)
-            with fs.open_input_file(path) as f:
-                for offset, size in partition.places:
-                    yield from decode_block(f.read_at(size, offset))
+        if not partition.name:
+            return
+        fs, _ = open_fs(self.path)
+        with fs.open_input_file(partition.name) as f:
+            size = f.size()
+            lo, hi = size * partition.n // partition.of, size * (partition.n + 1) // partition.of
+            keys, values, held = [], [], 0
+            for offset, n in self.places(TableReader(f)):
+                if lo <= offset < hi:  # a block belongs to the task in whose share it begins
+                    for k, v in decode_block(f.read_at(n, offset)):
+                        keys.append(k)
+                        values.append(v)
+                    held += n
+                    if held >= BATCH_BYTES:
+                        yield _batch(keys, values)
+                        keys, values, held = [], [], 0
+            if keys:
+                yield _batch(keys, values)
+
+
+def _batch(keys: list[bytes], values: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["k", "v"])
 
 
 class _FilteringReader(_Reader):
@@ -182,15 +195,19 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    """One table a task; the rows of a task must ascend (sort within partitions first)."""
+    """One table a task; the rows of a task must ascend (sort within partitions first).
+
+    Files get their names by the commit, which also removes what tasks that failed or ran
+    twice have left.
+    """
 
     def __init__(self, path: str, block_bytes: int) -> None:
-        self.path, self.block_bytes = path, block_bytes
+        self.path, self.block_bytes, self.job = path, block_bytes, uuid.uuid4().hex
 
     def write(self, iterator):
         fs, folder = open_fs(self.path)
         fs.create_dir(folder, recursive=True)
-        name = f"{folder}/part-{uuid.uuid4().hex}"
+        name = f"{folder}/part-{self.job}-{uuid.uuid4().hex}"
         with fs.open_output_stream(f"{name}.tmp", compression=None) as out:
             table = TableWriter(out, self.block_bytes)
             for row in iterator:
@@ -198,17 +215,22 @@ class _Writer(DataSourceWriter):
             table.finish()
         return _Written(name, table.count)
 
+    def _leftovers(self) -> None:
+        fs, folder = open_fs(self.path)
+        if fs.get_file_info(folder).type == pafs.FileType.Directory:
+            for x in fs.get_file_info(pafs.FileSelector(folder)):
+                if x.path.endswith(".tmp") and self.job in x.path:
+                    fs.delete_file(x.path)
+
     def commit(self, messages):
         fs, _ = open_fs(self.path)
         for m in messages:
-            if m is not None:
-                fs.move(f"{m.path}.tmp", f"{m.path}.sst") if m.count else fs.delete_file(f"{m.path}.tmp")
+            if m is not None and m.count:
+                fs.move(f"{m.path}.tmp", f"{m.path}.sst")
+        self._leftovers()
 
     def abort(self, messages):
-        fs, _ = open_fs(self.path)
-        for m in messages:
-            if m is not None:
-                fs.delete_file(f"{m.path}.tmp")
+        self._leftovers()
 
 
 class SstDataSource(DataSource):
@@ -226,3 +248,10 @@ class SstDataSource(DataSource):
 
     def writer(self, schema, overwrite):
         return _Writer(self.options["path"], int(self.options.get("blockbytes", BLOCK_BYTES)))
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The tables below a path; filters on the key reach the source where the session allows."""
+    spark.dataSource.register(SstDataSource)
+    pushes = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("sst").option("path", path).option("pushFilters", pushes).load()

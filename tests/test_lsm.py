@@ -5,9 +5,9 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from brindle.config import EngineConfig
-from brindle.errors import CorruptionError
+from brindle.errors import ConcurrentWriteError, CorruptionError
 from brindle.functions.bounds import KeyRange
-from brindle.operators.lsm import LsmTable, Memtable
+from brindle.operators.lsm import LsmTable, Memtable, SortedMemtable
 from brindle.sources import sstable, tsv, wal
 from brindle.streaming.ingest import ingest_stream, tsv_stream
 
@@ -105,8 +105,15 @@ def test_stream(spark, tmp_path):
     assert t.ingest(sorted_rows(spark, [(b"q", b"q")]), batch="tsv-0") == 0 and t.get(b"q") is None  # applied before
 
 
-def test_memtable():
-    m = Memtable()
+@pytest.mark.parametrize("kind", [Memtable, SortedMemtable])
+def test_memtable(kind):
+    m = kind()
+    m.insert(b"b", b"22")
+    m.insert(b"a", b"1")
+    m.delete(b"b")
+    m.insert(b"c", b"3")
+    assert m.scan(b"a\0", b"c") == [(b"b", b"")] and m.scan() == [(b"a", b"1"), (b"b", b""), (b"c", b"3")]
+    m = kind()
     m.insert(b"b", b"22")
     m.insert(b"a", b"1")
     m.delete(b"b")
@@ -184,8 +191,67 @@ def test_blocks_outside_a_range_are_not_planned(tmp_path):
         w.finish()
     r = sstable._FilteringReader(str(tmp_path))
     list(r.pushFilters([GreaterThanOrEqual(("k",), b"000100"), LessThan(("k",), b"000110")]))
-    read = [row for p in r.partitions() for row in r.read(p)]
-    assert {b"%06d" % i for i in range(100, 110)} <= {k for k, _ in read} and len(read) < 30
+    read = [k for p in r.partitions() for batch in r.read(p) for k in batch.column("k").to_pylist()]
+    assert {b"%06d" % i for i in range(100, 110)} <= set(read) and len(read) < 30
+
+
+def test_every_block_belongs_to_one_task(tmp_path, monkeypatch):
+    with open(tmp_path / "a.sst", "wb") as f:
+        w = sstable.TableWriter(f, 64)
+        for i in range(1000):
+            w.add(b"%06d" % i, b"x")
+        w.finish()
+    monkeypatch.setattr(sstable, "TASK_BYTES", 700)
+    r = sstable._Reader(str(tmp_path))
+    assert len(r.partitions()) > 10
+    assert [k for p in r.partitions() for batch in r.read(p) for k in batch.column("k").to_pylist()] == [b"%06d" % i for i in range(1000)]
+
+
+def test_a_log_is_read_in_chunks():
+    records = [(wal.PUT, b"k%d" % i, b"v" * i) for i in range(100)] + [(wal.DELETE, b"gone", None)]
+    assert list(wal.decode_stream(io.BytesIO(wal.encode(records)), chunk=7)) == records
+
+
+def test_a_failed_flush_loses_nothing(spark, tmp_path, monkeypatch):
+    """A put, a flush whose publication fails once, another put and flush: both keys stay, also after reopening."""
+    t = LsmTable(spark, str(tmp_path / "t"), BIG)
+    t.put(b"a", b"1")
+    real = t._publish
+    monkeypatch.setattr(t, "_publish", lambda manifest: (_ for _ in ()).throw(OSError("store is away")))
+    with pytest.raises(OSError):
+        t.flush()
+    monkeypatch.setattr(t, "_publish", real)
+    assert t.get(b"a") == b"1" and LsmTable(spark, t.path, BIG).get(b"a") == b"1"
+    t.put(b"b", b"2")
+    t.flush()
+    assert pairs(t) == [(b"a", b"1"), (b"b", b"2")] == pairs(LsmTable(spark, t.path, BIG)) and t.memtable.is_empty()
+
+
+def test_a_publication_that_fails_leaves_no_claim(spark, tmp_path, monkeypatch):
+    t = LsmTable(spark, str(tmp_path / "t"), BIG)
+    t.put(b"a", b"1")
+    monkeypatch.setattr(t.log.files, "rename", lambda a, b: False)
+    with pytest.raises(ConcurrentWriteError):
+        t.flush()
+    monkeypatch.undo()
+    t.flush()
+    assert pairs(LsmTable(spark, t.path)) == [(b"a", b"1")]
+
+
+def test_batches_of_a_stream_take_bounded_room(spark, tmp_path):
+    t = LsmTable(spark, str(tmp_path / "t"), BIG)
+    for n in range(4):
+        assert t.ingest(sorted_rows(spark, [(b"k", b"%d" % n)]), batch=f"a-{n}") == 1
+    assert t.ingest(sorted_rows(spark, [(b"k", b"old")]), batch="a-2") == 0 and t.ingest(sorted_rows(spark, [(b"j", b"x")]), batch="b-1") == 1
+    assert t._manifest()["batches"] == {"a": 3, "b": 1} and t.get(b"k") == b"3"
+
+
+def test_ingest_iter_is_cut_at_the_threshold(spark, tmp_path, monkeypatch):
+    t, logged = LsmTable(spark, str(tmp_path / "t"), EngineConfig(flush_threshold=100)), []
+    real = t._append
+    monkeypatch.setattr(t, "_append", lambda records: (logged.append(len(records)), real(records))[1])
+    assert t.ingest_iter((b"%04d" % i, b"x" * 16) for i in range(12)) == 12
+    assert logged == [5, 5, 2] and len(pairs(t)) == 12 and not t.memtable.is_empty()
 
 
 def test_wal_source_and_corruption(spark, tmp_path):
