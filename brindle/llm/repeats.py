@@ -35,6 +35,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .induced import sort_suffixes
+from .induced import Numbers, Sorter, Store, sort_suffixes
 from .shingles import mix
 
 LENGTH, GRAM = 100, 32
@@ -430,53 +431,72 @@ def _cut(batches):
         yield pa.record_batch([ids, pa.array(n), pa.array(removed), pa.array(spans), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _repeated(t: Numbers, docs: Store) -> Iterator[int]:
+    """Ascending places of the strings in documents that start earlier too."""
+    at, group, last, inside = Sorter(), 0, 0, False
+    for pos, lcp in sort_suffixes(t):
+        if lcp >= LENGTH:
+            if not inside:
+                group += 1
+                at.push((last, group))
+            at.push((pos, group))
+        last, inside = pos, lcp >= LENGTH
+    # Strings that lie in one document; of each group all but the first.
+    whole, spans = Sorter(), ((start, start + len(text)) for _, text, start in docs.read())
+    start, end = next(spans)
+    for pos, group in at:
+        while pos >= end:
+            start, end = next(spans, (t.n, t.n + 1))
+        if start <= pos and pos + LENGTH <= end:
+            whole.push((group, pos))
+    again, known = Sorter(), 0
+    for group, pos in whole:
+        if group == known:
+            again.push((pos,))
+        known = group
+    for (pos,) in again:
+        yield pos
+
+
 def _shard_repeats(batches):
-    """The result for all rows of one task, by induced sorting in memory."""
-    ids, texts = [], []
+    """The result for all rows of one task, by external induced sorting."""
+    docs, t = Store(), Numbers((), "<i2")
     for batch in batches:
-        ids += batch.column("doc_id").to_pylist()
-        texts += [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-    if not ids:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            raw = text.encode("utf-8", "surrogatepass")
+            docs.append((doc_id, raw, t.n))
+            t.add(np.frombuffer(raw, np.uint8).astype(np.int16) + 2)
+            t.add([1])  # ends a document
+    if not docs.n:
         return
-    sequence = np.concatenate([x for t in texts for x in (np.frombuffer(t, np.uint8).astype(np.int16) + 2, np.ones(1, np.int16))] + [np.zeros(1, np.int16)]).tolist()
-    ends = np.cumsum([len(t) + 1 for t in texts]) - 1  # the separators
-    left = np.zeros(len(sequence), np.int64)
-    for start, end in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist()):
-        left[start:end] = np.arange(end - start, 0, -1)
-    repeated, run = [], []
-
-    def close():
-        if len(run) > 1:
-            least = min(run)
-            repeated.extend(p for p in run if p != least)
-
-    for pos, lcp in sort_suffixes(sequence):
-        if lcp < LENGTH:
-            close()
-            run = []
-        if left[pos] >= LENGTH:
-            run.append(pos)
-    close()
-    q = np.array(sorted(repeated), np.int64)
-    start, end = merged(q, q + LENGTH)
-    out = []
-    for doc_id, text, stop in zip(ids, texts, ends.tolist()):
-        first = stop - len(text)
-        h, here, removed, spans = hashlib.sha256(), first, 0, 0
-        for k in range(int(np.searchsorted(end, first, side="right")), int(np.searchsorted(start, stop, side="left"))):
-            h.update(text[here - first : start[k] - first])
-            here, removed, spans = int(end[k]), removed + int(end[k] - start[k]), spans + 1
-        h.update(text[here - first :])
-        out.append((doc_id, len(text), removed, spans, h.hexdigest()))
-    columns = list(zip(*out))
-    yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.string()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    t.add([0])
+    repeated, out = _repeated(t, docs), []
+    pos = next(repeated, None)
+    types = (*[pa.int64()] * 4, pa.string())
+    for doc_id, raw, start in docs.read():
+        kept, here, removed, spans = hashlib.sha256(), 0, 0, 0
+        while pos is not None and pos < start + len(raw):
+            first = pos - start
+            stop = first + LENGTH
+            pos = next(repeated, None)
+            while pos is not None and pos <= start + stop:
+                stop, pos = pos - start + LENGTH, next(repeated, None)
+            kept.update(raw[here:first])
+            here, removed, spans = stop, removed + stop - first, spans + 1
+        kept.update(raw[here:])
+        out.append((doc_id, len(raw), removed, spans, kept.hexdigest()))
+        if len(out) == 1024:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), types)], [c.split()[0] for c in RESULT.split(", ")])
+            out = []
+    if out:
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), types)], [c.split()[0] for c in RESULT.split(", ")])
 
 
 def remove_repeats_in_shard(docs: DataFrame) -> DataFrame:
-    """The result of :func:`remove_repeats` by induced suffix sorting.
+    """The result of :func:`remove_repeats` by external induced suffix sorting.
 
-    One task holds and sorts the whole input, so this is for a shard that its memory holds;
-    at some 5 microseconds of CPU a byte it is beyond what a corpus allows.
+    One task sorts the whole input on its disk, in bounded memory; at the cost that the
+    README gives it is beyond what a corpus allows.
     """
     ordered = common.documents(docs).coalesce(1).sortWithinPartitions("doc_id")
     return ordered.mapInArrow(_shard_repeats, RESULT)

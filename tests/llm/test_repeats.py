@@ -113,6 +113,31 @@ def test_induced_sorting(body, held):
         assert lcp == next(k for k in range(len(t)) if a + k == len(t) or b + k == len(t) or t[a + k] != t[b + k])
 
 
+def test_induced_sorting_spills(monkeypatch):
+    """Real text with little memory: queues and sorts spill, runs are merged, memory holds what it may."""
+    monkeypatch.setattr(induced, "FAN", 4)
+    monkeypatch.setattr(induced, "BLOCK", 16)
+    queues, real = [], induced.DiskQueue
+    monkeypatch.setattr(induced, "DiskQueue", lambda held: queues.append(real(held)) or queues[-1])
+    text = "".join(t or "" for _, t in made())[:6000].encode()
+    t = [x + 2 for x in text] + [0]
+    found = list(induced.sort_suffixes(t, held=50))
+    order = sorted(range(len(t)), key=lambda i: t[i : i + 7000])
+    assert [p for p, _ in found] == order
+    for (a, _), (b, lcp) in zip(found, found[1:]):
+        assert lcp == min(induced.CAP, next(k for k in range(len(t)) if t[a + k] != t[b + k]))
+    assert sum(q.spilled for q in queues) > 500 and all(len(q.heap) <= 51 and len(q.runs) <= 5 for q in queues)
+
+
+def test_sorter_merges_its_runs(monkeypatch):
+    monkeypatch.setattr(induced, "FAN", 3)
+    s, rng = induced.Sorter(held=5), random.Random(2)
+    items = [(rng.randrange(100), i) for i in range(200)]
+    for x in items:
+        s.push(x)
+    assert list(s) == sorted(items) and len(s.runs) < 4
+
+
 def test_disk_queue():
     rng, queue = random.Random(1), induced.DiskQueue(held=10)
     items = [(rng.randrange(50), i) for i in range(500)]
