@@ -39,6 +39,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,8 +53,8 @@ ROUNDS, SUPPORT, PATTERN_SCORE, ID_SCORE = 3, 5, 0.9, 0.9
 SHARE = 1 - (1 - PATTERN_SCORE) ** (1 / ROUNDS)
 #: Characters from which a word goes by its hash.
 LONG = 64
-#: Bits of a set that travels to a scan.
-BITS = 1 << 22
+#: Bits of a set that travels to a scan; tokens that one task remembers before it starts anew.
+BITS, MEMO_TOKENS = 1 << 22, 300_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -184,13 +185,13 @@ def may_hold(bits: bytes, key: int) -> bool:
     return bool(bits[a >> 3] >> (a & 7) & 1 and bits[b >> 3] >> (b & 7) & 1)
 
 
-def _pattern_key(pattern):
-    """The key of patterns in a filter, as a column; :func:`_key_of` is the same in Python."""
-    return F.conv(F.substring(F.md5(F.encode(pattern, "UTF-8")), 1, 15), 16, 10).cast("long")
+def _key_of(pattern: str) -> int:
+    """The key of a pattern in a filter, the same as Spark's ``xxhash64``."""
+    return _signed(xxhash.xxh64_intdigest(pattern.encode("utf-8", "surrogatepass"), 42))
 
 
-def _key_of(pattern: str) -> int:
-    return int(hashlib.md5(pattern.encode("utf-8", "surrogatepass")).hexdigest()[:15], 16)
+def _signed(x: int) -> int:
+    return x - (x >> 63 << 64)
 
 
 @functools.lru_cache(1 << 17)
@@ -213,31 +214,70 @@ def _words_at(text: str, hits: list[int]) -> list[dict]:
     return out
 
 
-def _beside(bits: bytes):
-    """Distinct (pattern, token without a digit in it) of each batch, for patterns in the filter."""
+class Neighbours:
+    """Finds the tokens without a digit beside the patterns of a filter, vectorised over texts.
 
-    def beside(batches):
-        known: dict[str, int] = {}
+    Each different token is looked at once, as long as it is remembered: its identifier, on
+    which sides that stands free, and whether its word may be a left or a right pattern.
+    """
+
+    def __init__(self, bits: bytes) -> None:
+        self.bits = bits
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict[str, int] = {}
+        # By token: key as a left pattern and as a right one, identifier; flags 1, 2: may be these, 4, 8: takes them.
+        self.keys, self.flags = np.zeros((3, 1 << 14), np.int64), np.zeros(1 << 14, np.uint8)
+
+    def _learn(self, token: str) -> int:
+        i = len(self.at)
+        if i == len(self.flags):
+            self.keys, self.flags = np.concatenate([self.keys, np.zeros_like(self.keys)], axis=1), np.concatenate([self.flags, np.zeros_like(self.flags)])
+        self.at[token] = i
+        word, flags = (token.lower() if token.isalpha() and len(token) <= LONG else _word(token)), 0
+        if word:
+            for side, key in enumerate((_key_of(f"L:{word}"), _key_of(f"R:{word}"))):
+                self.keys[side, i] = key
+                flags |= may_hold(self.bits, key) << side
+        bare = token if token.isalpha() else _EDGE.sub("", token)
+        if bare and not _DIGIT.search(token) and not ("@" in token and base_spans(token)):
+            self.keys[2, i] = _ident(bare)
+            flags |= 4 * token.startswith(bare) + 8 * token.endswith(bare)
+        self.flags[i] = flags
+        return i
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (key of a pattern, identifier) of the texts."""
+        if len(self.at) > MEMO_TOKENS:
+            self._clear()
+        words = [t.split() for t in texts]
+        for token in set().union(*words) - self.at.keys():
+            self._learn(token)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        index = np.fromiter((i for w in words for i in map(self.at.__getitem__, w)), np.int64, int(sizes.sum()))
+        doc, flags = np.repeat(np.arange(len(words)), sizes), self.flags[index]
+        a, b, same = index[:-1], index[1:], doc[1:] == doc[:-1]
+        left = same & (flags[:-1] & 1 > 0) & (flags[1:] & 4 > 0)
+        right = same & (flags[1:] & 2 > 0) & (flags[:-1] & 8 > 0)
+        pattern = np.concatenate([self.keys[0, a[left]], self.keys[1, b[right]]])
+        ident = np.concatenate([self.keys[2, b[left]], self.keys[2, a[right]]])
+        order = np.lexsort((ident, pattern))
+        pattern, ident = pattern[order], ident[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (pattern[1:] != pattern[:-1]) | (ident[1:] != ident[:-1])
+        return pattern[first], ident[first]
 
-        def sides(part: str) -> int:
-            """1 if the word may be a left pattern, 2 if a right one."""
-            if part not in known:
-                if len(known) > 1 << 17:
-                    known.clear()
-                word = _word(part)
-                known[part] = (may_hold(bits, _key_of("L:" + word)) | 2 * may_hold(bits, _key_of("R:" + word))) if word else 0
-            return known[part]
 
+def _beside(bits: bytes):
+    """Distinct (key of a pattern in the filter, token without a digit in it) of some texts at a time."""
+
+    def beside(batches):
+        neighbours = Neighbours(bits)
         for batch in batches:
-            seen = set()
-            for text in batch.column("text").to_pylist():
-                parts = text.split()
-                flags = [*map(sides, parts), 0]
-                hits = [i for i, p in enumerate(parts) if (i and flags[i - 1] & 1 or flags[i + 1] & 2) and _bare_ident(p) is not None] if any(flags) else []
-                if hits:
-                    seen.update((c, t["ident"]) for t in _words_at(text, hits) for c in t["context"])
-            seen = {(c, i) for c, i in seen if may_hold(bits, _key_of(c))}
-            yield pa.record_batch([pa.array([c for c, _ in seen], pa.string()), pa.array([i for _, i in seen], pa.int64())], ["pattern", "ident"])
+            for i in range(0, batch.num_rows, 1000):
+                pattern, ident = neighbours.of(batch.column("text").slice(i, 1000).to_pylist())
+                yield pa.record_batch([pa.array(pattern), pa.array(ident)], ["key", "ident"])
 
     return beside
 
@@ -322,12 +362,12 @@ def chosen_ids(found: DataFrame) -> DataFrame:
 
 def chosen_words(docs: DataFrame, edges: DataFrame, trusted: DataFrame) -> DataFrame | None:
     """``digest, words``: the spans of discovered identifiers without a digit in each text; None if no pattern can have any."""
-    cues = trusted.where(F.length("pattern") > 2)
+    cues = trusted.where(F.length("pattern") > 2).select("pattern", F.xxhash64("pattern").alias("key"))
     if cues.isEmpty():
         return None
     texts = common.documents(docs).select("text")
-    beside = texts.mapInArrow(_beside(members(cues.select(_pattern_key("pattern")))), "pattern string, ident long").distinct()
-    beside = common.materialise(beside.join(cues, "pattern", "left_semi"), "pii-beside")
+    beside = texts.mapInArrow(_beside(members(cues.select("key"))), "key long, ident long").distinct()
+    beside = common.materialise(beside.join(cues, "key").select("pattern", "ident"), "pii-beside")
     known = edges.groupBy("pattern").agg(F.sum(F.col("known").cast("long")).alias("seeds"), F.count(F.lit(1)).alias("m"))
     kept = beside.groupBy("pattern").agg(F.count(F.lit(1)).alias("words")).join(known, "pattern").where(F.col("seeds") >= SHARE * (F.col("m") + F.col("words"))).select("pattern")
     kept = common.materialise(kept, "pii-cues")

@@ -143,6 +143,38 @@ def test_the_graph_equals_dictionaries(spark):
     assert {r["ident"] for r in pii.chosen_ids(found).collect()} == {pii._ident(i) for i in expect} and len(expect) > 3
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["call", "Call:", "(me", "now", "a@b.org", "x@y", "Z9", "-", "ümlaut", "@joe", "w" * 70]), max_size=8).map(" ".join), max_size=4), st.integers(1, 50))
+def test_neighbours(texts, memo):
+    """Against the contexts of each token without a digit that isn't in a base identifier."""
+    cues = {f"{side}:{w}" for side in "LR" for w in ("call", "now", "joe", plain_word("w" * 70))}
+    expect = set()
+    for text in texts:
+        base = plain(text)
+        for m in re.finditer(r"\S+", text):
+            bare = re.sub(r"^[\W_]+|[\W_]+$", "", m.group())
+            if bare and not re.search("[0-9]", bare) and not any(s < m.end() and e > m.start() for s, _, e in base):
+                at = text.index(bare, m.start())
+                expect |= {(pii._key_of(c), pii._ident(bare)) for c in pii.Places(text).context(at, at + len(bare)) if c in cues}
+    bits = bytearray(pii.BITS // 8)
+    for c in cues:
+        for at in (pii._key_of(c) % pii.BITS, (pii._key_of(c) >> 29) % pii.BITS):
+            bits[at >> 3] |= 1 << (at & 7)
+    neighbours = pii.Neighbours(bytes(bits))
+    got = set()
+    for text in texts:
+        got |= set(zip(*(x.tolist() for x in neighbours.of([text]))))
+    assert got == expect == set(zip(*(x.tolist() for x in pii.Neighbours(bytes(bits)).of(texts))))
+
+
+def test_filters(spark):
+    """The filter that Spark makes holds the keys that Python looks up."""
+    words = ["L:the", "R:über", "L:" + "x" * 40]
+    bits = pii.members(spark.createDataFrame([(w,) for w in words], "p string").select(F.xxhash64("p")))
+    assert all(pii.may_hold(bits, pii._key_of(w)) for w in words) and sum(pii.may_hold(bits, pii._key_of(f"L:{i}")) for i in range(2000)) < 5
+    assert not any(pii.members(spark.createDataFrame([], "k long")))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["x.y@mail.org", "10.1.2.3", "Z9", "word", "(Q7)", "1234", "-", "x" * 70]), max_size=7), st.sampled_from([" ", "   ", " " * 90, "\n"]))
 def test_contexts(parts, glue):
