@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -185,12 +185,23 @@ def may_hold(bits: bytes, key: int) -> bool:
     return bool(bits[a >> 3] >> (a & 7) & 1 and bits[b >> 3] >> (b & 7) & 1)
 
 
-def _key_of(pattern: str) -> int:
-    """The key of a pattern in a filter, the same as Spark's ``xxhash64``."""
-    return _signed(xxhash.xxh64_intdigest(pattern.encode("utf-8", "surrogatepass"), 42))
+#: What makes a word's hash the key of a left and of a right pattern (any two numbers do).
+SIDES = {"L": 0x2545F4914F6CDD1D, "R": 0x5851F42D4C957F2D}
+
+
+def pattern_key(pattern: Column) -> Column:
+    """The key of a pattern in a filter."""
+    side = F.when(F.startswith(pattern, F.lit("L")), F.lit(SIDES["L"])).otherwise(F.lit(SIDES["R"]))
+    return F.xxhash64(F.substring(pattern, 3, 1 << 30)).bitwiseXOR(side)
 
 
-def _signed(x: int) -> int:
+def _hash_of(word: str) -> int:
+    """The hash of a word, the same as Spark's ``xxhash64``, unsigned."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+
+
+def _key_of(pattern: str) -> int:
+    x = _hash_of(pattern[2:]) ^ SIDES[pattern[0]]
     return x - (x >> 63 << 64)
 
 
@@ -222,46 +233,58 @@ class Neighbours:
     """
 
     def __init__(self, bits: bytes) -> None:
-        self.bits = bits
+        self.bits = np.frombuffer(bits, np.uint8)
         self._clear()
 
     def _clear(self) -> None:
         self.at: dict[str, int] = {}
-        # By token: key as a left pattern and as a right one, identifier; flags 1, 2: may be these, 4, 8: takes them.
-        self.keys, self.flags = np.zeros((3, 1 << 14), np.int64), np.zeros(1 << 14, np.uint8)
-
-    def _learn(self, token: str) -> int:
-        i = len(self.at)
-        if i == len(self.flags):
-            self.keys, self.flags = np.concatenate([self.keys, np.zeros_like(self.keys)], axis=1), np.concatenate([self.flags, np.zeros_like(self.flags)])
-        self.at[token] = i
-        word, flags = (token.lower() if token.isalpha() and len(token) <= LONG else _word(token)), 0
-        if word:
-            for side, key in enumerate((_key_of(f"L:{word}"), _key_of(f"R:{word}"))):
-                self.keys[side, i] = key
-                flags |= may_hold(self.bits, key) << side
-        bare = token if token.isalpha() else _EDGE.sub("", token)
-        if bare and not _DIGIT.search(token) and not ("@" in token and base_spans(token)):
-            self.keys[2, i] = _ident(bare)
-            flags |= 4 * token.startswith(bare) + 8 * token.endswith(bare)
-        self.flags[i] = flags
-        return i
+        self.tokens: list[str] = []
+        # By token: hash of its word, identifier; flags 1, 2: may be a left, a right pattern, 4, 8: takes them, 16: has its identifier.
+        self.hashes, self.idents, self.flags = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+
+    def _may_hold(self, keys: np.ndarray) -> np.ndarray:
+        """:func:`may_hold` of many keys."""
+        a, b = keys % BITS, (keys >> 29) % BITS
+        return (self.bits[a >> 3] >> (a & 7) & self.bits[b >> 3] >> (b & 7) & 1) > 0
+
+    def _learn(self, new: list[str]) -> None:
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
+        self.tokens += new
+        words = [low if (low := t.lower()).isalpha() and len(low) <= LONG else _word(t) for t in new]
+        hashes = np.array([_hash_of(w) for w in words], np.uint64).view(np.int64)
+        flags = self._may_hold(hashes ^ SIDES["L"]) | self._may_hold(hashes ^ SIDES["R"]).astype(np.uint8) << 1
+        flags *= np.array([w != "" for w in words], np.uint8)
+        free = np.full(len(new), 12, np.uint8)
+        for i, token in enumerate(new):
+            if not token.isalpha():
+                bare = _EDGE.sub("", token)
+                named = bare and not _DIGIT.search(token) and not ("@" in token and base_spans(token))
+                free[i] = 4 * token.startswith(bare) + 8 * token.endswith(bare) if named else 0
+        self.hashes, self.flags = np.concatenate([self.hashes, hashes]), np.concatenate([self.flags, flags | free])
+        self.idents = np.concatenate([self.idents, np.zeros(len(new), np.int64)])
+
+    def _named(self, index: np.ndarray) -> np.ndarray:
+        """The identifiers of tokens, made when first asked for."""
+        for i in np.unique(index[self.flags[index] & 16 == 0]).tolist():
+            token = self.tokens[i]
+            self.idents[i] = _ident(token if token.isalpha() else _EDGE.sub("", token))
+            self.flags[i] |= 16
+        return self.idents[index]
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (key of a pattern, identifier) of the texts."""
         if len(self.at) > MEMO_TOKENS:
             self._clear()
         words = [t.split() for t in texts]
-        for token in set().union(*words) - self.at.keys():
-            self._learn(token)
+        self._learn([token for token in set().union(*words) if token not in self.at])
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         index = np.fromiter((i for w in words for i in map(self.at.__getitem__, w)), np.int64, int(sizes.sum()))
         doc, flags = np.repeat(np.arange(len(words)), sizes), self.flags[index]
         a, b, same = index[:-1], index[1:], doc[1:] == doc[:-1]
         left = same & (flags[:-1] & 1 > 0) & (flags[1:] & 4 > 0)
         right = same & (flags[1:] & 2 > 0) & (flags[:-1] & 8 > 0)
-        pattern = np.concatenate([self.keys[0, a[left]], self.keys[1, b[right]]])
-        ident = np.concatenate([self.keys[2, b[left]], self.keys[2, a[right]]])
+        pattern = np.concatenate([self.hashes[a[left]] ^ SIDES["L"], self.hashes[b[right]] ^ SIDES["R"]])
+        ident = self._named(np.concatenate([b[left], a[right]]))
         order = np.lexsort((ident, pattern))
         pattern, ident = pattern[order], ident[order]
         first = np.ones(len(order), bool)
@@ -362,7 +385,7 @@ def chosen_ids(found: DataFrame) -> DataFrame:
 
 def chosen_words(docs: DataFrame, edges: DataFrame, trusted: DataFrame) -> DataFrame | None:
     """``digest, words``: the spans of discovered identifiers without a digit in each text; None if no pattern can have any."""
-    cues = trusted.where(F.length("pattern") > 2).select("pattern", F.xxhash64("pattern").alias("key"))
+    cues = trusted.where(F.length("pattern") > 2).select("pattern", pattern_key(F.col("pattern")).alias("key"))
     if cues.isEmpty():
         return None
     texts = common.documents(docs).select("text")
