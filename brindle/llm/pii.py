@@ -10,9 +10,11 @@ surrounds, an identifier the mean of its patterns on its better side, and seeds
 up trustworthy and well supported join the result as spans of kind ``id``.
 
 Tokens without a digit are far too many to be candidates everywhere.  Those beside a
-word that is a trusted pattern are counted in a second scan; patterns that seeds still
-outweigh (``SHARE``) make them candidates, whose other places a third scan finds.  They
-are scored with all of them; what the first graph chose stays chosen.  What these scans
+word that is a trusted pattern are counted in a second scan, by a sketch for each pattern,
+as most patterns are common words with far too many; those of the patterns that are left
+are counted exactly.  Patterns that seeds still outweigh (``SHARE``) make them candidates,
+whose other places a further scan finds.  They are scored with all of them; what the first
+graph chose stays chosen.  What these scans
 look for travels to them as a bit set of fixed size (``BITS``), and joins with the exact
 table drop its false hits: nothing that grows with the corpus reaches the driver.
 
@@ -39,6 +41,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -53,6 +56,8 @@ ROUNDS, SUPPORT, PATTERN_SCORE, ID_SCORE = 3, 5, 0.9, 0.9
 SHARE = 1 - (1 - PATTERN_SCORE) ** (1 / ROUNDS)
 #: Characters from which a word goes by its hash.
 LONG = 64
+#: Words beside a cue, as a sketch counts them (within 5 %, one standard deviation), over those that it may have, beyond which it is let go.
+SLACK = 1.6
 #: Bits of a set that travels to a scan; tokens that one task remembers before it starts anew.
 BITS, MEMO_TOKENS = 1 << 22, 300_000
 
@@ -298,9 +303,13 @@ def _beside(bits: bytes):
     def beside(batches):
         neighbours = Neighbours(bits)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                pattern, ident = neighbours.of(batch.column("text").slice(i, 1000).to_pylist())
-                yield pa.record_batch([pa.array(pattern), pa.array(ident)], ["key", "ident"])
+            texts, start, held = batch.column("text"), 0, 0
+            for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+                held += n
+                if held > 4 << 20 or i == len(texts) - 1:
+                    pattern, ident = neighbours.of(texts.slice(start, i + 1 - start).to_pylist())
+                    yield pa.record_batch([pa.array(pattern), pa.array(ident)], ["key", "ident"])
+                    start, held = i + 1, 0
 
     return beside
 
@@ -386,14 +395,23 @@ def chosen_ids(found: DataFrame) -> DataFrame:
 def chosen_words(docs: DataFrame, edges: DataFrame, trusted: DataFrame) -> DataFrame | None:
     """``digest, words``: the spans of discovered identifiers without a digit in each text; None if no pattern can have any."""
     cues = trusted.where(F.length("pattern") > 2).select("pattern", pattern_key(F.col("pattern")).alias("key"))
-    if cues.isEmpty():
-        return None
     texts = common.documents(docs).select("text")
-    beside = texts.mapInArrow(_beside(members(cues.select("key"))), "key long, ident long").distinct()
-    beside = common.materialise(beside.join(cues, "key").select("pattern", "ident"), "pii-beside")
     known = edges.groupBy("pattern").agg(F.sum(F.col("known").cast("long")).alias("seeds"), F.count(F.lit(1)).alias("m"))
-    kept = beside.groupBy("pattern").agg(F.count(F.lit(1)).alias("words")).join(known, "pattern").where(F.col("seeds") >= SHARE * (F.col("m") + F.col("words"))).select("pattern")
-    kept = common.materialise(kept, "pii-cues")
+    # A cue may have so many different words beside it and no more.
+    cues = cues.join(known.select("pattern", (F.col("seeds") / SHARE - F.col("m")).alias("most")), "pattern").where("most >= 1")
+    cues = common.materialise(cues, "pii-cues")
+    if cues.isEmpty():
+        return None
+    beside = lambda some: texts.mapInArrow(_beside(members(some.select("key"))), "key long, ident long")
+    # Common words have far more: a sketch of fixed size a cue tells, and its error is out of reach of this margin.
+    about = beside(cues).groupBy("key").agg(F.approx_count_distinct("ident", 0.05).alias("about"))
+    left = common.materialise(cues.join(about, "key").where(F.col("about") <= SLACK * F.col("most") + 50), "pii-cues-left")
+    if left.isEmpty():
+        return None
+    pairs = common.materialise(beside(left).distinct().join(left, "key").select("pattern", "most", "ident"), "pii-beside")
+    kept = pairs.groupBy("pattern", "most").agg(F.count(F.lit(1)).alias("words")).where("words <= most").select("pattern")
+    kept = common.materialise(kept, "pii-cues-kept")
+    beside = pairs.select("pattern", "ident")
     idents = common.materialise(beside.join(kept, "pattern", "left_semi").select("ident").distinct(), "pii-word-idents")
     if idents.isEmpty():
         return None
