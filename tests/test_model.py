@@ -66,7 +66,7 @@ def levels(xs, expansion=2.0, headroom=1.0):
     return 1 + max((levels(g, expansion, headroom) for g in groups.values() if len(g) > 1), default=0)
 
 
-@pytest.mark.parametrize("xs", [[1.0], [float(i) for i in range(50)], [2.0**i for i in range(40)], [5.0] * 9, [1.0, 1.0, 2.0, 900.0, 901.0, 901.0, 901.0], [*map(float, range(50)), *map(float, range(10**6, 10**6 + 50))]])
+@pytest.mark.parametrize("xs", [[1.0], [float(i) for i in range(50)], [2.0**i for i in range(16)], [5.0] * 9, [1.0, 1.0, 2.0, 900.0, 901.0, 901.0, 901.0], [*map(float, range(50)), *map(float, range(10**6, 10**6 + 50))]])
 def test_depth(spark, tmp_path, xs):
     def table(df, name):
         path = str(tmp_path / uuid.uuid4().hex)
