@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from brindle.llm import arrow_tokens, common, packing, token_counts
+from brindle.llm import arrow_tokens, common, encoding, packing, token_counts
 from brindle.llm.encoding import Encoder
 
 NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
@@ -36,6 +36,35 @@ def test_special_tokens_as_in_the_plain_call(texts, name):
     assert got == [PLAIN[name].encode(t, add_special_tokens=False).ids + [1] for t in texts]
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_forms_of_a_word_are_one_entry(name):
+    """Marks behind a word are no reason to encode it again."""
+    coder = Encoder(name, "<u2", 1)
+    words = [f"so{a}{b}ro" for a in "abcdefgh" for b in "klmnèß"]
+    texts = ["x " + " ".join(w + tail for w in words) for tail in ["", ",", ".", "!!", ".%%%", "&&&", ":"]]
+    assert [np.frombuffer(b, "<u2").tolist() for b in coder.encode(texts)] == [PLAIN[name].encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert len(coder.memo) <= len(words) + 2
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_every_letter_and_mark_of_plain_words(name):
+    letters = [chr(i) for i in range(0x250, 0x600)] + [chr(i) for i in range(0x21, 0x250)]
+    texts = [f"{c} a{c}b {c}{c.upper()}{c.lower()}\na{c} b{c}, {c}a.\n{c}" for c in letters] + [f"a{m} bé{m}{m}{m}\nab{m}{m}{m}{m} {m}" for m in map(chr, range(0x21, 0x7F))]
+    got = [np.frombuffer(b, "<u2").tolist() for b in ENCODERS[name].encode(texts)]
+    assert got == [PLAIN[name].encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
+def test_memory_is_bounded_and_keeps_what_is_met(monkeypatch):
+    monkeypatch.setattr(encoding, "MEMO_PIECES", 20)
+    coder, merged = Encoder(NAMES[0], "<u2", 1), []
+    monkeypatch.setattr(coder, "_merge", lambda words, f=coder._merge: (merged.extend(words), f(words))[1])
+    for i in range(50):
+        text = f"x common w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}"
+        assert np.frombuffer(coder.encode([text])[0], "<u2").tolist() == [*PLAIN[NAMES[0]].encode(text, add_special_tokens=False).ids, 1]
+        assert len(coder.memo) + len(coder.old) <= 26
+    assert merged.count("common") == 1 and len(merged) == 52
+
+
 def test_special_tokens_as_text():
     coder, plain = Encoder(NAMES[0], "<u2", 50256, ordinary=True), Tokenizer.from_file(public_tokenizers.path(NAMES[0]))
     plain.encode_special_tokens = True
