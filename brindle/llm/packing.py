@@ -8,6 +8,9 @@ document at the multiples of the window; a sequence that spans two partitions
 simply gets pieces from both, its boundary records, which :func:`sequences`
 joins.  No row is shuffled, and no group is larger than a window.
 
+A worker holds a batch, the encoder (pass one only) and some megabytes of texts or
+documents on their way; what they took is given back after each.
+
 Defined results: a null text is the empty one; an empty document still has its
 end id; strings of special tokens become these tokens, as in the plain call; repeated rows are documents of their own; an empty table has no pieces;
 columns besides ``doc_id`` and ``text`` are ignored.
@@ -27,12 +30,15 @@ from . import common
 from .encoding import encoder
 
 TOKENIZER, END_ID, WINDOW = "byte_bpe_50k.json", 1, 2048
+#: Documents that are cut at a time.
+CUT_ROWS = 1024
 RUNS = "part long, doc_id long, local_start long, n_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 def _runs(tokenizer: str, end: int):
     def encode(batches):
+        common.give_back()
         part, at, coder = TaskContext.get().partitionId(), 0, encoder(tokenizer, "<u2", end)
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
@@ -41,6 +47,7 @@ def _runs(tokenizer: str, end: int):
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
                 yield pa.record_batch([pa.array(np.full(len(n), part)), ids.slice(start, len(n)), pa.array(starts), pa.array(n), pa.array(coded, pa.binary())], ["part", "doc_id", "local_start", "n_tokens", "ids"])
+                common.give_back()
 
     return encode
 
@@ -49,7 +56,8 @@ def _cut(window: int, keep_ids: bool):
     names = [c.split()[0] for c in PIECES.split(", ")][: None if keep_ids else -1]
 
     def cut(batches):
-        for batch in batches:
+        common.fresh_worker()
+        for batch in (whole.slice(at, CUT_ROWS) for whole in batches for at in range(0, whole.num_rows, CUT_ROWS)):
             ids, g, n = batch.column("ids"), batch.column("g").to_numpy(), batch.column("n_tokens").to_numpy()
             first, last = g // window, (g + n - 1) // window
             row = np.repeat(np.arange(len(g)), last - first + 1)
@@ -68,6 +76,7 @@ def _cut(window: int, keep_ids: bool):
                     raw.append(packed[2 * s : 2 * (s + m)])
             columns = [batch.column("doc_id").take(pa.array(row)), *map(pa.array, (start, length, crc, n[row], seq, begin - seq * window))]
             yield pa.record_batch(columns + ([pa.array(raw, pa.binary())] if keep_ids else []), names)
+            common.give_back()
 
     return cut
 

@@ -1,6 +1,9 @@
 """op4, op6, op10: encoding, packing, Arrow files, separator scan."""
 
+import ctypes
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -17,6 +20,8 @@ NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 ENCODERS = {n: Encoder(n, "<u2", 1) for n in NAMES}
 #: Flags untouched: the library's plain call.
 PLAIN = {n: Tokenizer.from_file(public_tokenizers.path(n)) for n in NAMES}
+#: Digits as letters.
+LETTERS = str.maketrans("0123456789", "qrstuvwxyz")
 SPECIAL = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "a <|endoftext|> b"]
 
 TEXT = st.text(st.one_of(st.sampled_from(" \n\t.,'abcdeAB19é́　\x0b\x7f\x1c\x85|<>Σς"), st.characters(codec="utf-8")), max_size=40)
@@ -108,6 +113,39 @@ def test_packing(odd_docs, window):
     assert sum(r["n_tokens"] for r in seqs) == at and sorted(r["sequence_id"] for r in seqs) == list(range(-(-at // window)))
 
 
+def test_packing_leaves_no_freed_memory_in_a_worker(spark):
+    """Of 24 MB of texts with many different words, what was freed on the way isn't held by the worker."""
+
+    def held(batches):
+        def mb():
+            return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+        words = np.array([f"w{i}abcd".translate(LETTERS) for i in range(400_000)], object)
+        texts = pa.array([" ".join(np.random.default_rng(seed).choice(words, 120_000)) for seed in range(24)])
+        for _ in packing._runs(packing.TOKENIZER, packing.END_ID)([pa.record_batch([pa.array(range(24)), texts], ["doc_id", "text"])]):
+            pass
+        before = mb()
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+        yield pa.record_batch([pa.array([before - mb()])], ["mb"])
+
+    [row] = spark.range(0, 1, 1, 1).mapInArrow(held, "mb double").collect()
+    assert row["mb"] < 24
+
+
+def test_cutting_needs_no_encoder_and_goes_by_few_documents(monkeypatch):
+    monkeypatch.setattr(packing, "CUT_ROWS", 2)
+    encoding.encoder(packing.TOKENIZER, "<u2", packing.END_ID)
+    sizes = [3, 1, 10, 4, 2]
+    runs = [np.arange(n, dtype="<u2").tobytes() for n in sizes]
+    batch = pa.record_batch([pa.array(range(5)), pa.array(sizes), pa.array(runs, pa.binary()), pa.array(np.cumsum(sizes) - sizes)], ["doc_id", "n_tokens", "ids", "g"])
+    out = list(packing._cut(4, True)([batch]))
+    assert not encoding._ENCODERS and len(out) == 3
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["sequence_id"], r["offset"]) for r in rows] == [divmod(at, 4) for at in np.cumsum([0, *(r["length"] for r in rows[:-1])]).tolist()]
+    assert [b"".join(r["ids"] for r in rows if r["doc_id"] == d) for d in range(5)] == runs
+
+
 def test_packing_nothing(no_docs):
     assert packing.pack(no_docs).count() == 0
 
